@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted spellings of a month. The shape decides which
-# format is tried, so a value costs one parse and no failed attempts.
-PERIOD_FORMATS = (
-    (r"^\d{4}-\d{2}$", "yyyy-MM"),
-    (r"^\d{4}/\d{2}$", "yyyy/MM"),
-    (r"^\d{2}-\d{4}$", "MM-yyyy"),
-    (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
-    (r"^[A-Za-z]{4,} \d{4}$", "MMMM yyyy"),
-)
+# The accepted spellings of a month are 2024-01, 2024/01, 01-2024,
+# January 2024 and Jan 2024.
+YEAR_FIRST = r"^\d{4}[-/](0[1-9]|1[0-2])$"
+MONTH_FIRST = r"^(0[1-9]|1[0-2])-\d{4}$"
+NAMED_MONTH = r"^[A-Za-z]{3,9} \d{4}$"
+MONTH_NAMES = {
+    name.lower(): f"{i:02d}" for names in (calendar.month_name, calendar.month_abbr) for i, name in enumerate(names) if name
+}
 CANONICAL_PERIOD = r"^\d{4}-\d{2}$"
 OPEN_END = "9999-12"
 
 
 def parse_period(value: Column) -> Column:
-    """Any accepted spelling to ``yyyy-MM``; anything else is returned unchanged."""
+    """Any accepted spelling to ``yyyy-MM``; anything else is returned unchanged.
+
+    The shape decides how the parts are cut out, so no date is parsed and no
+    failed attempt is paid for.
+    """
     text = F.trim(value)
-    parsed = None
-    for shape, fmt in PERIOD_FORMATS:
-        attempt = F.try_to_date(text, fmt)
-        parsed = F.when(text.rlike(shape), attempt) if parsed is None else parsed.when(text.rlike(shape), attempt)
-    return F.coalesce(F.date_format(parsed, "yyyy-MM"), value)
+    names = F.create_map(*[F.lit(part) for pair in MONTH_NAMES.items() for part in pair])
+    named = names[F.lower(F.substring_index(text, " ", 1))]
+    parsed = (
+        F.when(text.rlike(YEAR_FIRST), F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 6, 2)))
+        .when(text.rlike(MONTH_FIRST), F.concat(F.substring(text, 4, 4), F.lit("-"), F.substring(text, 1, 2)))
+        .when(text.rlike(NAMED_MONTH), F.concat(F.substring(text, -4, 4), F.lit("-"), named))
+    )
+    return F.coalesce(parsed, value)
 
 
 def period_unparsed(raw: Column, parsed: Column) -> Column:

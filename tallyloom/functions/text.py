@@ -27,8 +27,12 @@ def title_case(value: Column) -> Column:
 
     ``initcap`` alone only looks at blanks.
     """
-    runs = F.regexp_extract_all(F.lower(value), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    text = F.lower(value)
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    # only a letter right behind another sign needs the cut into runs
+    return F.when(text.rlike(r"[^\p{L}\s]\p{L}"), F.array_join(F.transform(runs, F.initcap), "")).otherwise(
+        F.initcap(text)
+    )
 
 
 def fill_sentinel(value: Column, sentinel: str) -> Column:

@@ -15,6 +15,7 @@ from tallyloom.functions.periods import period_start
 from tallyloom.functions.text import squeeze, title_case
 from tallyloom.operators.reshape import union_sources
 from tallyloom.operators.spread import keep_first
+from tallyloom.sources.tables import small_table
 
 BASE_CURRENCY = "VND"
 
@@ -30,9 +31,9 @@ CUSTOMER_NAMES = {
 
 def with_base_rate(rates: DataFrame, base: str = BASE_CURRENCY) -> DataFrame:
     """Add the base currency at rate 1 when the reference lacks it."""
-    row = rates.sparkSession.createDataFrame(
-        [(base, "Vietnamese Dong", "1.0", "FIXED")],
-        "currency_code string, currency string, rate_to_vnd string, rate_type string",
+    row = small_table(
+        rates.sparkSession,
+        {"currency_code": [base], "currency": ["Vietnamese Dong"], "rate_to_vnd": ["1.0"], "rate_type": ["FIXED"]},
     )
     row = row.select(*[c for c in row.columns if c in rates.columns])
     missing = row.join(rates.select("currency_code"), "currency_code", "left_anti")
@@ -143,8 +144,14 @@ def asof_rates(df: DataFrame, rates: DataFrame, currency: str = "currency", peri
 
 def customer_mapping(spark) -> DataFrame:
     """The confirmed mapping as a table, each rule with an id."""
-    rows = [(variant, name, f"MAP-{i + 1:03d}") for i, (variant, name) in enumerate(CUSTOMER_NAMES.items())]
-    return spark.createDataFrame(rows, "variant string, canonical_name string, mapping_rule_id string")
+    return small_table(
+        spark,
+        {
+            "variant": list(CUSTOMER_NAMES),
+            "canonical_name": list(CUSTOMER_NAMES.values()),
+            "mapping_rule_id": [f"MAP-{i + 1:03d}" for i in range(len(CUSTOMER_NAMES))],
+        },
+    )
 
 
 def canonical_customers(df: DataFrame, mapping: DataFrame, column: str = "customer_name") -> DataFrame:

@@ -39,7 +39,7 @@ def nest_lines(
     usual = (
         lines.join(oversize, is_big, "left_anti")
         .groupBy(F.col(key).alias("_line_key"))
-        .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("line_items"))
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("line_items"))
         .withColumn("line_part", F.lit(0).cast("bigint"))
     )
     # lines of an oversize order are cut by their content, equal lines by their number
@@ -52,7 +52,7 @@ def nest_lines(
         .withColumn("line_part", F.pmod(F.xxhash64(*fields), F.col("_parts")) + F.col("_run") * F.col("_parts"))
     )
     cut = counted.groupBy(F.col("_big_key").alias("_line_key"), "line_part").agg(
-        F.array_sort(F.flatten(F.collect_list(F.array_repeat(F.struct(*fields), F.col("_take"))))).alias("line_items")
+        F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.struct(*fields), F.col("_take"))))).alias("line_items")
     )
     nested = usual.unionByName(cut)
     joined = headers.join(nested, F.col(key).eqNullSafe(F.col("_line_key")), "left").drop("_line_key")

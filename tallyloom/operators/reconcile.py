@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import fill_sentinel, squeeze
+from tallyloom.functions.text import fill_sentinel, flag, squeeze
 from tallyloom.operators.reshape import union_sources
 from tallyloom.operators.spread import keep_first
 
@@ -36,25 +36,34 @@ def reconcile_sources(
     tagged = [fill_kpi_sentinels(df).withColumn("_source_rank", F.lit(i)) for i, df in enumerate(ranked)]
     unified = union_sources(*tagged)
     distinct = keep_first(unified, [*key, value], [F.col("_source_rank")]).drop("_source_rank")
-    # per key only the two ends of its values are needed, so this is a plain aggregate
-    # and no window ever holds a whole key group
-    settled = (
-        distinct.groupBy(*[F.col(k).alias(f"_k_{k}") for k in key])
-        .agg(
-            F.coalesce(F.min(value) != F.max(value), F.lit(False)).alias("_differ"),
-            F.count(value).alias("_given"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
-        .filter("_rows > 1")
+    return with_conflicts(distinct, key, value)
+
+
+def with_conflicts(distinct: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """Flag keys with several values; drop the empty row of a key that has a value.
+
+    Expects each value once per key, so a key is in conflict as soon as it has a
+    second given row. A slice with two rows knows that by itself; every slice
+    sends one row to a common group, where the rest is found out. No task holds
+    a whole key group, and the input is read once.
+    """
+    slices = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = F.col(value).isNotNull()
+    in_slice = Window.partitionBy(*key, "_slice")
+    sliced = distinct.withColumn(
+        "_slice", F.when(given, F.pmod(F.xxhash64(value), F.lit(slices))).otherwise(F.lit(-2))
+    ).withColumns(
+        {
+            "_several": F.count(F.lit(1)).over(in_slice) > 1,
+            "_sent": F.row_number().over(in_slice.orderBy(value)) == 1,
+        }
     )
-    condition = F.lit(True)
-    for k in key:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    common = Window.partitionBy(*key, F.when(F.col("_sent"), F.lit(-1)).otherwise(F.col("_slice")))
     return (
-        distinct.join(settled, condition, "left")
-        .filter(F.col(value).isNotNull() | (F.coalesce(F.col("_given"), F.lit(0)) == 0))
-        .withColumn("IS_CONFLICT", F.coalesce(F.col("_differ"), F.lit(False)))
-        .drop(*[f"_k_{k}" for k in key], "_differ", "_given", "_rows")
+        sliced.withColumn("_given", F.when(F.col("_sent"), F.count(value).over(common)))
+        .filter(given | (F.col("_given") == 0))
+        .withColumn("IS_CONFLICT", given & (F.col("_several") | flag(F.col("_given") > 1)))
+        .drop("_slice", "_several", "_sent", "_given")
     )
 
 

@@ -16,6 +16,7 @@ from tallyloom.operators.lookup import (
     canonical_customers, convert_amounts, customer_mapping, flag_orphans, latest_rates, with_base_rate,
 )
 from tallyloom.operators.reshape import union_sources, unpivot_dates
+from tallyloom.session import staged
 from tallyloom.sources.tables import with_source
 
 LONG_SOURCE = "financial_long_format.csv"
@@ -121,9 +122,12 @@ class FinancialSilver:
 def silver_financial(
     long: DataFrame, wide: DataFrame, orders: DataFrame, rates: DataFrame, run_ts: str, tiebreak: list[str] | None = None
 ) -> FinancialSilver:
-    """The Silver table with its change and issue logs."""
+    """The Silver table with its change and issue logs.
+
+    Four outputs read the cleaned rows, so these are written once.
+    """
     order = tiebreak or ["SOURCE_FILE", "currency", "amount_raw"]
-    cleaned = clean(combine(long, wide))
+    cleaned = staged(clean(combine(long, wide)), "financial-cleaned")
     conformed = conform(cleaned, orders, rates, order, run_ts)
     issue_columns = ["order_no", "SOURCE_FILE", "LOG_TYPE", "ORIGINAL_VALUE", "CORRECTED_VALUE", "DETAILS", "LOGGED_AT"]
     issues = union_sources(

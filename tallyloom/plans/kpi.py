@@ -17,6 +17,7 @@ from tallyloom.operators.reconcile import KPI_KEY, fill_kpi_sentinels, reconcile
 from tallyloom.operators.reshape import (
     MONTH_NAME_HEADER, MONTH_NUMBER_HEADER, columns_like, unpivot_month_names, unpivot_month_numbers,
 )
+from tallyloom.session import staged
 from tallyloom.sources.tables import with_source
 
 LONG_SOURCE = "kpi_actual_long.csv"
@@ -120,23 +121,30 @@ class KpiSilver:
     duplicates: DataFrame
 
 
-def silver_kpi_table(long: DataFrame, wide: DataFrame, master: DataFrame, year: int, in_force: bool = True) -> DataFrame:
-    """Clean, reconcile, match to the master version in force, hash."""
-    unified = unify(clean(long, LONG_SOURCE), clean(wide, WIDE_SOURCE), year)
-    matched = match_master(unified, fill_kpi_sentinels(master), "PERIOD" if in_force else None)
+def conform(long: DataFrame, wide: DataFrame, master: DataFrame, year: int, in_force: bool = True) -> DataFrame:
+    """Reconcile cleaned deliveries, match them to the master version in force, hash."""
+    matched = match_master(unify(long, wide, year), fill_kpi_sentinels(master), "PERIOD" if in_force else None)
     return matched.withColumn("ROW_HASH", row_digest([c for c in HASH_COLUMNS if c in matched.columns]))
 
 
+def silver_kpi_table(long: DataFrame, wide: DataFrame, master: DataFrame, year: int) -> DataFrame:
+    """The Silver table alone, straight from the deliveries."""
+    return conform(clean(long, LONG_SOURCE), clean(wide, WIDE_SOURCE), master, year)
+
+
 def silver_kpi(
     long: DataFrame, wide: DataFrame, master: DataFrame, year: int, run_ts: str, sequence: list[str] | None = None
 ) -> KpiSilver:
-    """The Silver table with its change log and the log of dropped repeats."""
-    cleaned = [clean(long, LONG_SOURCE), clean(wide, WIDE_SOURCE)]
+    """The Silver table with its change log and the log of dropped repeats.
+
+    Three outputs read the cleaned rows, so these are written once.
+    """
+    cleaned = [staged(clean(long, LONG_SOURCE), "kpi-long"), staged(clean(wide, WIDE_SOURCE), "kpi-wide")]
     order = sequence or ["ROW_ID"]
     changes = [cleaning_log(c, run_ts) for c in cleaned]
     repeats = [duplicate_log(c, order, run_ts) for c in cleaned]
     return KpiSilver(
-        silver_kpi_table(long, wide, master, year),
+        conform(*cleaned, master, year),
         changes[0].unionByName(changes[1]),
         repeats[0].unionByName(repeats[1]),
     )

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_table(spark: SparkSession, columns: Mapping[str, Sequence[str | None]]) -> DataFrame:
+    """A few text rows written in code.
+
+    Handed over as Arrow they become a local relation of known size, which the
+    optimizer broadcasts; a list of Python rows has no size and would make it
+    shuffle the other side of the join.
+    """
+    return spark.createDataFrame(pa.table({k: pa.array(v, pa.string()) for k, v in columns.items()}))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header row, every column text; types are decided later, where a failure can be flagged."""
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -29,3 +42,16 @@ def parquet_copy(spark: SparkSession, csv_path: str, parquet_path: str) -> DataF
     """Keep the raw file and a columnar copy beside it."""
     read_csv(spark, csv_path).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)
+
+
+def spread_few_splits(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a delivery that arrives in fewer splits than there are cores.
+
+    A gzip file or a Parquet file with one row group cannot be split, so all of
+    its cleaning would run in one task. Inputs with enough splits, which is
+    every large table, are returned as they are and gain no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *columns)

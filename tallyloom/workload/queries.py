@@ -30,7 +30,7 @@ from tallyloom.operators.reshape import (
 )
 from tallyloom.operators.scd import build_history
 from tallyloom.plans import financial, gold, kpi
-from tallyloom.session import scratch_path, tune
+from tallyloom.session import scratch_path, staged, tune
 from tallyloom.sources.landing import append_bronze, merge_latest, with_year_month, write_partitions
 from tallyloom.sources.pages import flatten_pages, quarantine_pages, record_fields
 from tallyloom.sources.tables import parquet_copy, with_run_time
@@ -99,7 +99,7 @@ def _order_pages(spark, d):
     """Order headers as landed documents of at most PAGE_SIZE keys, some of them broken."""
     records = _order_headers(spark, d).withColumn("page", F.floor(F.col("id") / PAGE_SIZE))
     pages = records.groupBy("page").agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct("id", "userId", "title", "body")))).alias("_list")
+        F.to_json(F.sort_array(F.collect_list(F.struct("id", "userId", "title", "body")))).alias("_list")
     )
     kind = F.col("page") % 7
     document = (
@@ -516,10 +516,9 @@ def q_dim_code_list(spark, d):
 
 @query("fact_order_cost")
 def q_fact_order_cost(spark, d):
-    cleaned = _cleaned(spark, d)
-    silver = financial.conform(cleaned, view(spark, d, "erp_orders"), view(spark, d, "fx_rates"), TIEBREAK, RUN_TS)
+    silver = staged(_silver_financial(spark, d), "silver-financial")
     dates = dim_date(month_bounds(table(spark, d, "lineitem"), "l_shipdate"))
-    return fact_order_cost(silver, dates, dim_customer(cleaned), dim_currency(view(spark, d, "fx_rates")))
+    return fact_order_cost(silver, dates, dim_customer(silver), dim_currency(view(spark, d, "fx_rates")))
 
 
 @query("fact_kpi_actual")
