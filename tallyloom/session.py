@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -44,6 +45,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="tallyloom-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a staged table.
 
@@ -55,8 +61,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-        base = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_scratch()
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
