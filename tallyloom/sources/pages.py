@@ -43,13 +43,13 @@ def classify_pages(pages: DataFrame) -> DataFrame:
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
-    """All records of all well-formed pages, each as a variant; the pages form one feed."""
+    """All records of all well-formed pages, each as a variant; the pages form one feed.
+
+    Broken pages have no item list, so ``explode`` passes over them. A filter on
+    the error would be pushed down and parse every document again.
+    """
     keep = [c for c in pages.columns if c != "document"]
-    return (
-        classify_pages(pages)
-        .filter("_error is null")
-        .select(*keep, F.explode("_items").alias("record"))
-    )
+    return classify_pages(pages).select(*keep, F.explode("_items").alias("record"))
 
 
 def record_fields(records: DataFrame, fields: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -78,10 +78,11 @@ ERROR_MESSAGES = {
 def quarantine_pages(pages: DataFrame, endpoint: str, run_ts: str, page: str = "page") -> DataFrame:
     """One error row per page that gave no records because it is broken."""
     message = F.coalesce(*[F.when(F.col("_error") == k, F.lit(v)) for k, v in ERROR_MESSAGES.items()])
+    broken = classify_pages(pages).select(
+        page, "document", F.explode(F.array_compact(F.array("_error"))).alias("_error")
+    )
     return (
-        classify_pages(pages)
-        .filter("_error is not null")
-        .select(
+        broken.select(
             F.lit(endpoint).alias("endpoint"),
             F.col(page).alias("request_page"),
             F.substring("document", 1, RAW_PREFIX).alias("raw_response"),
