@@ -55,6 +55,7 @@ def fact_kpi_actual(silver: DataFrame, source_order: list[str]) -> DataFrame:
         F.col("Unit").alias("unit"),
         F.col("Aggregation_Method").alias("aggregation_method"),
         F.col("actual_value").cast(AMOUNT).alias("actual_value"),
+        F.col("Target").cast(AMOUNT).alias("row_target"),
         F.col("actual_value").isNull().alias("is_missing_actual"),
         F.col("IS_CONFLICT").alias("is_conflict"),
         "ROW_HASH",

@@ -107,6 +107,20 @@ def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
     )
 
 
+def null_counts(df: DataFrame) -> DataFrame:
+    """One row per column with its empty and given cells, all columns in one aggregate."""
+    totals = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(df.columns)])
+    lines = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            (F.col("_rows") - F.col(f"_n{i}")).alias("null_count"),
+            F.col(f"_n{i}").alias("non_null_count"),
+        )
+        for i, c in enumerate(df.columns)
+    ]
+    return totals.select(F.inline(F.array(*lines)))
+
+
 def achievement_findings(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose achievement cannot be computed, with the reason."""
     reason = F.when(F.col("zero_target_kpi"), "ZERO_TARGET").when(F.col("zero_actual_lower"), "ZERO_ACTUAL_LOWER_BETTER")

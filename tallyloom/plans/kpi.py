@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ from tallyloom.sources.tables import with_source
 LONG_SOURCE = "kpi_actual_long.csv"
 WIDE_SOURCE = "kpi_actual_wide.csv"
 
-# Columns that are upper-cased; all others keep their case.
-UPPER_CASED = ("Pillar",)
+# The casing rule per column; columns not named keep their case.
+CASING = {"Pillar": F.upper}
 
 HASH_COLUMNS = (
     "PILLAR_ID", "SP_ID", "UA_ID", "Pillar", "Sub_Pillar", "Department", "KPI_Name", "Sub_KPI_Type", "Unit",
@@ -38,19 +39,22 @@ def value_columns(df: DataFrame) -> list[str]:
     return months + [c for c in ("Target",) if c in df.columns]
 
 
-def normalise(column: str) -> Column:
+def normalise(column: str, casing: Mapping[str, Callable[[Column], Column]] = CASING) -> Column:
     text = squeeze(F.col(column))
-    return F.upper(text) if column in UPPER_CASED else text
+    return casing[column](text) if column in casing else text
 
 
 def _raw(column: str) -> str:
     return f"_raw_{column}"
 
 
-def clean(delivered: DataFrame, source: str) -> DataFrame:
+def clean(
+    delivered: DataFrame, source: str, casing: Mapping[str, Callable[[Column], Column]] = CASING
+) -> DataFrame:
     """Row id, repaired values and normalised key columns in one projection.
 
     The row id is taken before cleaning. Delivered values stay in ``_raw_*``.
+    ``casing`` maps key columns to ``F.upper``, ``F.lower`` or ``F.initcap``.
     """
     values = value_columns(delivered)
     keys = [c for c in KPI_KEY if c in delivered.columns]
@@ -59,7 +63,7 @@ def clean(delivered: DataFrame, source: str) -> DataFrame:
         delivered.select(
             row_digest(KPI_KEY).alias("ROW_ID"),
             *[F.col(f"`{c}`") for c in rest],
-            *[normalise(c).alias(c) for c in keys],
+            *[normalise(c, casing).alias(c) for c in keys],
             *[repair_ocr_digits(F.col(f"`{c}`")).alias(c) for c in values],
             *[F.col(f"`{c}`").alias(_raw(c)) for c in (*keys, *values)],
         ),

@@ -350,7 +350,7 @@ FROM cleaned_long GROUP BY order_no, category, coalesce(period, ''), currency"""
     "dedup_repeat_log": sql(f"""SELECT 'DUPLICATE_DROP' AS LOG_TYPE, order_no, SOURCE_FILE, line_seq, 'ROW_LEVEL' AS COLUMN_NAME, CAST(NULL AS VARCHAR) AS ORIGINAL_VALUE,
        concat_ws(' || ', order_no, category, coalesce(period, ''), currency) AS CORRECTED_VALUE, 'repeats an earlier row after repair and normalisation' AS DETAILS, '{RUN_TS}' AS LOGGED_AT
 FROM cleaned_long QUALIFY row_number() OVER (PARTITION BY order_no, category, coalesce(period, ''), currency ORDER BY line_seq) > 1"""),
-    "dedup_summary": sql("""SELECT SOURCE_FILE, count_if(rn > 1) AS DROPPED_COUNT, count_if(rn = 1) AS KEPT_COUNT, 'DUPLICATE_SUMMARY' AS LOG_TYPE
+    "dedup_summary": sql("""SELECT SOURCE_FILE, CAST(count_if(rn > 1) AS BIGINT) AS DROPPED_COUNT, CAST(count_if(rn = 1) AS BIGINT) AS KEPT_COUNT, 'DUPLICATE_SUMMARY' AS LOG_TYPE
 FROM (SELECT SOURCE_FILE, row_number() OVER (PARTITION BY order_no, category, coalesce(period, ''), currency, coalesce(amount, '') ORDER BY line_seq NULLS LAST, amount_raw NULLS LAST) AS rn FROM cleaned)
 GROUP BY SOURCE_FILE"""),
     "kpi_dedup_summary": sql(f"SELECT '{LONG_KPI}' AS SOURCE_FILE, count(*) AS DROPPED_COUNT, count(*) AS KEPT_COUNT, 'DUPLICATE_SUMMARY' AS LOG_TYPE FROM long_clean"),
@@ -409,7 +409,7 @@ FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_
        {canonical('period', 'year')} AS year, {canonical('period', 'month')} AS month
 FROM silver_fin, (SELECT strftime(min(l_shipdate), '%Y-%m') AS lo, strftime(max(l_shipdate), '%Y-%m') AS hi FROM lineitem)"""),
     "fact_kpi_actual": sql(f"""SELECT {sk('UA_ID', 'PERIOD')} AS fact_sk, {sk('UA_ID', 'Valid_From')} AS kpi_sk, CAST(replace(PERIOD, '-', '') AS INTEGER) AS date_sk, UA_ID, PERIOD, Unit AS unit,
-       Aggregation_Method AS aggregation_method, CAST(actual_value AS DOUBLE) AS actual_value, actual_value IS NULL AS is_missing_actual, IS_CONFLICT AS is_conflict, ROW_HASH,
+       Aggregation_Method AS aggregation_method, CAST(actual_value AS DOUBLE) AS actual_value, CAST(Target AS DOUBLE) AS row_target, actual_value IS NULL AS is_missing_actual, IS_CONFLICT AS is_conflict, ROW_HASH,
        {canonical('PERIOD', 'year')} AS year, {canonical('PERIOD', 'month')} AS month FROM fact_kpi"""),
     "kpi_dynamic_agg": sql(f"""SELECT UA_ID, year, Unit, Aggregation_Method, n AS valid_months,
        CASE Aggregation_Method WHEN 'SUM' THEN CAST(total AS DOUBLE) WHEN 'LAST' THEN CAST(last_value AS DOUBLE) WHEN 'AVERAGE' THEN CASE WHEN n > 0 THEN {mean4('total', 'n')} END END AS aggregated_value
@@ -427,8 +427,10 @@ FROM ({_spine("2022-07", "2025-02")}) s LEFT JOIN fact_kpi f ON s.UA_ID = f.UA_I
         "bronze_financial", "order_no, category, period", "fin_dirty", "'supplier_no is missing'",
         "SELECT 'orphaned_flagged', 'bronze_financial', 'FAILED', count(*), 'IS_ORPHANED is missing' FROM fin_dirty",
         f"'amount: ' || CAST(count_if(amount IS NOT NULL AND {amount('amount')} IS NULL) AS VARCHAR)", "'FAILED'")),
-    "dq_gate": sql("SELECT count(*) AS checks, count_if(result = 'FAILED') AS failed, count_if(result = 'WARNING') AS warnings, count_if(result = 'FAILED') = 0 AS can_proceed FROM quality"),
-    "run_summary": sql("SELECT count(*) AS total_rows, count_if(IS_ORPHANED_ORDER) AS orphaned_orders, count_if(IS_FX_CONVERSION_FAILED) AS fx_failed, count_if(IS_AMOUNT_UNPARSEABLE) AS unparseable_amounts FROM silver_fin"),
+    "dq_null_counts": sql(_log(*[f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, count({c}) AS non_null_count FROM cleaned_long"
+                                 for c in ("order_no", "category", "period", "amount", "amount_numeric", "currency", "mapping_rule_id")])),
+    "dq_gate": sql("SELECT count(*) AS checks, CAST(count_if(result = 'FAILED') AS BIGINT) AS failed, CAST(count_if(result = 'WARNING') AS BIGINT) AS warnings, CAST(count_if(result = 'FAILED') AS BIGINT) = 0 AS can_proceed FROM quality"),
+    "run_summary": sql("SELECT count(*) AS total_rows, CAST(count_if(IS_ORPHANED_ORDER) AS BIGINT) AS orphaned_orders, CAST(count_if(IS_FX_CONVERSION_FAILED) AS BIGINT) AS fx_failed, CAST(count_if(IS_AMOUNT_UNPARSEABLE) AS BIGINT) AS unparseable_amounts FROM silver_fin"),
     "gold_order_cost": sql(f"""SELECT customer_name, period, CAST(sum(converted_amount_vnd) AS DOUBLE) AS total_cost_vnd, count(*) AS cost_lines, {canonical('period', 'year')} AS year, {canonical('period', 'month')} AS month
 FROM silver_fin WHERE NOT IS_ORPHANED_ORDER AND converted_amount_vnd IS NOT NULL GROUP BY customer_name, period"""),
     "gold_kpi_achievement": sql("SELECT * REPLACE (CAST(actual_value AS DOUBLE) AS actual_value, CAST(target_value AS DOUBLE) AS target_value) FROM kpi_months"),

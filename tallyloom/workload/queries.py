@@ -23,7 +23,7 @@ from tallyloom.operators.lookup import (
     point_in_time, quarantine_orphans, with_base_rate,
 )
 from tallyloom.operators.orders import HEADER_FIELDS, LINE_FIELDS, nest_lines
-from tallyloom.operators.quality import achievement_findings, quality_gate, quality_log
+from tallyloom.operators.quality import achievement_findings, null_counts, quality_gate, quality_log
 from tallyloom.operators.reconcile import fill_kpi_sentinels, key_differences, reconcile_sources, source_diff
 from tallyloom.operators.reshape import (
     map_fields, unpivot_dates, unpivot_month_names, unpivot_month_numbers,
@@ -580,6 +580,11 @@ def q_dq_raw_costs(spark, d):
     )
 
 
+@query("dq_null_counts")
+def q_dq_null_counts(spark, d):
+    return null_counts(_cleaned_long(spark, d).select("order_no", "category", "period", "amount", "amount_numeric", "currency", "mapping_rule_id"))
+
+
 @query("dq_gate")
 def q_dq_gate(spark, d):
     return quality_gate(_quality(spark, d))

@@ -27,3 +27,12 @@ def test_entry_has_rows(spark):
     df = __spark_entry__.entry(spark)
     assert "total_cost_vnd" in df.columns
     assert df.limit(1).count() == 1
+
+
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(all_queries()))
+def test_column_types_agree(spark, sf_dir, con, name):
+    expected = {r[0]: r[1] for r in con.execute("DESCRIBE " + all_oracles()[name]).fetchall()}
+    assert {c: DUCK_TYPES.get(t, t) for c, t in all_queries()[name](spark, sf_dir).dtypes} == expected

@@ -166,3 +166,15 @@ def test_gold_is_built_behind_the_gate(spark, sf_dir, tmp_path, kpi_silver):
     assert total == costs.filter("not IS_ORPHANED_ORDER").agg(F.sum("converted_amount_vnd")).first()[0] > Decimal(0)
     with pytest.raises(QualityGateError):
         gold.build_gold(costs.unionByName(costs), kpis, fact, master, "2024-01", "2024-12", path)
+
+
+def test_row_target_can_lead(spark, sf_dir, kpi_silver):
+    fact = fact_kpi_actual(kpi_silver.table, [kpi.LONG_SOURCE]).withColumn("row_target", F.lit(7).cast("decimal(18,4)"))
+    master = view(spark, sf_dir, "kpi_master")
+
+    def targets(**kw):
+        rows = gold.kpi_achievement(fact, master, "2024-05", "2024-06", **kw).filter("not is_missing_actual")
+        return {r[0] for r in rows.select("target_value").distinct().collect()}
+
+    assert targets(prefer_row_target=True) == {Decimal(7)}
+    assert {Decimal(120000), Decimal(100000)} <= targets()
