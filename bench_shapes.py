@@ -1,0 +1,79 @@
+"""The cost load in two shapes on the same deliveries, printed as one JSON line.
+
+``plain`` is how a notebook does it: a Python function for names, one filtered
+copy per log, and a job per look at the data, each from the source again.
+``engine`` is this package: cleaned rows staged once, logs from one pass each,
+all counts in one aggregate.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tallyloom.functions.amounts import to_amount
+from tallyloom.functions.periods import parse_period, period_unparsed
+from tallyloom.functions.text import repair_ocr_digits, squeeze
+from tallyloom.operators.lookup import CUSTOMER_NAMES, convert_amounts, flag_orphans, latest_rates, with_base_rate
+from tallyloom.plans import financial
+from tallyloom.session import local_session, staged
+from tallyloom.workload.views import RUN_TS, view
+
+
+def run(df):
+    df.write.format("noop").mode("overwrite").save()
+
+
+def plain(spark, d):
+    known = F.udf(lambda n: None if n is None else CUSTOMER_NAMES.get(n, n.title()), "string")
+    rows = financial.combine(view(spark, d, "fin_dirty"), view(spark, d, "fin_wide"))
+    rows = rows.withColumn("fixed", repair_ocr_digits(F.col("amount"))).withColumn("month", parse_period(F.col("period")))
+    rows = rows.withColumn("lower_name", F.lower(squeeze(F.col("customer_name")))).withColumn("name", known("lower_name"))
+    rows = rows.withColumn("category", F.initcap(squeeze(F.col("category")))).withColumn("amount_numeric", to_amount(F.col("fixed")))
+    ranked = rows.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("order_no", "category", "month").orderBy(F.col("amount_numeric").desc_nulls_last()))
+    )
+    kept = flag_orphans(ranked.filter("rank = 1"), view(spark, d, "erp_orders"))
+    final = convert_amounts(kept, latest_rates(with_base_rate(view(spark, d, "fx_rates"))))
+    run(rows.filter("amount is distinct from fixed"))
+    run(rows.filter("customer_name is distinct from name"))
+    run(rows.filter(period_unparsed(F.col("period"), F.col("month"))))
+    run(rows.filter("fixed is not null and amount_numeric is null"))
+    run(ranked.filter("rank > 1"))
+    run(final.filter("IS_FX_CONVERSION_FAILED"))
+    for condition in ("true", "IS_ORPHANED_ORDER", "IS_FX_CONVERSION_FAILED", "fixed is not null and amount_numeric is null"):
+        final.filter(condition).count()
+    run(final)
+
+
+def engine(spark, d):
+    silver = financial.silver_financial(
+        view(spark, d, "fin_dirty"), view(spark, d, "fin_wide"), view(spark, d, "erp_orders"), view(spark, d, "fx_rates"),
+        RUN_TS, ["line_seq", "SOURCE_FILE", "currency", "amount_raw"],
+    )
+    table = staged(silver.table, "silver")
+    run(silver.changes)
+    run(silver.issues)
+    financial.run_summary(table).collect()
+
+
+def main() -> None:
+    d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = local_session(cpus, shuffle_partitions=8, memory=os.environ.get("BENCH_MEMORY", "16g"))
+    run(view(spark, d, "fin_dirty"))
+    seconds = {}
+    for name, shape in (("plain", plain), ("engine", engine), ("plain_again", plain), ("engine_again", engine)):
+        start = time.perf_counter()
+        shape(spark, d)
+        seconds[name] = round(time.perf_counter() - start, 2)
+    print(json.dumps({"metric": "cost_load_seconds", "unit": "sec", "shapes": seconds, "cpus": cpus}))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()
