@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank_if_null
-from tallyloom.operators.spread import keep_first, mark_not_first
+from tallyloom.operators.spread import keep_first, mark_copies, mark_not_first
 
 
 def highest_amount_order(amount: str, tiebreak: Sequence[str]) -> list[Column]:
@@ -22,9 +22,14 @@ def keep_highest(df: DataFrame, key: Sequence[str], amount: str, tiebreak: Seque
 
 
 def flag_not_highest(
-    df: DataFrame, key: Sequence[str], amount: str, tiebreak: Sequence[str], name: str = "IS_DUPLICATE"
+    df: DataFrame, key: Sequence[str], amount: str, tiebreak: Sequence[str] | None, name: str = "IS_DUPLICATE"
 ) -> DataFrame:
-    """All rows, flagged; the frame behind both the kept rows and the drop log."""
+    """All rows, flagged; the frame behind both the kept rows and the drop log.
+
+    ``tiebreak`` must tell the rows of a key apart; without one the content does.
+    """
+    if tiebreak is None:
+        return mark_copies(df, key, highest_amount_order(amount, ()), name)
     return mark_not_first(df, key, highest_amount_order(amount, tiebreak), tiebreak, name)
 
 
@@ -38,9 +43,11 @@ def keep_first_equal(df: DataFrame, columns: Sequence[str], sequence: Sequence[s
 
 
 def flag_repeats(
-    df: DataFrame, columns: Sequence[str], sequence: Sequence[str], name: str = "IS_DUPLICATE"
+    df: DataFrame, columns: Sequence[str], sequence: Sequence[str] | None, name: str = "IS_DUPLICATE"
 ) -> DataFrame:
-    """All rows, every repeat of an earlier equal row flagged."""
+    """All rows, every repeat of an earlier equal row flagged; earlier by ``sequence``, else by content."""
+    if sequence is None:
+        return mark_copies(df, _equal_rows(columns), (), name)
     return mark_not_first(
         df, _equal_rows(columns), [F.col(c).asc_nulls_last() for c in sequence], sequence, name
     )

@@ -50,6 +50,39 @@ def mark_not_first(
     )
 
 
+def mark_copies(df: DataFrame, key: Sequence[str | Column], order: Sequence[Column], name: str) -> DataFrame:
+    """``mark_not_first`` for rows that carry no input sequence.
+
+    Fully equal rows are counted first, which combines before the shuffle, so
+    any number of copies travels as one row. What remains is distinct and can be
+    ordered and sliced by content; at the end every row comes back as often as
+    it was delivered.
+    """
+    columns = df.columns
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    total = [*order, *[F.col(f"`{c}`").asc_nulls_last() for c in columns]]
+    marked = mark_not_first(counted, key, total, [F.col(f"`{c}`") for c in columns], "_not_first")
+    kept = F.when(F.col("_not_first"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    shares = F.array(
+        F.struct(F.lit(False).alias(name), kept.alias("_share")),
+        F.struct(F.lit(True).alias(name), (F.col("_copies") - kept).alias("_share")),
+    )
+    return repeat_rows(marked.select(*[F.col(f"`{c}`") for c in columns], F.inline(shares)), "_share")
+
+
+def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
+    """Each row as often as the column ``times`` says; many repeats are made by many tasks."""
+    columns = [c for c in df.columns if c != times]
+    cut = df.filter(F.col(times) > 0).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / chunk)))
+    )
+    sized = cut.withColumn("_size", F.least(F.lit(chunk), F.col(times) - F.col("_chunk") * chunk).cast("int"))
+    spread = sized.repartition("_chunk", *[F.col(f"`{c}`") for c in columns])
+    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size")))).select(
+        *[F.col(f"`{c}`") for c in columns]
+    )
+
+
 def with_previous(
     df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, columns: dict[str, str]
 ) -> DataFrame:

@@ -72,7 +72,7 @@ def cleaning_issues(cleaned: DataFrame, run_ts: str) -> DataFrame:
     return issue_log(cleaned, ["order_no", "category", "period", "SOURCE_FILE"], issues, run_ts)
 
 
-def duplicate_log(cleaned: DataFrame, tiebreak: list[str], run_ts: str) -> DataFrame:
+def duplicate_log(cleaned: DataFrame, tiebreak: list[str] | None, run_ts: str) -> DataFrame:
     """The rows the deduplication leaves out."""
     flagged = flag_not_highest(cleaned, GRAIN, "amount_numeric", tiebreak)
     issues = [
@@ -99,14 +99,14 @@ SILVER_COLUMNS = (
 
 
 def conform(
-    cleaned: DataFrame, orders: DataFrame, rates: DataFrame, tiebreak: list[str], run_ts: str
+    cleaned: DataFrame, orders: DataFrame, rates: DataFrame, tiebreak: list[str] | None, run_ts: str
 ) -> DataFrame:
     """Deduplicate, flag orphans, convert and stamp.
 
     Deduplication comes first: it shrinks a hot order to its few category
     months before the order join sees it.
     """
-    single = keep_highest(cleaned, GRAIN, "amount_numeric", tiebreak).withColumn("IS_DUPLICATE", F.lit(False))
+    single = keep_highest(cleaned, GRAIN, "amount_numeric", tiebreak or cleaned.columns).withColumn("IS_DUPLICATE", F.lit(False))
     flagged = flag_orphans(single, orders)
     converted = convert_amounts(flagged, latest_rates(with_base_rate(rates)))
     return converted.withColumn("INGESTION_TS", F.lit(run_ts).cast("timestamp"))
@@ -124,15 +124,15 @@ def silver_financial(
 ) -> FinancialSilver:
     """The Silver table with its change and issue logs.
 
-    Four outputs read the cleaned rows, so these are written once.
+    ``tiebreak`` names an input sequence, if the deliveries have one. Four
+    outputs read the cleaned rows, so these are written once.
     """
-    order = tiebreak or ["SOURCE_FILE", "currency", "amount_raw"]
     cleaned = staged(clean(combine(long, wide)), "financial-cleaned")
-    conformed = conform(cleaned, orders, rates, order, run_ts)
+    conformed = conform(cleaned, orders, rates, tiebreak, run_ts)
     issue_columns = ["order_no", "SOURCE_FILE", "LOG_TYPE", "ORIGINAL_VALUE", "CORRECTED_VALUE", "DETAILS", "LOGGED_AT"]
     issues = union_sources(
         cleaning_issues(cleaned, run_ts).select(*issue_columns),
-        duplicate_log(cleaned, order, run_ts).select(*issue_columns),
+        duplicate_log(cleaned, tiebreak, run_ts).select(*issue_columns),
         conversion_log(conformed, run_ts).select(*issue_columns),
     )
     return FinancialSilver(conformed.select(*SILVER_COLUMNS), cleaning_log(cleaned, run_ts), issues)

@@ -92,7 +92,7 @@ def deduplicate(cleaned: DataFrame) -> DataFrame:
     return keep_first_equal(_without_raw(cleaned), columns, ["ROW_ID"]).withColumn("IS_DUPLICATE", F.lit(False))
 
 
-def duplicate_log(cleaned: DataFrame, sequence: list[str], run_ts: str) -> DataFrame:
+def duplicate_log(cleaned: DataFrame, sequence: list[str] | None, run_ts: str) -> DataFrame:
     columns = compared_columns(cleaned)
     flagged = flag_repeats(cleaned, columns, sequence)
     return repeat_log(flagged, ["ROW_ID", "SOURCE_FILE"], columns, run_ts)
@@ -141,12 +141,11 @@ def silver_kpi(
 ) -> KpiSilver:
     """The Silver table with its change log and the log of dropped repeats.
 
-    Three outputs read the cleaned rows, so these are written once.
+    ``sequence`` names an input sequence, if the deliveries have one. Three outputs read the cleaned rows, so these are written once.
     """
     cleaned = [staged(clean(long, LONG_SOURCE), "kpi-long"), staged(clean(wide, WIDE_SOURCE), "kpi-wide")]
-    order = sequence or ["ROW_ID"]
     changes = [cleaning_log(c, run_ts) for c in cleaned]
-    repeats = [duplicate_log(c, order, run_ts) for c in cleaned]
+    repeats = [duplicate_log(c, sequence, run_ts) for c in cleaned]
     return KpiSilver(
         conform(*cleaned, master, year),
         changes[0].unionByName(changes[1]),

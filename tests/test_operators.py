@@ -58,6 +58,22 @@ def test_keep_highest_and_its_log(spark):
     assert {r["seq"] for r in flagged if not r["IS_DUPLICATE"]} == winners
 
 
+def test_copies_without_a_sequence(spark):
+    rows = [r[:4] for r in hot_rows()] + [("HOT", "c", "2024-01", Decimal(9))] * 250
+    df = spark.createDataFrame(rows, "order_no string, category string, period string, amount decimal(18,4)").repartition(4)
+    flagged = flag_not_highest(df, KEY, "amount", None)
+    assert Counter(tuple(r)[:4] for r in flagged.collect()) == Counter(rows)
+    kept = Counter(tuple(r)[:4] for r in flagged.filter("not IS_DUPLICATE").collect())
+    best = {}
+    for r in rows:
+        if r[:3] not in best or (r[3] or 0) > (best[r[:3]] or 0):
+            best[r[:3]] = r[3]
+    assert kept == Counter((*k, v) for k, v in best.items())
+    repeats = flag_repeats(df, KEY, None)
+    assert repeats.filter("not IS_DUPLICATE").count() == len(best)
+    assert repeats.count() == len(rows)
+
+
 def test_keep_highest_twice_changes_nothing(spark):
     once = keep_highest(spark.createDataFrame(hot_rows(), ROW), KEY, "amount", ["seq"])
     twice = keep_highest(once, KEY, "amount", ["seq"])

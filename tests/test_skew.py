@@ -39,6 +39,13 @@ def test_flagging_duplicates_is_spread(hot):
     assert largest_task(flag_repeats(hot, ["k"], ["seq"])) < LIMIT
 
 
+def test_equal_copies_are_spread(spark, hot):
+    copies = hot.select(F.when(F.col("k") == "HOT", F.lit("HOT")).otherwise(F.col("seq").cast("string")).alias("k"))
+    flagged = flag_repeats(copies, ["k"], None)
+    assert largest_task(flagged) < 2 * LIMIT
+    assert flagged.filter("k = 'HOT' and IS_DUPLICATE").count() == ROWS // 3 - 1
+
+
 def test_keeping_one_row_moves_one_row_per_task(hot):
     kept = keep_highest(hot, ["k"], "amount", ["seq"])
     assert kept.count() == kept.select("k").distinct().count()

@@ -144,6 +144,7 @@ def kpi_silver(spark, sf_dir):
 def test_kpi_load_drops_and_logs_repeats(spark, sf_dir, kpi_silver):
     plain = kpi.silver_kpi_table(view(spark, sf_dir, "kpi_long"), view(spark, sf_dir, "kpi_wide"), view(spark, sf_dir, "kpi_master"), 2024)
     assert Counter(plain.collect()) == Counter(kpi_silver.table.collect())
+    assert kpi_silver.duplicates.count() == view(spark, sf_dir, "kpi_long").count()
     log = kpi_silver.changes.groupBy("LOG_TYPE").count().collect()
     assert {r["LOG_TYPE"] for r in log} == {"OCR_FIX", "NORMALISE"}
 
