@@ -7,21 +7,19 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import blank_if_null
-
 # Fixed value: the separator between the fields of a digest.
 SEPARATOR = "||"
 
 UNKNOWN_KEY = -1
 
 
-def row_digest(columns: Iterable[str | Column]) -> Column:
-    """SHA-256 over the fields, NULL as empty text (``concat_ws`` would skip it)."""
-    parts = [blank_if_null(F.col(c) if isinstance(c, str) else c) for c in columns]
-    return F.sha2(F.concat_ws(SEPARATOR, *parts), 256)
+def row_digest(columns: Iterable[str]) -> Column:
+    """SHA-256 over the named columns, NULL as empty text (``concat_ws`` would skip it)."""
+    parts = ", ".join(f"coalesce(cast(`{c}` as string), '')" for c in columns)
+    return F.expr(f"sha2(concat_ws('{SEPARATOR}', {parts}), 256)")
 
 
-def surrogate_key(*columns: str | Column) -> Column:
+def surrogate_key(*columns: str) -> Column:
     """A stable 60-bit key from the natural key.
 
     It needs no numbering pass over the dimension, so it is computed row by

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import blank_if_null
 from tallyloom.operators.spread import keep_first, mark_copies, mark_not_first
 
 
@@ -34,7 +33,7 @@ def flag_not_highest(
 
 
 def _equal_rows(columns: Sequence[str]) -> list[Column]:
-    return [blank_if_null(F.col(f"`{c}`")) for c in columns]
+    return [F.expr(f"coalesce(cast(`{c}` as string), '')") for c in columns]
 
 
 def keep_first_equal(df: DataFrame, columns: Sequence[str], sequence: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.amounts import AMOUNT, convert, to_rate
+from tallyloom.functions.amounts import convert, to_rate
 from tallyloom.functions.periods import period_start
 from tallyloom.functions.text import squeeze, title_case
 from tallyloom.operators.reshape import union_sources
@@ -193,6 +193,7 @@ def quarantine_orphans(df: DataFrame, known: DataFrame, key: str = "order_no") -
 
 # ---- KPI master ----------------------------------------------------------
 
+# The natural key of a KPI and the attributes of its master row.
 MASTER_KEYS = ("Pillar", "Sub_Pillar", "Department", "KPI_Name", "Sub_KPI_Type")
 MASTER_ATTRIBUTES = (
     "PILLAR_ID", "SP_ID", "UA_ID", "Yearly_Target", "Aggregation_Method", "direction",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Delivered field to business name.
 HEADER_FIELDS = {"id": "order_id", "userId": "customer_id", "title": "order_code", "body": "order_notes"}
 LINE_FIELDS = {
     "id": "line_id", "postId": "order_id", "name": "line_description", "email": "buyer_contact", "body": "line_notes",

@@ -11,6 +11,7 @@ from tallyloom.functions.text import fill_sentinel, flag, squeeze
 from tallyloom.operators.reshape import union_sources
 from tallyloom.operators.spread import keep_first
 
+# The key columns of a KPI delivery.
 KPI_KEY = ("Pillar", "Sub_Pillar", "Department", "KPI_Name", "Sub_KPI_Type", "Unit")
 
 

@@ -19,6 +19,7 @@ from tallyloom.operators.reshape import union_sources, unpivot_dates
 from tallyloom.session import staged
 from tallyloom.sources.tables import with_source
 
+# Names of the two deliveries.
 LONG_SOURCE = "financial_long_format.csv"
 WIDE_SOURCE = "financial_wide_format.csv"
 GRAIN = ("order_no", "category", "period")
@@ -91,6 +92,7 @@ def conversion_log(silver: DataFrame, run_ts: str) -> DataFrame:
     return issue_log(silver, ["order_no", "category", "period", "currency", "SOURCE_FILE"], issues, run_ts)
 
 
+# The columns of the Silver table.
 SILVER_COLUMNS = (
     "order_no", "customer_name", "category", "period", "amount", "currency", "amount_numeric",
     "IS_AMOUNT_UNPARSEABLE", "IS_ORPHANED_ORDER", "IS_DUPLICATE", "converted_amount_vnd",

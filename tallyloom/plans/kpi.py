@@ -21,12 +21,14 @@ from tallyloom.operators.reshape import (
 from tallyloom.session import staged
 from tallyloom.sources.tables import with_source
 
+# Names of the two deliveries.
 LONG_SOURCE = "kpi_actual_long.csv"
 WIDE_SOURCE = "kpi_actual_wide.csv"
 
 # The casing rule per column; columns not named keep their case.
 CASING = {"Pillar": F.upper}
 
+# The columns whose change makes a Silver row a different one.
 HASH_COLUMNS = (
     "PILLAR_ID", "SP_ID", "UA_ID", "Pillar", "Sub_Pillar", "Department", "KPI_Name", "Sub_KPI_Type", "Unit",
     "PERIOD", "actual_value",
