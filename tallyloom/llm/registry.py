@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, line_dedup, warc
+from tallyloom.llm import decontaminate, line_dedup, packing, secret_scan, token_counts, warc
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_harmonic_packing": packing.op5_harmonic_packing,
+        "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_token_counts": token_counts.op7_token_counts,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_archive_convert": warc.op10_archive_convert,
