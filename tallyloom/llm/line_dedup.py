@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ascii_lower, row_tag, table
+from tallyloom.llm.common import ascii_lower, row_tag, stage, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -24,19 +24,20 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10
     document; a text that loses all lines becomes empty. Other columns are carried inside `row`, whatever
     their names.
 
-    The shuffles carry hashes and positions; a text moves once, to meet the positions it loses. Documents per
+    The texts are cut into lines once, into a staged table. The shuffles carry hashes and positions; a text moves once, to meet the positions it loses. Documents per
     hash are counted in two steps that both combine before the shuffle, so a line in a third of all documents
     is a row per task.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
     rows = rows.withColumn("tag", row_tag(F.col("body")))
-    lines = (
+    lines = stage(
         rows.where("id is not null")
         .select("id", "tag", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
         .where(F.length("line") >= min_length)
         .select("id", "tag", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_length)
-        .select("id", "tag", "pos", F.unhex(F.md5("key")).alias("hash"))
+        .select("id", "tag", "pos", F.unhex(F.md5("key")).alias("hash")),
+        "lines",
     )
     repeated = (
         lines.select("hash", "id").distinct()
@@ -45,13 +46,14 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10
         .select("hash", "keeper")
     )
     lost = lines.join(repeated, "hash").where("id > keeper").groupBy("id", "tag").agg(F.collect_set("pos").alias("lost"))
-    n = F.size(F.split("body", "\n"))
-    lines_of = F.split("body", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("lost"))
-    text = F.array_join(F.transform(kept, lambda i: lines_of[i]), "\n")
-    return rows.join(lost, ["id", "tag"], "left").select(
+    cut = rows.join(lost, ["id", "tag"], "left").select(
+        "row", "body", "lost", F.when(F.col("lost").isNotNull(), F.split("body", "\n")).alias("lines")
+    )
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    text = F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n")
+    return cut.select(
         "row",
-        n.cast("long").alias("n_lines"),
+        (F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
         F.when(F.col("lost").isNull(), F.col("body")).otherwise(text).alias("kept_text"),
     )
