@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, license_scan, line_dedup, packing, secret_scan, token_counts, warc
+from tallyloom.llm import decontaminate, license_scan, line_dedup, packing, secret_scan, token_counts, toxicity, warc
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_license_scan": license_scan.op3_license_scan,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_token_counts": token_counts.op7_token_counts,
