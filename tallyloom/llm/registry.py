@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc
+from tallyloom.llm import decontaminate, embedding_dedup, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_ngram_jaccard": ngram_jaccard.op2_ngram_jaccard,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
@@ -25,6 +26,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_oracles() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": embedding_dedup.ORACLE,
         "op2_ngram_jaccard": ngram_jaccard.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_benchmark_decontamination": decontaminate.ORACLE,
