@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fresh_path, stage, table
+from tallyloom.llm.common import fresh_path, small_batches, stage, table
 
 # Field names of an ARC version block, by version (fixed values of the format).
 ARC_FIELDS = {
@@ -74,7 +74,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20200101000000") -> None
             rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
             yield _lines([arc_record(*row, version, date) for row in rows])
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(records, "record binary"), path, "\n")
+    _write(small_batches(pages.select("page_id", "url", "html")).mapInArrow(records, "record binary"), path, "\n")
 
 
 def _lines(records: list[bytes]) -> pa.RecordBatch:
@@ -83,7 +83,8 @@ def _lines(records: list[bytes]) -> pa.RecordBatch:
 
 def _write(records: DataFrame, path: str, end: str) -> None:
     """Bytes as they are, each record followed by `end`."""
-    records.select(F.col("record").cast("string")).write.option("lineSep", end).option("compression", "gzip").text(path)
+    out = records.select(F.col("record").cast("string")).write.option("lineSep", end).option("compression", "gzip")
+    out.option("zlib.compress.level", "THREE").text(path)
 
 
 def _open(content: bytes) -> io.BufferedReader:
@@ -183,7 +184,7 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    return small_batches(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
 def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -234,7 +235,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         for batch in batches:
             yield _lines([warc_record(row) for row in batch.to_pylist()])
 
-    _write(records.select(*columns).mapInArrow(out, "record binary"), path, "\r\n\r\n")
+    _write(small_batches(records.select(*columns)).mapInArrow(out, "record binary"), path, "\r\n\r\n")
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
