@@ -295,15 +295,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     rows = stage(unit_vectors(vectors), "units")
     classes = rows.where("digest is not null").groupBy("digest").agg(
-        F.coalesce(F.min("vec_id").cast("long"), F.lit(-1).cast("long") - F.abs(F.xxhash64("digest") % (1 << 40))).alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit")
+        F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit")
     )
-    # Two different vectors may share a vec_id; the smallest digest keeps the number, the others get one of their own.
-    classes = stage(classes, "classes")
-    clash = classes.groupBy("id").agg(F.min("digest").alias("owner"), F.count("*").alias("n")).where("n > 1")
-    if clash.limit(1).count():
-        joined = classes.join(clash.select("id", "owner"), "id", "left")
-        own = F.col("owner").isNull() | (F.col("owner") == F.col("digest"))
-        classes = stage(joined.select("digest", F.when(own, F.col("id")).otherwise(-1 - F.abs(F.xxhash64("digest") >> 1)).alias("id"), "copies", "unit"), "classes")
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     classes = classes.withColumn("dim", F.size("unit"))
     placed = stage(assign(classes, fit_centres(classes)), "placed")
 
@@ -333,8 +327,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     found = stage(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     part = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    least = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("least"))
-    of = classes.select("digest", "id", "copies").join(links, "id", "left").join(part, "id", "left").join(least, "digest")
+    of = classes.select("digest", "id", "copies", "least").join(links, "id", "left").join(part, "id", "left")
     of = of.withColumn("component", F.coalesce("component", "id"))
     named = of.groupBy("component").agg(F.min("least").alias("component_id"))
     of = of.join(named, "component").select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
