@@ -68,8 +68,9 @@ def small_batches(docs: DataFrame) -> DataFrame:
 
 
 def worker_state(key: str, build: Callable[[], object]) -> object:
-    """An object built once in each Python worker process and kept for its later tasks."""
+    """An object built once in each Python worker process and kept for its later tasks, until another one is asked for."""
     held = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
-    if key not in held:
-        held[key] = build()
-    return held[key]
+    if held.get("key") != key:
+        held["value"] = None
+        held["key"], held["value"] = key, build()
+    return held["value"]

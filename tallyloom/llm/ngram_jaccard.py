@@ -2,38 +2,52 @@
 
 Two sets of similarity t share at least t of the larger one, so, in any one order of all tokens, the first
 n - ceil(t n) + l tokens of both hold l common ones, for every l. A longer prefix costs more list entries and
-asks for more matches before a pair is verified; each document takes the l that its own lists make cheapest,
-and a pair must match as often as the smaller l of the two. The order puts rare tokens first: tokens below a
-hash bound by their document count, the others by hash; counts cover all documents.
+asks for more matches before a pair is verified; each document takes the l that its estimated candidates make
+cheapest, and a pair must match as often as the smaller l of the two.
 
-Equal sets are one vertex. Vertices are linked in two rounds. The first verifies, in each list, every document
-against the list's smallest one; that is linear, and joins groups of near copies without their pairs. The
-second verifies the pairs that are left between different components, so no link that matters is missed.
+The order puts rare tokens first. All tokens of all documents are counted, in a table of fixed size: tokens
+of one bucket share a count, so a token that many documents hold is never taken for a rare one. Any order
+gives right results; the counts only keep long lists out of the prefixes.
+
+Equal sets are one vertex. Vertices are linked in rounds. While long lists hold different components, each
+round verifies chance neighbours of those lists, which is linear and joins a group of near copies without its
+pairs. At the end all pairs that are left between different components are matched and verified, so no link
+that matters is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_staged, row_tag, small_batches, stage, table, worker_state
+from tallyloom.llm.common import row_tag, small_batches, stage, table, worker_state
 from tallyloom.llm.components import connected_components
 
 # Most matches that a prefix may ask for.
-MOST_MATCHES = 4
+MOST_MATCHES = 6
 # Verifying a pair counts as so many list entries for each token of its sets.
 VERIFY_COST = 0.05
-# Document count assumed for tokens above the hash bound.
-UNCOUNTED = 1.5
+# Other documents that a token of no special count is taken to have.
+CHANCE = 0.25
+# Token counts: buckets by the top bits of the hash, summed in chunks.
+BUCKET_BITS = 24
+CHUNK_BITS = 18
+# A count as one byte: so many steps for each doubling.
+STEPS = 8
+# Lists of this many entries take part in the rounds of chance neighbours.
+LONG_LIST = 16
+# Prefixes of up to this many tokens go along with their list entries.
+HEAD = 18
 # Keys of candidate texts are broadcast up to this many, else they meet the texts in a shuffle.
 BROADCAST_KEYS = 4_000_000
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):
@@ -76,32 +90,77 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def hash_bound(percent: int) -> int:
-    """Tokens below are counted: one and a half times as many as the shortest prefix needs, seen over all texts."""
-    return min((1 << 64) * (100 - percent) * 3 // 200, (1 << 64) - 1)
+def count_tokens(docs: DataFrame, width: int) -> np.ndarray:
+    """A byte for each bucket: how many tokens of all documents fall into it, on a logarithmic scale.
+
+    A task adds up its own documents and sends one compressed table; tables are summed chunk by chunk as they
+    come. The driver gets 2**BUCKET_BITS bytes, whatever the size of the corpus.
+    """
+    buckets, chunk = 1 << BUCKET_BITS, 1 << CHUNK_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = worker_state("word-hashes", WordHashes), np.zeros(buckets, np.uint32)
+        for batch in batches:
+            held = [shingle_set(t or "", width, hashes) >> np.uint64(64 - BUCKET_BITS) for t in batch.column("text").to_pylist()]
+            np.add.at(total, np.concatenate([np.zeros(0, np.uint64), *held]), np.uint32(1))
+        parts = [(i, zlib.compress(total[i * chunk : (i + 1) * chunk].tobytes(), 1)) for i in range(buckets // chunk) if total[i * chunk : (i + 1) * chunk].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                more = np.frombuffer(zlib.decompress(part), np.uint32)
+                total[i] = total[i] + more if i in total else more.astype(np.uint64)
+        logs = [np.minimum(255, np.round(STEPS * np.log2(1 + t.astype(np.float64)))).astype(np.uint8).tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(logs, pa.binary())], ["chunk", "logs"])
+
+    parts = small_batches(docs.select("text")).mapInArrow(count, "chunk long, counts binary").repartition(buckets // chunk, "chunk")
+    logs = np.zeros(buckets, np.uint8)
+    for row in parts.mapInArrow(add, "chunk long, logs binary").collect():
+        logs[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.logs, np.uint8)
+    return logs
+
 
+def choose_prefix(tokens: np.ndarray, logs: np.ndarray, usual: float, percent: int) -> tuple[int, np.ndarray]:
+    """(matches, tokens): the prefix of the cheapest l under the order (count, hash).
 
-def shingle(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, tag, digest of the set, n, counted (tokens below the bound), and rest: what the longest prefix needs of the others."""
-    bound = np.uint64(hash_bound(percent))
+    What a bucket counts above the usual is taken as the other documents of a token.
+    """
+    n = len(tokens)
+    share = least_overlap(n, percent)
+    longest = n - share + min(MOST_MATCHES, share)
+    count = logs[tokens >> np.uint64(64 - BUCKET_BITS)]
+    first = np.lexsort((tokens, count))[:longest]
+    others = np.maximum(2.0 ** (count[first] / STEPS) - 1 - usual, 0.0) + CHANCE
+    listed = np.cumsum(others)
+    best = min(range(1, min(MOST_MATCHES, share) + 1), key=lambda l: listed[n - share + l - 1] * (1 + VERIFY_COST * n / l))
+    return best, tokens[first[: n - share + best]]
+
+
+def prefixes(docs: DataFrame, logs: np.ndarray, width: int, percent: int) -> DataFrame:
+    """doc_id, tag, digest of the set, n, matches and prefix of each row."""
     of = docs.schema["doc_id"].dataType.simpleString()
+    # What an average token of one document finds in its bucket beside itself.
+    usual = float(np.mean(2.0 ** (logs / STEPS) - 1))
+    held = docs.sparkSession.sparkContext.broadcast(logs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_state("word-hashes", WordHashes)
         for batch in batches:
             found = [shingle_set(t or "", width, hashes) for t in batch.column("text").to_pylist()]
-            below = [int(np.searchsorted(s, bound)) for s in found]
-            need = [len(s) - least_overlap(len(s), percent) + min(MOST_MATCHES, least_overlap(len(s), percent)) for s in found]
+            chosen = [choose_prefix(s, held.value, usual, percent) if len(s) else (0, s) for s in found]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("tag"),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary()),
-                pa.array([len(s) for s in found], pa.int64()),
-                _lists([signed(s[:k]) for s, k in zip(found, below, strict=True)]),
-                _lists([signed(s[k : max(k, m)]) for s, k, m in zip(found, below, need, strict=True)]),
-            ], ["doc_id", "tag", "digest", "n", "counted", "rest"])
+                batch.column("doc_id"), batch.column("tag"), pa.array([digest_of(s) for s in found], pa.binary()),
+                pa.array([len(s) for s in found], pa.int64()), pa.array([m for m, _ in chosen], pa.int64()), _lists([signed(t) for _, t in chosen]),
+            ], ["doc_id", "tag", "digest", "n", "matches", "prefix"])
 
     rows = docs.select("doc_id", row_tag(F.coalesce("text", F.lit(""))).alias("tag"), "text")
-    return small_batches(rows).mapInArrow(sets, f"doc_id {of}, tag long, digest binary, n long, counted array<long>, rest array<long>")
+    return small_batches(rows).mapInArrow(sets, f"doc_id {of}, tag long, digest binary, n long, matches long, prefix array<long>")
+
+
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -109,52 +168,24 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
 
 
-def choose_prefix(n: int, n_counted: int, known: list[tuple[int, int]], rest: list[int], percent: int) -> tuple[int, list[int]]:
-    """(matches, tokens): the prefix of the cheapest l, without its tokens that no other document has.
-
-    `known` holds (documents, token) of the counted tokens that others have too; the other counted ones come
-    first in the order, and those of `rest` last.
-    """
-    known = sorted(known)
-    share = least_overlap(n, percent)
-    single, best = n_counted - len(known), None
-    entries = [docs - 1 for docs, _ in known] + [UNCOUNTED - 1] * len(rest)
-    for matches in range(1, min(MOST_MATCHES, share) + 1):
-        used = max(0, n - share + matches - single)
-        listed = sum(entries[:used])
-        cost = listed + listed / matches * VERIFY_COST * n
-        if best is None or cost < best[0]:
-            best = (cost, matches, used)
-    _, matches, used = best
-    return matches, ([t for _, t in known] + rest)[:used]
-
-
-def postings(sets: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
-    """token, vid, n, matches: the prefix entries of every vertex in lists of two or more."""
-    tokens = sets.select("row", F.explode("counted").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    known = tokens.join(shared, "token").groupBy("row").agg(F.collect_list(F.struct("docs", "token")).alias("known"))
-    rows = vertices.join(known.withColumnRenamed("row", "vid"), "vid", "left")
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], []]
-            for row in batch.to_pylist():
-                known = [(k["docs"], k["token"]) for k in row["known"] or ()]
-                matches, chosen = choose_prefix(row["n"], row["n_counted"], known, row["rest"], percent)
-                for column, value in zip(out, (chosen, *([v] * len(chosen) for v in (row["vid"], row["n"], matches))), strict=True):
-                    column.extend(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["token", "vid", "n", "matches"])
-
-    entries = stage(rows.mapInArrow(prefixes, "token long, vid long, n long, matches long"), "prefixes")
+def postings(vertices: DataFrame) -> DataFrame:
+    """token, pos, vid, n, matches: the prefix entries of every vertex in lists of two or more, with their places in the prefix."""
+    entries = vertices.select(F.posexplode("prefix").alias("pos", "token"), "vid", "n", "matches")
     listed = entries.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
     return entries.join(listed, "token", "left_semi")
 
 
-def close_sizes(percent: int):
+def close_sizes(percent: int) -> Column:
+    """Whether sets of n_a and n_b tokens can be that similar."""
     return percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
 
 
+def can_overlap(before: Column, percent: int) -> Column:
+    """Whether two sets can still be that similar, if up to the places pos_a and pos_b of their orders they have `before` tokens in common."""
+    most = before + F.least(F.col("n_a") - 1 - F.col("pos_a"), F.col("n_b") - 1 - F.col("pos_b"))
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of vertices whose whole sets are similar enough.
 
@@ -173,7 +204,7 @@ def verify(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, width: int, p
                 if tag not in given:
                     given.add(tag)
                     s = shingle_set(text, width, hashes)
-                    found[hashlib.blake2b(s.tobytes(), digest_size=16).digest()] = signed(s)
+                    found[digest_of(s)] = signed(s)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _lists(list(found.values()))], ["digest", "tokens"])
 
     made = small_batches(texts).mapInArrow(sets, "digest binary, tokens array<long>").join(ends.select("digest", "vid"), "digest")
@@ -192,30 +223,27 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     are equal texts. component_id is the smallest doc_id reachable by links. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    sets = stage(shingle(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    first = F.min(F.struct("row", "tag", "n", F.size("counted").alias("n_counted"), "rest")).alias("first")
+    logs = count_tokens(docs, width)
+    sets = stage(prefixes(docs, logs, width, percent).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    first = F.min(F.struct("row", "tag", "n", "matches", "prefix")).alias("first")
     vertices = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), first)
-    vertices = stage(vertices.select("digest", "least_id", F.col("first.row").alias("vid"), "first.tag", "first.n", "first.n_counted", "first.rest"), "vertices")
-    lists = stage(postings(sets, vertices, percent), "postings")
-
-    smallest = lists.groupBy("token").agg(F.min(F.struct("n", "vid", "matches")).alias("s"))
-    stars = lists.join(smallest, "token").where("vid <> s.vid").select(
-        F.least("vid", "s.vid").alias("a"), F.greatest("vid", "s.vid").alias("b"),
-        F.col("n").alias("n_a"), F.col("s.n").alias("n_b"), F.least("matches", "s.matches").alias("matches"),
-    )
-    links = stage(verify(_matched(stars, percent), docs, vertices, width, percent), "links")
-    part = connected_components(links)
-
-    within = lists.join(part.withColumnRenamed("id", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    mixed = within.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    within = stage(within.join(mixed, "token", "left_semi"), "mixed")
-    left = within.select("token", F.col("vid").alias("a"), F.col("n").alias("n_a"), F.col("matches").alias("m_a"), F.col("component").alias("c_a"))
-    right = within.select("token", F.col("vid").alias("b"), F.col("n").alias("n_b"), F.col("matches").alias("m_b"), F.col("component").alias("c_b"))
-    across = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close_sizes(percent))
-    across = across.select("a", "b", "n_a", "n_b", F.least("m_a", "m_b").alias("matches"))
-    more = stage(verify(_matched(across, percent), docs, vertices, width, percent), "links")
-
-    part = connected_components(links.union(more))
+    vertices = stage(vertices.select("digest", "least_id", F.col("first.row").alias("vid"), "first.tag", "first.n", "first.matches", "first.prefix"), "vertices")
+    lists = stage(postings(vertices), "postings")
+
+    links, part, turn, gain = None, None, 0, True
+    while True:
+        within, entries, across = _mixed(lists, part)
+        if across <= 4 * entries or not gain:
+            break
+        new = stage(verify(_neighbours(within, turn, percent), docs, vertices, width, percent), "links")
+        # A round that joins less than a hundredth of the entries it looked at is not worth another.
+        gain, turn = 100 * new.count() > entries, turn + 1
+        links = new if links is None else links.union(new)
+        part = connected_components(links)
+    pairs = _across(within, vertices, percent)
+    more = stage(verify(pairs, docs, vertices, width, percent), "links")
+
+    part = connected_components(more if links is None else links.union(more))
     of = vertices.join(part.withColumnRenamed("id", "vid"), "vid", "left").select("digest", "least_id", F.coalesce("component", "vid").alias("component"))
     named = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = of.join(named, "component").select("digest", "component", "component_id")
@@ -227,10 +255,68 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
-def _matched(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs with as many common prefix tokens as they need."""
-    counted = pairs.where(close_sizes(percent)).groupBy("a", "b").agg(F.count("*").alias("common"), F.first("matches").alias("matches"))
-    return stage(counted.where("common >= matches").select("a", "b"), "candidates")
+def _mixed(lists: DataFrame, part: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """Lists that hold different components, the number of their entries, and of the pairs across components in long ones."""
+    if part is None:
+        within = lists.withColumn("component", F.col("vid"))
+    else:
+        within = lists.join(part.withColumnRenamed("id", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+    own = within.groupBy("token", "component").agg(F.count("*").alias("k"))
+    size = own.groupBy("token").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside")).where("size * size > inside")
+    within = stage(within.join(size, "token"), "mixed")
+    pairs = F.sum(F.when(F.col("size") >= LONG_LIST, (F.col("size") - F.col("inside") / F.col("size")) / 2))
+    found = within.agg(F.count("*").alias("entries"), pairs.alias("across")).first()
+    return within, found["entries"], found["across"] or 0
+
+
+def _neighbours(within: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of different components that stand side by side in long lists, in an order by chance that changes with each turn.
+
+    Lists are cut into runs, so that no task holds a list.
+    """
+    chance = F.xxhash64("vid", "token", F.lit(turn))
+    runs = within.where(F.col("size") >= LONG_LIST).withColumn("chance", chance).withColumn("run", F.pmod("chance", F.ceil(F.col("size") / 256)))
+    order = Window.partitionBy("token", "run").orderBy("chance", "vid")
+    after = F.lead(F.struct("vid", "n", "component", "pos")).over(order)
+    pairs = runs.withColumn("next", after).where("next is not null and component <> next.component")
+    pairs = pairs.select(
+        F.least("vid", "next.vid").alias("a"), F.greatest("vid", "next.vid").alias("b"),
+        F.col("n").alias("n_a"), F.col("next.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("next.pos").alias("pos_b"),
+    )
+    possible = close_sizes(percent) & can_overlap(F.least("pos_a", "pos_b") + 1, percent)
+    return stage(pairs.where(possible).select("a", "b").distinct(), "candidates")
+
+
+def _across(within: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components with as many common prefix tokens as they need, and room for enough others.
+
+    Entries of short prefixes bring the prefix: two of them are matched on the spot, and the pair passes once,
+    at its first common token. Other pairs are counted over the lists.
+    """
+    heads = vertices.where(F.size("prefix") <= HEAD).select("vid", F.col("prefix").alias("head"))
+    rows = within.join(heads, "vid", "left")
+    side = lambda x: rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("vid", "n", "matches", "component", "pos", "head")))
+    need, common = F.least("matches_a", "matches_b"), F.array_intersect("head_a", "head_b")
+    whole = F.col("head_a").isNotNull() & F.col("head_b").isNotNull()
+    once = (F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= need) & _room(common, "head_a", "head_b", percent)
+    pairs = side("a").join(side("b"), "token").where(
+        (F.col("vid_a") < F.col("vid_b")) & (F.col("component_a") != F.col("component_b")) & close_sizes(percent)
+        & can_overlap(F.least("pos_a", "pos_b") + 1, percent) & F.when(whole, once).otherwise(True)
+    ).select("vid_a", "vid_b", "n_a", "n_b", need.alias("need"), whole.alias("whole"), "pos_a", "pos_b")
+    counted = pairs.groupBy(F.col("vid_a").alias("a"), F.col("vid_b").alias("b"), "n_a", "n_b", "need", "whole").agg(
+        F.count("*").alias("common"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b")
+    )
+    # A token left out by its place shows that its pair is not similar, so counts that matter are whole.
+    passed = F.col("whole") | ((F.col("common") >= F.col("need")) & can_overlap(F.col("common"), percent))
+    return stage(counted.where(passed).select("a", "b"), "candidates")
+
+
+def _room(common: Column, a: str, b: str, percent: int) -> Column:
+    """Whether the tokens behind the last common one leave two sets similar enough."""
+    last = F.get(common, F.size(common) - 1)
+    behind = F.least(F.col("n_a") - F.array_position(F.col(a), last), F.col("n_b") - F.array_position(F.col(b), last))
+    most = F.size(common) + behind
+    return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -25,7 +25,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 UNIT = regex.compile(r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
 BLANK = regex.compile(r"\s*")
 # Distinct units that a worker remembers before it starts anew: bounds its memory on any corpus.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:

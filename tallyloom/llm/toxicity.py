@@ -29,7 +29,7 @@ TRAIN_ROWS = 12_000
 TRAIN_CHARS = 32_768
 FEATURES = 4096
 LEAST_DOCS = 3
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 @dataclass
