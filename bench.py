@@ -13,6 +13,7 @@ import time
 
 from tallyloom.session import local_session
 from tallyloom.workload.queries import all_queries
+from tallyloom.workload.views import SCAN_TASKS
 
 
 def main() -> None:
@@ -21,6 +22,8 @@ def main() -> None:
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     partitions = int(cpus) if cpus.isdigit() else 8
     spark = local_session(cpus, shuffle_partitions=partitions, memory=os.environ.get("BENCH_MEMORY", "16g"))
+    # the given tables are files of one row group each: ask for as many tasks behind their scan as there are cores
+    spark.conf.set(SCAN_TASKS, str(partitions))
     catalog = all_queries()
     chosen = {k: v for k, v in catalog.items() if not wanted or k in wanted}
 

@@ -19,43 +19,21 @@ def nest_lines(
     lines: DataFrame,
     key: str = "order_id",
     order: Sequence[str] = ("line_id",),
-    max_items: int = 100_000,
+    part_lines: int = 10_000,
 ) -> DataFrame:
-    """Every header with an array ``line_items``, empty when it has no line.
+    """Headers with an array ``line_items``; the grain is (order, ``line_part``).
 
-    A NULL key meets a NULL key; lines without header are left out; repeated
-    headers each get the lines. One row cannot hold an array of any length, so
-    an order with more than ``max_items`` lines comes as several rows numbered
-    by ``line_part``, about ``max_items`` lines each; all others have part 0.
+    One row cannot hold an array of any length, so every order is cut the same way: part ``p`` holds the
+    lines whose number, the first column of ``order``, lies in ``[p * part_lines, (p + 1) * part_lines)``. A
+    line without a number is in part 0, and so is the empty array of an order without lines. Lines are sorted
+    inside a part, and parts by their number. A NULL key meets a NULL key; lines without header are left out;
+    repeated headers each get the lines.
     """
     fields = [*order, *[c for c in lines.columns if c != key and c not in order]]
-    # at most (all lines / max_items) orders can be oversize, so this side is small
-    oversize = (
-        lines.groupBy(F.col(key).alias("_big_key"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .select("_big_key", F.ceil(F.col("_n") / max_items).alias("_parts"))
+    part = F.coalesce(F.floor(F.col(order[0]) / part_lines), F.lit(0)).cast("bigint")
+    nested = lines.groupBy(F.col(key).alias("_line_key"), part.alias("line_part")).agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("line_items")
     )
-    is_big = F.col(key).eqNullSafe(F.col("_big_key"))
-    usual = (
-        lines.join(oversize, is_big, "left_anti")
-        .groupBy(F.col(key).alias("_line_key"))
-        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("line_items"))
-        .withColumn("line_part", F.lit(0).cast("bigint"))
-    )
-    # lines of an oversize order are cut by their content, equal lines by their number
-    counted = (
-        lines.join(oversize, is_big)
-        .groupBy("_big_key", "_parts", *fields)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / max_items))))
-        .withColumn("_take", F.least(F.lit(max_items), F.col("_copies") - F.col("_run") * max_items).cast("int"))
-        .withColumn("line_part", F.pmod(F.xxhash64(*fields), F.col("_parts")) + F.col("_run") * F.col("_parts"))
-    )
-    cut = counted.groupBy(F.col("_big_key").alias("_line_key"), "line_part").agg(
-        F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.struct(*fields), F.col("_take"))))).alias("line_items")
-    )
-    nested = usual.unionByName(cut)
     joined = headers.join(nested, F.col(key).eqNullSafe(F.col("_line_key")), "left").drop("_line_key")
     item = nested.schema["line_items"].dataType.simpleString()
     return joined.withColumns(

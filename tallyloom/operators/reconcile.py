@@ -74,40 +74,41 @@ def _both(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFram
     )
 
 
-def key_differences(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per key: on which side it is, and for each field whether the sides agree.
+def key_differences(
+    left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str], measures: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key: its rows on each side, and for each field whether the sides hold the same values as often.
 
-    Both sides are stacked and grouped, which also compares keys that are NULL
-    or repeated without pairing their rows.
+    ``row_differs`` tells whether whole rows differ, also where each field by itself agrees. Rows are counted
+    with a sign: +1 on the left, -1 on the right. Equal rows of both sides cancel out, so NULL and repeated
+    keys are compared without pairing their rows. Counts combine before each shuffle.
     """
-    is_left = F.col("_left")
-    extent = []
-    for f in fields:
-        for side, on in (("l", is_left), ("r", ~is_left)):
-            extent.append(F.min(F.when(on, F.col(f))).alias(f"_{side}_min_{f}"))
-            extent.append(F.max(F.when(on, F.col(f))).alias(f"_{side}_max_{f}"))
-            extent.append(F.count(F.when(on, F.col(f))).alias(f"_{side}_n_{f}"))
-    grouped = _both(left, right, [*key, *fields]).groupBy(*key).agg(
-        F.count_if(is_left).alias("left_rows"), F.count_if(~is_left).alias("right_rows"), *extent
+    sign = F.when(F.col("_left"), 1).otherwise(-1)
+    side = [F.sum(F.when(F.col("_left") == on, F.col(m))).alias(f"_{name}_{m}") for m in measures for on, name in ((True, "l"), (False, "r"))]
+    rows = _both(left, right, [*key, *fields]).groupBy(*key, *fields).agg(
+        F.sum(sign).alias("_net"), F.count_if("_left").alias("_l"), F.count_if(~F.col("_left")).alias("_r"), *side
+    )
+    # A field agrees if its signed counts add up to 0 for each of its values: compared by two sums of independent digests.
+    def spread(f):
+        return [F.sum(F.xxhash64(F.lit(seed), F.col(f).isNull(), F.col(f)).cast("decimal(20,0)") * F.col("_net")).alias(f"_{f}_{seed}") for seed in (1, 2)]
+
+    grouped = rows.groupBy(*key).agg(
+        F.sum("_l").alias("left_rows"), F.sum("_r").alias("right_rows"), F.max(F.col("_net") != 0).alias("row_differs"),
+        *[c for f in fields for c in spread(f)],
+        *[F.sum(f"_{name}_{m}").alias(f"_{name}_{m}") for m in measures for name in ("l", "r")],
     )
     shared = (F.col("left_rows") > 0) & (F.col("right_rows") > 0)
-
-    def agree(f):
-        same = F.lit(True)
-        for part in ("min", "max", "n"):
-            same = same & F.col(f"_l_{part}_{f}").eqNullSafe(F.col(f"_r_{part}_{f}"))
-        return same
-
     return grouped.select(
-        *key, "left_rows", "right_rows", *[(shared & ~agree(f)).alias(f"{f}_differs") for f in fields]
+        *key, "left_rows", "right_rows", *[(shared & ((F.col(f"_{f}_1") != 0) | (F.col(f"_{f}_2") != 0))).alias(f"{f}_differs") for f in fields],
+        (shared & F.col("row_differs")).alias("row_differs"), *[f"_{name}_{m}" for m in measures for name in ("l", "r")],
     )
 
 
 def source_diff(
     left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str], measures: Sequence[str]
 ) -> DataFrame:
-    """Parallel-run report, one row per check: row counts, key coverage, field values, sums."""
-    per_key = key_differences(left, right, key, fields)
+    """Parallel-run report, one row per check: row counts, key coverage, field values, sums. Each side is read once."""
+    per_key = key_differences(left, right, key, fields, measures)
     only_left, only_right = F.col("right_rows") == 0, F.col("left_rows") == 0
     counts = per_key.agg(
         F.coalesce(F.sum("left_rows"), F.lit(0)).alias("l_rows"),
@@ -116,7 +117,8 @@ def source_diff(
         F.count_if(only_right).alias("r_only"),
         F.count_if(F.col("left_rows") > 1).alias("l_repeated"),
         F.count_if(F.col("right_rows") > 1).alias("r_repeated"),
-        *[F.count_if(f"{f}_differs").alias(f"d_{f}") for f in fields],
+        *[F.count_if(f"{f}_differs").alias(f"d_{f}") for f in (*fields, "row")],
+        *[F.sum(f"_{name}_{m}").alias(f"{name}_{m}") for m in measures for name in ("l", "r")],
     )
 
     def line(check, left_value, right_value):
@@ -130,15 +132,10 @@ def source_diff(
         line("row_count", F.col("l_rows"), F.col("r_rows")),
         line("only_here", F.col("l_only"), F.col("r_only")),
         line("repeated_keys", F.col("l_repeated"), F.col("r_repeated")),
-        *[line(f"differs:{f}", F.col(f"d_{f}"), F.col(f"d_{f}")) for f in fields],
+        *[line(f"differs:{f}", F.col(f"d_{f}"), F.col(f"d_{f}")) for f in (*fields, "row")],
+        *[line(f"sum:{m}", F.col(f"l_{m}"), F.col(f"r_{m}")) for m in measures],
     ]
-    sums = _both(left, right, list(measures)).agg(
-        *[F.sum(F.when(F.col("_left"), F.col(m))).alias(f"l_{m}") for m in measures],
-        *[F.sum(F.when(~F.col("_left"), F.col(m))).alias(f"r_{m}") for m in measures],
-    )
-    report = counts.select(F.inline(F.array(*lines)))
-    totals = sums.select(F.inline(F.array(*[line(f"sum:{m}", F.col(f"l_{m}"), F.col(f"r_{m}")) for m in measures])))
-    full = report.unionByName(totals) if measures else report
+    full = counts.select(F.inline(F.array(*lines)))
     agrees = F.when(
         F.col("check_name").startswith("differs:") | F.col("check_name").isin("only_here", "repeated_keys"),
         (F.col("left_value") == 0) & (F.col("right_value") == 0),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +27,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; ``shared`` is the folder of staged tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tallyloom")
@@ -38,6 +39,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SQL_SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -45,28 +48,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-@functools.cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="tallyloom-")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a staged table.
+    """A fresh path in the folder that driver and executors share: ``spark.checkpoint.dir``, else below the warehouse.
 
-    It lies in the folder named by ``spark.checkpoint.dir``, which every
-    executor can reach. Only a local-mode session may fall back to a
-    temporary folder of this machine.
+    It is removed when the session's JVM ends, if its owner has not done so before.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
-        base = _local_scratch()
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/tallyloom-{label}-{uuid.uuid4().hex[:12]}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame that several outputs read, and go on from the written table."""
+    """Write a frame that several outputs read, and go on from the written table; it stays until the session ends."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Owner of staged tables: gives a function like ``staged``, and removes its tables at the end."""
+    paths: list[str] = []
+
+    def stage(df: DataFrame, label: str) -> DataFrame:
+        paths.append(scratch_path(spark, label))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield stage
+    finally:
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

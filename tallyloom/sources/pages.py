@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW_PREFIX = 1000
+# Fixed value: characters of a broken document that the error log shows.
+SHOWN = 1000
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +77,10 @@ ERROR_MESSAGES = {
 
 
 def quarantine_pages(pages: DataFrame, endpoint: str, run_ts: str, page: str = "page") -> DataFrame:
-    """One error row per page that gave no records because it is broken."""
+    """One error row per page that gave no records because it is broken.
+
+    ``raw_document`` is the whole document, to be replayed; ``raw_response`` its beginning, to be read.
+    """
     message = F.coalesce(*[F.when(F.col("_error") == k, F.lit(v)) for k, v in ERROR_MESSAGES.items()])
     broken = classify_pages(pages).select(
         page, "document", F.explode(F.array_compact(F.array("_error"))).alias("_error")
@@ -85,7 +89,8 @@ def quarantine_pages(pages: DataFrame, endpoint: str, run_ts: str, page: str = "
         broken.select(
             F.lit(endpoint).alias("endpoint"),
             F.col(page).alias("request_page"),
-            F.substring("document", 1, RAW_PREFIX).alias("raw_response"),
+            F.col("document").alias("raw_document"),
+            F.substring("document", 1, SHOWN).alias("raw_response"),
             F.col("_error").alias("error_type"),
             message.alias("error_message"),
             F.lit(run_ts).cast("timestamp").alias("ingestion_ts"),

@@ -42,16 +42,3 @@ def parquet_copy(spark: SparkSession, csv_path: str, parquet_path: str) -> DataF
     """Keep the raw file and a columnar copy beside it."""
     read_csv(spark, csv_path).write.mode("overwrite").parquet(parquet_path)
     return spark.read.parquet(parquet_path)
-
-
-def spread_few_splits(df: DataFrame, *columns: str) -> DataFrame:
-    """Spread a delivery that arrives in fewer splits than there are cores.
-
-    A gzip file or a Parquet file with one row group cannot be split, so all of
-    its cleaning would run in one task. Inputs with enough splits, which is
-    every large table, are returned as they are and gain no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *columns)

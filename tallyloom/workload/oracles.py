@@ -302,10 +302,11 @@ ORACLES = {
     "json_pages_flatten": """SELECT CAST(o_orderkey // 500 AS VARCHAR) AS page, o_orderkey AS order_id, o_custkey AS customer_id, 'ORD-' || o_orderkey AS order_code,
        CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS order_notes FROM orders WHERE (o_orderkey // 500) % 7 IN (0, 5, 6)""",
     "json_quarantine": sql(f"""SELECT 'GET /orders/headers' AS endpoint, CAST(page AS VARCHAR) AS request_page,
-       substr(CASE kind WHEN 2 THEN substr(list, 1, length(list) - 5) WHEN 3 THEN '  ' ELSE '{{"data":{{"page":' || page || '}}}}' END, 1, 1000) AS raw_response,
+       raw_document, substr(raw_document, 1, 1000) AS raw_response,
        CASE kind WHEN 2 THEN 'MalformedJSON' WHEN 3 THEN 'EmptyResponse' ELSE 'ResponseFormat' END AS error_type,
        CASE kind WHEN 2 THEN 'document does not parse, no record taken' WHEN 3 THEN 'empty response' ELSE 'expected a list, or an object with a list under data' END AS error_message,
-       '{RUN_TS}' AS ingestion_ts FROM order_pages WHERE kind IN (2, 3, 4)"""),
+       '{RUN_TS}' AS ingestion_ts
+FROM (SELECT *, CASE kind WHEN 2 THEN substr(list, 1, length(list) - 5) WHEN 3 THEN '  ' ELSE '{{"data":{{"page":' || page || '}}}}' END AS raw_document FROM order_pages) WHERE kind IN (2, 3, 4)"""),
     "bronze_metadata": f"SELECT o_orderkey, o_orderstatus, 'orders.parquet' AS SOURCE_FILE, '{RUN_TS}' AS ingestion_timestamp FROM orders",
     "bronze_append": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate < DATE '1996-01-01' THEN '2024-01-31 06:00:00' ELSE '2024-02-07 06:00:00' END AS ingestion_timestamp,
        CASE WHEN o_orderdate < DATE '1996-01-01' THEN '2024-01-31' ELSE '2024-02-07' END AS ingestion_date FROM orders""",
@@ -366,6 +367,7 @@ UNION ALL SELECT 'repeated_keys', 0, 0
 UNION ALL SELECT 'differs:o_custkey', CAST(count_if(o_custkey_differs) AS DOUBLE), CAST(count_if(o_custkey_differs) AS DOUBLE) FROM copies
 UNION ALL SELECT 'differs:o_orderstatus', CAST(count_if(o_orderstatus_differs) AS DOUBLE), CAST(count_if(o_orderstatus_differs) AS DOUBLE) FROM copies
 UNION ALL SELECT 'differs:o_totalprice', CAST(count_if(o_totalprice_differs) AS DOUBLE), CAST(count_if(o_totalprice_differs) AS DOUBLE) FROM copies
+UNION ALL SELECT 'differs:row', CAST(count_if(o_custkey_differs OR o_orderstatus_differs OR o_totalprice_differs) AS DOUBLE), CAST(count_if(o_custkey_differs OR o_orderstatus_differs OR o_totalprice_differs) AS DOUBLE) FROM copies
 UNION ALL SELECT 'sum:o_totalprice', CAST((SELECT sum(o_totalprice) FROM copy_left) AS DOUBLE), CAST((SELECT sum(o_totalprice) FROM copy_right) AS DOUBLE))"""),
     "source_diff_keys": sql("SELECT o_orderkey, CAST(left_rows AS BIGINT) AS left_rows, CAST(right_rows AS BIGINT) AS right_rows, o_custkey_differs, o_orderstatus_differs, o_totalprice_differs FROM copies"),
     "fx_default_row": sql(f"""SELECT {sk('c.currency_code')} AS currency_sk, c.currency_code, CASE c.currency_code WHEN 'USD' THEN 'US Dollar' WHEN 'EUR' THEN 'Euro' ELSE 'Vietnamese Dong' END AS currency_name,
@@ -378,7 +380,7 @@ FROM cleaned_long c LEFT JOIN nearest_rates n ON c.currency = n.currency AND c.p
     "orphan_flag": sql("SELECT f.order_no, line_seq, e.order_no IS NULL AS IS_ORPHANED_ORDER FROM fin_dirty f LEFT JOIN erp_orders e ON f.order_no = e.order_no"),
     "orphan_quarantine": sql("SELECT order_no, line_seq, amount FROM fin_dirty WHERE order_no NOT IN (SELECT order_no FROM erp_orders)"),
     "orders_nested_lines": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, 'ORD-' || o_orderkey AS order_code, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS order_notes,
-       count(l_orderkey) AS line_count, coalesce(string_agg(item, ';' ORDER BY l_linenumber, part, email, note) FILTER (WHERE l_orderkey IS NOT NULL), '') AS line_items
+       coalesce(l_linenumber // 10000, 0)::BIGINT AS line_part, count(l_orderkey) AS line_count, coalesce(string_agg(item, ';' ORDER BY l_linenumber, part, email, note) FILTER (WHERE l_orderkey IS NOT NULL), '') AS line_items
 FROM orders LEFT JOIN (SELECT *, concat_ws('/', l_linenumber, part, email, note) AS item FROM (
   SELECT l_orderkey, l_linenumber, 'PART-' || l_partkey AS part, 'supplier-' || l_suppkey || '@example.com' AS email, l_quantity || ' x ' || l_shipdate AS note FROM lineitem)) ON l_orderkey = o_orderkey
 GROUP BY ALL""",
@@ -431,8 +433,8 @@ FROM ({_spine("2022-07", "2025-02")}) s LEFT JOIN fact_kpi f ON s.UA_ID = f.UA_I
                                  for c in ("order_no", "category", "period", "amount", "amount_numeric", "currency", "mapping_rule_id")])),
     "dq_gate": sql("SELECT count(*) AS checks, CAST(count_if(result = 'FAILED') AS BIGINT) AS failed, CAST(count_if(result = 'WARNING') AS BIGINT) AS warnings, CAST(count_if(result = 'FAILED') AS BIGINT) = 0 AS can_proceed FROM quality"),
     "run_summary": sql("SELECT count(*) AS total_rows, CAST(count_if(IS_ORPHANED_ORDER) AS BIGINT) AS orphaned_orders, CAST(count_if(IS_FX_CONVERSION_FAILED) AS BIGINT) AS fx_failed, CAST(count_if(IS_AMOUNT_UNPARSEABLE) AS BIGINT) AS unparseable_amounts FROM silver_fin"),
-    "gold_order_cost": sql(f"""SELECT customer_name, period, CAST(sum(converted_amount_vnd) AS DOUBLE) AS total_cost_vnd, count(*) AS cost_lines, {canonical('period', 'year')} AS year, {canonical('period', 'month')} AS month
-FROM silver_fin WHERE NOT IS_ORPHANED_ORDER AND converted_amount_vnd IS NOT NULL GROUP BY customer_name, period"""),
+    "gold_order_cost": sql(f"""SELECT customer_name, period, CAST(sum(converted_amount_vnd) AS DOUBLE) AS total_cost_vnd, count(*) AS cost_lines, count_if(converted_amount_vnd IS NULL)::BIGINT AS unconverted_lines, {canonical('period', 'year')} AS year, {canonical('period', 'month')} AS month
+FROM silver_fin WHERE NOT IS_ORPHANED_ORDER GROUP BY customer_name, period"""),
     "gold_kpi_achievement": sql("SELECT * REPLACE (CAST(actual_value AS DOUBLE) AS actual_value, CAST(target_value AS DOUBLE) AS target_value) FROM kpi_months"),
     "gold_pillar_rollup": sql("""SELECT PILLAR_ID, period, year, month, CASE WHEN n > 0 THEN CAST((2 * total + n) // (2 * n) AS DOUBLE) / 1000000 END AS mean_achievement, kpi_count, n AS rated_kpi_count
 FROM (SELECT PILLAR_ID, period, year, month, sum(CAST(round(achievement_pct * 1000000) AS HUGEINT)) AS total, count(achievement_pct) AS n, count(*) AS kpi_count

@@ -30,6 +30,7 @@ from tallyloom.operators.reshape import (
 )
 from tallyloom.operators.scd import build_history
 from tallyloom.plans import financial, gold, kpi
+from tallyloom.plans.orders import NUMERIC_IDS
 from tallyloom.session import scratch_path, staged, tune
 from tallyloom.sources.landing import append_bronze, merge_latest, with_year_month, write_partitions
 from tallyloom.sources.pages import flatten_pages, quarantine_pages, record_fields
@@ -167,10 +168,7 @@ def q_src_csv_roundtrip(spark, d):
 
 @query("json_pages_flatten")
 def q_json_pages_flatten(spark, d):
-    fields = {
-        "order_id": ("id", "bigint"), "customer_id": ("userId", "bigint"),
-        "order_code": ("title", "string"), "order_notes": ("body", "string"),
-    }
+    fields = {name: (source, "bigint" if source in NUMERIC_IDS else "string") for source, name in HEADER_FIELDS.items()}
     return record_fields(flatten_pages(_order_pages(spark, d)), fields)
 
 
@@ -190,8 +188,9 @@ def q_bronze_append(spark, d):
     """Two arrivals, old orders then new ones; both stay."""
     path = scratch_path(spark, "bronze-orders")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    append_bronze(orders.filter("o_orderdate < timestamp_ntz'1996-01-01'").drop("o_orderdate"), path, "2024-01-31 06:00:00")
-    append_bronze(orders.filter("o_orderdate >= timestamp_ntz'1996-01-01'").drop("o_orderdate"), path, "2024-02-07 06:00:00")
+    old = F.coalesce(F.col("o_orderdate") < F.expr("timestamp_ntz'1996-01-01'"), F.lit(True))
+    append_bronze(orders.filter(old).drop("o_orderdate"), path, "2024-01-31 06:00:00")
+    append_bronze(orders.filter(~old).drop("o_orderdate"), path, "2024-02-07 06:00:00")
     return spark.read.parquet(path).withColumn("ingestion_date", F.col("ingestion_date").cast("string"))
 
 
@@ -396,7 +395,7 @@ def q_source_diff(spark, d):
 @query("source_diff_keys")
 def q_source_diff_keys(spark, d):
     left, right = _order_copies(spark, d)
-    return key_differences(left, right, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice"])
+    return key_differences(left, right, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice"]).drop("row_differs")
 
 
 # ---- lookups -------------------------------------------------------------
@@ -441,7 +440,7 @@ def q_orders_nested_lines(spark, d):
     nested = nest_lines(headers, lines)
     listed = F.transform("line_items", lambda x: F.concat_ws("/", x["line_id"].cast("string"), x["line_description"], x["buyer_contact"], x["line_notes"]))
     return nested.select(
-        "order_id", "customer_id", "order_code", "order_notes",
+        "order_id", "customer_id", "order_code", "order_notes", "line_part",
         F.size("line_items").cast("bigint").alias("line_count"), F.array_join(listed, ";").alias("line_items"),
     )
 

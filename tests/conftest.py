@@ -11,8 +11,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    session = local_session(4, shuffle_partitions=4, memory="4g", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

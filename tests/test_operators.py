@@ -145,16 +145,39 @@ def test_nested_lines(spark):
     assert got == {"a": [5, 7], "b": [], "n": [9], "again": [5, 7]}
 
 
-def test_oversize_orders_come_in_parts(spark):
-    headers = spark.createDataFrame([(1,), (2,)], "order_id int")
-    rows = [(i, 1, "n") for i in range(95)] + [(500, 1, "copy")] * 57 + [(1, 2, "small")]
+def test_every_order_is_cut_by_the_same_rule(spark):
+    headers = spark.createDataFrame([(1,), (2,), (3,)], "order_id int")
+    rows = [(i, 1, "n") for i in range(95)] + [(12, 1, "copy")] * 3 + [(1, 2, "small"), (25, 2, "late"), (None, 2, "none")]
     lines = spark.createDataFrame(rows, "line_id int, order_id int, note string").repartition(3)
-    got = nest_lines(headers, lines, max_items=10).collect()
+    got = nest_lines(headers, lines, part_lines=10).collect()
     assert Counter((i["line_id"], r["order_id"], i["note"]) for r in got for i in r["line_items"]) == Counter(rows)
-    assert [r["line_part"] for r in got if r["order_id"] == 2] == [0]
-    parts = [r["line_part"] for r in got if r["order_id"] == 1]
-    assert len(parts) == len(set(parts)) > 10
-    assert max(len(r["line_items"]) for r in got) <= 30
+    assert sorted((r["order_id"], r["line_part"]) for r in got) == [*((1, p) for p in range(10)), (2, 0), (2, 2), (3, 0)]
+    for r in got:
+        numbers = [i["line_id"] for i in r["line_items"]]
+        assert all(n is None or n // 10 == r["line_part"] for n in numbers)
+        assert [n for n in numbers if n is not None] == sorted(n for n in numbers if n is not None)
+
+
+def test_key_differences_of_repeated_keys(spark):
+    from tallyloom.operators.reconcile import key_differences, source_diff
+
+    schema = "k int, a int, b string"
+    left = [(1, 1, "x"), (1, 2, "x"), (1, 2, "x"), (1, 3, "x"), (2, 1, "a"), (2, 2, "b"), (3, 5, None), (4, 1, "q"), (None, 1, "n"), (6, 7, "s")]
+    right = [(1, 1, "x"), (1, 1, "x"), (1, 3, "x"), (1, 3, "x"), (2, 1, "b"), (2, 2, "a"), (3, 5, ""), (5, 1, "q"), (None, 1, "n"), (6, 7, "s")]
+    args = (spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["k"], ["a", "b"])
+    got = {r["k"]: (r["left_rows"], r["right_rows"], r["a_differs"], r["b_differs"], r["row_differs"]) for r in key_differences(*args).collect()}
+    expected = {}
+    for k in {r[0] for r in left + right}:
+        here, there = [r for r in left if r[0] == k], [r for r in right if r[0] == k]
+        both = bool(here and there)
+        pick = lambda rows, i: Counter(r[i] for r in rows)
+        expected[k] = (
+            len(here), len(there), both and pick(here, 1) != pick(there, 1), both and pick(here, 2) != pick(there, 2), both and Counter(here) != Counter(there)
+        )
+    assert got == expected and expected[1][2] and expected[2] == (2, 2, False, False, True)
+    report = {r["check_name"]: r for r in source_diff(*args, ["a"]).collect()}
+    assert report["sum:a"]["left_value"] == sum(r[1] for r in left) and report["sum:a"]["right_value"] == sum(r[1] for r in right)
+    assert report["differs:row"]["left_value"] == 3 and not report["differs:row"]["matches"]
 
 
 RATES = [

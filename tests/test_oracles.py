@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyloom.workload.compare import difference, oracle_connection
+from compare import difference, oracle_connection
 from tallyloom.workload.oracles import all_oracles
 from tallyloom.workload.queries import all_queries
 

@@ -1,6 +1,7 @@
 """Sources, sinks and whole loads, on files."""
 
 import json
+import os
 from collections import Counter
 from decimal import Decimal
 
@@ -13,7 +14,7 @@ from tallyloom.plans.orders import order_tables
 from tallyloom.session import scratch_path, staged
 from tallyloom.sources.landing import append_bronze, merge_latest, upsert_table, with_year_month, write_partitions
 from tallyloom.sources.pages import quarantine_pages, read_pages
-from tallyloom.sources.tables import parquet_copy, read_csv, read_csv_with_origin, spread_few_splits
+from tallyloom.sources.tables import parquet_copy, read_csv, read_csv_with_origin
 from tallyloom.streaming.arrivals import append_new_files
 from tallyloom.workload.views import RUN_TS, view
 
@@ -118,10 +119,21 @@ def test_scratch_follows_the_session(spark):
     assert staged(spark.range(3), "t").count() == 3
 
 
-def test_few_splits_are_spread_and_many_are_left(spark):
-    assert spread_few_splits(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 4
-    many = spark.range(100, numPartitions=9)
-    assert spread_few_splits(many, "id") is many
+def test_upsert_moves_keys_and_leaves_nothing_behind(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v string, seq int, year int, month int"
+    latest = [F.col("seq").desc()]
+    upsert_table(spark, spark.createDataFrame([(1, "a", 1, 2024, 1), (2, "b", 1, 2024, 2), (3, "c", 1, 2024, 2)], schema), path, ["k"], latest)
+    before = set(os.listdir(scratch_root(spark)))
+    moved = spark.createDataFrame([(1, "A", 2, 2024, 3), (1, "old", 1, 2024, 1), (2, "B", 2, 2024, 2), (4, "d", 2, None, None)], schema)
+    for _ in range(2):
+        upsert_table(spark, moved, path, ["k"], latest)
+        rows = Counter(map(tuple, spark.read.parquet(path).select("k", "v", "year", "month").collect()))
+        assert rows == Counter([(1, "A", 2024, 3), (2, "B", 2024, 2), (3, "c", 2024, 2), (4, "d", None, None)])
+    assert set(os.listdir(scratch_root(spark))) <= before
+
+
+def scratch_root(spark):
+    return os.path.dirname(scratch_path(spark, "x").removeprefix("file:"))
 
 
 def test_financial_load_accounts_for_every_row(spark, sf_dir):
