@@ -169,10 +169,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def postings(vertices: DataFrame) -> DataFrame:
-    """token, pos, vid, n, matches: the prefix entries of every vertex in lists of two or more, with their places in the prefix."""
+    """token, pos, vid, n, matches, rank, listed: the prefix entries of every vertex in lists of two or more.
+
+    `rank` numbers such entries of a vertex by their place in the prefix, `listed` is how many it has. A token
+    before a common one that no other prefix has is not in the other set at all, so ranks bound what two
+    sets share so far.
+    """
     entries = vertices.select(F.posexplode("prefix").alias("pos", "token"), "vid", "n", "matches")
     listed = entries.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
-    return entries.join(listed, "token", "left_semi")
+    own = Window.partitionBy("vid")
+    return entries.join(listed, "token", "left_semi").withColumns(
+        {"rank": F.row_number().over(own.orderBy("pos")), "listed": F.count("*").over(own)}
+    )
 
 
 def close_sizes(percent: int) -> Column:
@@ -181,7 +189,7 @@ def close_sizes(percent: int) -> Column:
 
 
 def can_overlap(before: Column, percent: int) -> Column:
-    """Whether two sets can still be that similar, if up to the places pos_a and pos_b of their orders they have `before` tokens in common."""
+    """Whether two sets can still be that similar, if up to the places pos_a and pos_b of their orders they share at most `before` tokens."""
     most = before + F.least(F.col("n_a") - 1 - F.col("pos_a"), F.col("n_b") - 1 - F.col("pos_b"))
     return 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
 
@@ -277,13 +285,14 @@ def _neighbours(within: DataFrame, turn: int, percent: int) -> DataFrame:
     chance = F.xxhash64("vid", "token", F.lit(turn))
     runs = within.where(F.col("size") >= LONG_LIST).withColumn("chance", chance).withColumn("run", F.pmod("chance", F.ceil(F.col("size") / 256)))
     order = Window.partitionBy("token", "run").orderBy("chance", "vid")
-    after = F.lead(F.struct("vid", "n", "component", "pos")).over(order)
+    after = F.lead(F.struct("vid", "n", "component", "pos", "rank")).over(order)
     pairs = runs.withColumn("next", after).where("next is not null and component <> next.component")
     pairs = pairs.select(
         F.least("vid", "next.vid").alias("a"), F.greatest("vid", "next.vid").alias("b"),
         F.col("n").alias("n_a"), F.col("next.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("next.pos").alias("pos_b"),
+        F.least("rank", "next.rank").alias("shared"),
     )
-    possible = close_sizes(percent) & can_overlap(F.least("pos_a", "pos_b") + 1, percent)
+    possible = close_sizes(percent) & can_overlap(F.col("shared"), percent)
     return stage(pairs.where(possible).select("a", "b").distinct(), "candidates")
 
 
@@ -295,13 +304,13 @@ def _across(within: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """
     heads = vertices.where(F.size("prefix") <= HEAD).select("vid", F.col("prefix").alias("head"))
     rows = within.join(heads, "vid", "left")
-    side = lambda x: rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("vid", "n", "matches", "component", "pos", "head")))
+    side = lambda x: rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("vid", "n", "matches", "component", "pos", "rank", "listed", "head")))
     need, common = F.least("matches_a", "matches_b"), F.array_intersect("head_a", "head_b")
     whole = F.col("head_a").isNotNull() & F.col("head_b").isNotNull()
     once = (F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= need) & _room(common, "head_a", "head_b", percent)
     pairs = side("a").join(side("b"), "token").where(
         (F.col("vid_a") < F.col("vid_b")) & (F.col("component_a") != F.col("component_b")) & close_sizes(percent)
-        & can_overlap(F.least("pos_a", "pos_b") + 1, percent) & F.when(whole, once).otherwise(True)
+        & (F.least("listed_a", "listed_b") >= need) & can_overlap(F.least("rank_a", "rank_b"), percent) & F.when(whole, once).otherwise(True)
     ).select("vid_a", "vid_b", "n_a", "n_b", need.alias("need"), whole.alias("whole"), "pos_a", "pos_b")
     counted = pairs.groupBy(F.col("vid_a").alias("a"), F.col("vid_b").alias("b"), "n_a", "n_b", "need", "whole").agg(
         F.count("*").alias("common"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b")
