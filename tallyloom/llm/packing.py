@@ -29,7 +29,7 @@ CAPACITY = 4096
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END_ID = 2
 # Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 class WordEncoder:

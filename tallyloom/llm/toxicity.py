@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,11 @@ WORD = re.compile(r"[^\W_]+")
 # Word beginnings that are features beside the word: inflected and compounded forms share them.
 BEGINNINGS = (4, 5)
 # The classifier is fitted on at most this many labelled rows, those of the smallest hash, each of at most so many characters.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 TRAIN_CHARS = 32_768
 FEATURES = 4096
 LEAST_DOCS = 3
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 @dataclass
@@ -61,21 +62,20 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
         return Model({}, -12.0)
     y = np.array(labels, bool)
     number: dict[int, int] = {}
-    of_word: dict[str, list[int]] = {}
-    docs, sentences, ids, at = [], [], [], 0
+    of_word: dict[str, tuple[int, ...]] = {}
+    docs, sizes, ids = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for sentence in SENTENCE.findall(text.lower()):
-            own: list[int] = []
+            before = len(ids)
             for word in WORD.findall(sentence):
                 found = of_word.get(word)
                 if found is None:
-                    found = of_word[word] = [number.setdefault(f, len(number)) for f in features(word)]
-                own += found
+                    found = of_word[word] = tuple(number.setdefault(f, len(number)) for f in features(word))
+                ids.extend(found)
             docs.append(d)
-            ids.append(np.array(own, np.int32))
-            sentences.append(np.full(len(own), at, np.int32))
-            at += 1
-    doc, feature, row = np.array(docs, np.int64), np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int32), *sentences])
+            sizes.append(len(ids) - before)
+    doc, feature, at = np.array(docs, np.int64), np.array(ids, np.int32), len(docs)
+    row = np.repeat(np.arange(at, dtype=np.int32), np.array(sizes, np.int64))
     seen = np.unique(doc[row] * len(number) + feature)
     hit, of = y[seen // len(number)], seen % len(number)
     pos, all_ = np.bincount(of[hit], minlength=len(number)), np.bincount(of, minlength=len(number))
