@@ -41,19 +41,21 @@ def period_unparsed(raw: Column, parsed: Column) -> Column:
     return F.coalesce(parsed.eqNullSafe(raw) & ~parsed.rlike(CANONICAL_PERIOD), F.lit(True))
 
 
-def date_column_period(token: Column) -> Column:
-    """Column header ``31/01/2024`` to ``2024-01``."""
-    return F.date_format(F.try_to_date(token, "dd/MM/yyyy"), "yyyy-MM")
+def date_header_period(header: str) -> str:
+    """Column header ``31/01/2024`` to ``2024-01``; headers are known while a plan is made, so no row is parsed."""
+    _, month, year = header.split("/")
+    return f"{year}-{month}"
 
 
-def month_name_period(token: Column) -> Column:
-    """Column header ``Jan-24`` to ``2024-01``."""
-    return F.date_format(F.try_to_date(token, "MMM-yy"), "yyyy-MM")
+def month_name_header_period(header: str) -> str:
+    """Column header ``Jan-24`` to ``2024-01``: two-digit years mean 20xx."""
+    name, year = header.split("-")
+    return f"20{year}-{MONTH_NAMES[name.lower()]}"
 
 
-def month_number_period(token: Column, year: int) -> Column:
-    """Column header ``M3`` to ``2024-03`` for the given year."""
-    return F.concat(F.lit(f"{year:04d}-"), F.lpad(F.regexp_extract(token, r"^M(\d{1,2})$", 1), 2, "0"))
+def month_number_header(header: str) -> str:
+    """Column header ``M3`` to ``03``."""
+    return f"{int(header[1:]):02d}"
 
 
 def period_start(period: Column) -> Column:

@@ -86,11 +86,13 @@ def month_spine(versions: DataFrame, first: str, last: str) -> DataFrame:
 
 
 def with_missing_months(
-    spine: DataFrame, actuals: DataFrame, key: Sequence[str], value: str = "actual_value", extra: Sequence[str] = ()
+    spine: DataFrame, actuals: DataFrame, key: Sequence[str], value: str = "actual_value", extra: Sequence[str] = (),
+    unparseable: str | None = None,
 ) -> DataFrame:
-    """Every spine month, with its value or flagged as missing by design."""
+    """Every spine month, with its value or flagged as missing by design; ``unparseable`` flags values that are there but no number."""
+    there = F.coalesce(F.col(unparseable), F.lit(False)) if unparseable else F.lit(False)
     return (
         spine.join(actuals.select(*key, value, *extra), list(key), "left")
-        .withColumn("is_missing_actual", F.col(value).isNull())
+        .withColumn("is_missing_actual", F.col(value).isNull() & ~there)
         .withColumn(value, F.col(value).cast(AMOUNT))
     )

@@ -38,16 +38,17 @@ def fact_order_cost(silver: DataFrame, dates: DataFrame, customers: DataFrame, c
 
 
 def fact_kpi_actual(silver: DataFrame, source_order: list[str]) -> DataFrame:
-    """One row per KPI and month of the matched Silver rows.
+    """One row per KPI, month and unit of the matched Silver rows.
 
-    Where sources conflict, Silver keeps all of them; the fact takes the first
-    source of ``source_order`` and carries the conflict flag.
+    Where sources conflict, Silver keeps all of them; the fact takes a row with a number before one without,
+    then the first source of ``source_order``, and carries the conflict flag. A month whose only value is no
+    number is not missing: it is flagged.
     """
     rank = F.coalesce(*[F.when(F.col("SOURCE_FILE") == s, F.lit(i)) for i, s in enumerate(source_order)], F.lit(len(source_order)))
     matched = silver.filter(~F.col("IS_ORPHANED")).withColumn("_rank", rank)
-    one = keep_first(matched, ["UA_ID", "PERIOD"], [F.col("_rank"), F.col("ROW_HASH")])
+    one = keep_first(matched, ["UA_ID", "PERIOD", "Unit"], [F.col("actual_value").isNull(), F.col("_rank"), F.col("ROW_HASH")])
     return one.select(
-        surrogate_key("UA_ID", "PERIOD").alias("fact_sk"),
+        surrogate_key("UA_ID", "PERIOD", "Unit").alias("fact_sk"),
         surrogate_key("UA_ID", "Valid_From").alias("kpi_sk"),
         period_key(F.col("PERIOD")).alias("date_sk"),
         "UA_ID",
@@ -56,7 +57,8 @@ def fact_kpi_actual(silver: DataFrame, source_order: list[str]) -> DataFrame:
         F.col("Aggregation_Method").alias("aggregation_method"),
         F.col("actual_value").cast(AMOUNT).alias("actual_value"),
         F.col("Target").cast(AMOUNT).alias("row_target"),
-        F.col("actual_value").isNull().alias("is_missing_actual"),
+        (F.col("actual_value").isNull() & ~F.col("IS_VALUE_UNPARSEABLE")).alias("is_missing_actual"),
+        F.col("IS_VALUE_UNPARSEABLE").alias("is_value_unparseable"),
         F.col("IS_CONFLICT").alias("is_conflict"),
         "ROW_HASH",
         period_year(F.col("PERIOD")).alias("year"),

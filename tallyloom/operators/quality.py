@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ class Expectations:
     table: str
     key: Sequence[str]
     mandatory: Sequence[str]
-    numeric: Sequence[str] = ()
+    numeric: Mapping[str, str | None] = field(default_factory=dict)  # text column to the flag of values that are no number
     orphan_flag: str = "IS_ORPHANED"
     ratio: tuple[str, str] | None = None  # (unit column, value column)
 
@@ -42,15 +42,15 @@ def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
     """
     columns = set(df.columns)
     present = [c for c in expect.mandatory if c in columns]
-    numeric = [c for c in expect.numeric if c in columns]
+    numeric = {c: flag for c, flag in expect.numeric.items() if c in columns}
     has_flag = expect.orphan_flag in columns
 
     counters: dict[str, Column] = {"_rows": F.count(F.lit(1))}
     counters |= {f"_given_{c}": F.count(F.col(c)) for c in present}
-    counters |= {
-        f"_lost_{c}": F.count_if(F.col(c).isNotNull() & F.trim(F.col(c).cast("string")).try_cast(AMOUNT).isNull())
-        for c in numeric
-    }
+    for c, flag in numeric.items():
+        no_number = F.col(c).isNotNull() & F.trim(F.col(c).cast("string")).try_cast(AMOUNT).isNull()
+        known = F.coalesce(F.col(flag), F.lit(False)) if flag in columns else F.lit(False)
+        counters |= {f"_lost_{c}": F.count_if(no_number & ~known), f"_noted_{c}": F.count_if(no_number & known)}
     if has_flag:
         counters["_orphans"] = F.count_if(expect.orphan_flag)
     if expect.ratio:
@@ -77,6 +77,12 @@ def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
             for c in numeric
         ]
     )
+    noted = _listed(
+        [
+            F.when(F.col(f"_noted_{c}") > 0, F.concat(F.lit(f"{c}: "), F.col(f"_noted_{c}").cast("string"), F.lit(" flagged")))
+            for c in numeric
+        ]
+    )
     lines = [
         _line("silver_not_empty", status(F.col("_rows") == 0, FAILED), F.lit("")),
         _line("mandatory_columns", status(mandatory != "", FAILED), mandatory),
@@ -92,7 +98,12 @@ def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
             status(F.col("_repeated") > 0, FAILED),
             F.concat(F.lit("rows in repeated keys: "), F.col("_repeated").cast("string")),
         ),
-        _line("no_ocr_typos", status(lost != "", FAILED), lost),
+        # a text that is no number fails the check, unless the row says so itself
+        _line(
+            "no_ocr_typos",
+            F.when(lost != "", FAILED).when(noted != "", WARNING).otherwise(PASSED),
+            F.concat_ws("; ", F.when(lost != "", lost), F.when(noted != "", noted)),
+        ),
     ]
     if expect.ratio:
         lines.append(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fill_sentinel, flag, squeeze
 from tallyloom.operators.reshape import union_sources
-from tallyloom.operators.spread import keep_first
+from tallyloom.operators.spread import keep_first, mark_copies
 
 # The key columns of a KPI delivery.
 KPI_KEY = ("Pillar", "Sub_Pillar", "Department", "KPI_Name", "Sub_KPI_Type", "Unit")
@@ -25,19 +25,47 @@ def fill_kpi_sentinels(df: DataFrame) -> DataFrame:
     )
 
 
+def _stated(ranked: Sequence[DataFrame], value: str, text: str | None) -> DataFrame:
+    """Deliveries one below the other, with their rank and what each row states: its value, or its text if that is no number."""
+    tagged = [fill_kpi_sentinels(df).withColumn("_source_rank", F.lit(i)) for i, df in enumerate(ranked)]
+    unified = union_sources(*tagged)
+    return unified.withColumn("_stated", F.coalesce(F.col(value).cast("string"), F.col(text)) if text else F.col(value))
+
+
+def _total_order(df: DataFrame, key: Sequence[str]) -> list[Column]:
+    """Best source first, then all other columns, so that no choice depends on how rows arrive."""
+    others = [c for c in df.columns if c not in (*key, "_stated", "_source_rank")]
+    return [F.col("_source_rank"), *[F.col(c).asc_nulls_last() for c in others]]
+
+
 def reconcile_sources(
-    ranked: Sequence[DataFrame], key: Sequence[str] = (*KPI_KEY, "PERIOD"), value: str = "actual_value"
+    ranked: Sequence[DataFrame], key: Sequence[str] = (*KPI_KEY, "PERIOD"), value: str = "actual_value", text: str | None = None
 ) -> DataFrame:
     """Union deliveries, best source first, and settle what they say about each key.
 
-    * same value twice: the row of the best source stays
+    * same value twice: the row of the best source stays, the first of its rows by all their columns
     * different values: all stay, ``IS_CONFLICT`` on each
     * a missing value next to a given one: the given one stays
+    * a text that is no number (column ``text``) is neither missing nor settled: it counts as a value of its own
     """
-    tagged = [fill_kpi_sentinels(df).withColumn("_source_rank", F.lit(i)) for i, df in enumerate(ranked)]
-    unified = union_sources(*tagged)
-    distinct = keep_first(unified, [*key, value], [F.col("_source_rank")]).drop("_source_rank")
-    return with_conflicts(distinct, key, value)
+    unified = _stated(ranked, value, text)
+    distinct = keep_first(unified, [*key, "_stated"], _total_order(unified, key))
+    return with_conflicts(distinct, key, "_stated").drop("_source_rank", "_stated")
+
+
+def reconcile_drops(
+    ranked: Sequence[DataFrame], run_ts: str, key: Sequence[str] = (*KPI_KEY, "PERIOD"), value: str = "actual_value", text: str | None = None
+) -> DataFrame:
+    """The rows that ``reconcile_sources`` leaves out, each with its reason."""
+    unified = _stated(ranked, value, text)
+    marked = mark_copies(unified, [*key, "_stated"], _total_order(unified, key), "_repeat")
+    given = unified.filter(F.col("_stated").isNotNull()).select(*[F.col(k).alias(f"_g_{k}") for k in key]).distinct()
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    empty = marked.filter(~F.col("_repeat") & F.col("_stated").isNull()).join(given, same, "left_semi").withColumn("LOG_TYPE", F.lit("EMPTY_BESIDE_VALUE"))
+    repeats = marked.filter("_repeat").withColumn("LOG_TYPE", F.lit("SAME_VALUE_DROP"))
+    return repeats.unionByName(empty).drop("_repeat", "_stated", "_source_rank").withColumn("LOGGED_AT", F.lit(run_ts).cast("timestamp"))
 
 
 def with_conflicts(distinct: DataFrame, key: Sequence[str], value: str) -> DataFrame:
@@ -85,7 +113,7 @@ def key_differences(
     """
     sign = F.when(F.col("_left"), 1).otherwise(-1)
     side = [F.sum(F.when(F.col("_left") == on, F.col(m))).alias(f"_{name}_{m}") for m in measures for on, name in ((True, "l"), (False, "r"))]
-    rows = _both(left, right, [*key, *fields]).groupBy(*key, *fields).agg(
+    rows = _both(left, right, list(dict.fromkeys([*key, *fields, *measures]))).groupBy(*key, *fields).agg(
         F.sum(sign).alias("_net"), F.count_if("_left").alias("_l"), F.count_if(~F.col("_left")).alias("_r"), *side
     )
     # A field agrees if its signed counts add up to 0 for each of its values: compared by two sums of independent digests.

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.periods import date_column_period, month_name_period, month_number_period
+from tallyloom.functions.periods import date_header_period, month_name_header_period, month_number_header
 
 # Header patterns of the month columns.
 DATE_HEADER = r"\d{2}/\d{2}/\d{4}"
@@ -21,28 +21,34 @@ def columns_like(df: DataFrame, pattern: str) -> list[str]:
     return [c for c in df.columns if re.fullmatch(pattern, c)]
 
 
-def _unpivot(df: DataFrame, pattern: str, period: str, value: str, to_period: Callable[[Column], Column]) -> DataFrame:
+def _unpivot(df: DataFrame, pattern: str, period: str, value: str, to_period: Callable[[str], str]) -> DataFrame:
+    """Month columns are renamed to their period first, so the period column is the renamed header."""
     months = columns_like(df, pattern)
     if not months:
         raise ValueError(f"no column matches {pattern!r}")
-    ids = [c for c in df.columns if c not in months]
-    tall = df.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in months], "_token", value)
-    return tall.withColumn(period, to_period(F.col("_token"))).drop("_token")
+    ids = [F.col(f"`{c}`") for c in df.columns if c not in months]
+    named = df.select(*ids, *[F.col(f"`{c}`").alias(to_period(c)) for c in months])
+    return named.unpivot(ids, [F.col(f"`{to_period(c)}`") for c in months], period, value)
 
 
 def unpivot_dates(df: DataFrame, period: str = "period", value: str = "amount") -> DataFrame:
     """``dd/MM/yyyy`` columns to rows; empty cells are dropped (the layout is sparse)."""
-    return _unpivot(df, DATE_HEADER, period, value, date_column_period).filter(F.col(value).isNotNull())
+    return _unpivot(df, DATE_HEADER, period, value, date_header_period).filter(F.col(value).isNotNull())
 
 
 def unpivot_month_names(df: DataFrame, period: str = "PERIOD", value: str = "actual_value") -> DataFrame:
     """``Jan-24`` columns to rows; empty cells stay as missing months."""
-    return _unpivot(df, MONTH_NAME_HEADER, period, value, month_name_period)
+    return _unpivot(df, MONTH_NAME_HEADER, period, value, month_name_header_period)
 
 
-def unpivot_month_numbers(df: DataFrame, year: int, period: str = "PERIOD", value: str = "actual_value") -> DataFrame:
-    """``M1..M12`` columns to rows of the given year; empty cells stay as missing months."""
-    return _unpivot(df, MONTH_NUMBER_HEADER, period, value, lambda token: month_number_period(token, year))
+def unpivot_month_numbers(
+    df: DataFrame, year: int | str, period: str = "PERIOD", value: str = "actual_value"
+) -> DataFrame:
+    """``M1..M12`` columns to rows; ``year`` is one year, or the column that has it. Empty cells stay as missing months."""
+    tall = _unpivot(df, MONTH_NUMBER_HEADER, period, value, month_number_header)
+    of = F.col(year).cast("string") if isinstance(year, str) else F.lit(str(year))
+    tall = tall.withColumn(period, F.concat_ws("-", F.lpad(of, 4, "0"), F.col(period)))
+    return tall.drop(year) if isinstance(year, str) else tall
 
 
 def map_fields(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -18,6 +18,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def landed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of files that hold one document a line."""
+    return spark.read.text(path).select(F.col("value").alias("document"))
+
+
 def classify_pages(pages: DataFrame) -> DataFrame:
     """Parse each document once and name what is wrong with it, if anything.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tallyloom.operators.lookup import CUSTOMER_NAMES
-from tallyloom.workload.views import KPI_YEAR, MONTH_ENDS, MONTH_NAMES, MONTHS, RUN_TS, VIEWS, oracle_view
+from tallyloom.workload.views import MONTH_ENDS, MONTH_NAMES, MONTHS, PERIODS, RUN_TS, VIEWS, oracle_view
 
 LONG_FIN, WIDE_FIN = "financial_long_format.csv", "financial_wide_format.csv"
 LONG_KPI, WIDE_KPI = "kpi_actual_long.csv", "kpi_actual_wide.csv"
@@ -128,7 +128,8 @@ def _kpi_clean(view, values):
     cells = ", ".join(f'{ocr(q(v))} AS {q(v)}' for v in values)
     raw = ", ".join(f'{q(v)} AS "_raw_{v}"' for v in [*KPI_KEYS, *values])
     texts = ", ".join(f"{'upper(' + squeeze(k) + ')' if k == 'Pillar' else squeeze(k)} AS {k}" for k in KPI_KEYS)
-    return f"SELECT {digest(*KPI_KEYS)} AS ROW_ID, {texts}, {cells}, {raw} FROM {view}"
+    year = ["Year"] if view == "kpi_long" else []
+    return f"SELECT {digest(*KPI_KEYS, *year)} AS ROW_ID, {''.join(y + ', ' for y in year)}{texts}, {cells}, {raw} FROM {view}"
 
 
 def q(name):
@@ -136,31 +137,43 @@ def q(name):
 
 
 LONG_MONTHS = [f"M{m}" for m in MONTHS]
-CTES["long_clean"] = _kpi_clean("kpi_long", LONG_MONTHS)
+LONG_VALUES = [*LONG_MONTHS, "Target"]
+CTES["long_clean"] = _kpi_clean("kpi_long", LONG_VALUES)
 CTES["wide_clean"] = _kpi_clean("kpi_wide", MONTH_NAMES)
 
 
-def _tall(source, columns, source_file, rank):
-    rows = "\nUNION ALL\n".join(
-        f"SELECT {KEY_LIST}, {amount(q(c))} AS actual_value, '{KPI_YEAR}-{m:02d}' AS PERIOD FROM {source}" for m, c in zip(MONTHS, columns)
-    )
+CTES["long_once"] = f"""SELECT DISTINCT Year, {KEY_LIST}, {", ".join(q(v) for v in LONG_VALUES)} FROM long_clean"""
+CTES["wide_once"] = f"""SELECT DISTINCT {KEY_LIST}, {", ".join(q(v) for v in MONTH_NAMES)} FROM wide_clean"""
+
+
+def _tall(source, cells, target, source_file, rank):
+    rows = "\nUNION ALL\n".join(f"SELECT {KEY_LIST}, trim({q(c)}) AS text, {target} AS Target, {period} AS PERIOD FROM {source}" for c, period in cells)
     return f"""SELECT Pillar, coalesce(nullif({squeeze("Sub_Pillar")}, ''), 'UNKNOWN') AS Sub_Pillar, Department, KPI_Name,
-       coalesce(nullif(trim(Sub_KPI_Type), ''), 'N/A') AS Sub_KPI_Type, Unit, actual_value, PERIOD, '{source_file}' AS SOURCE_FILE, {rank} AS source_rank
+       coalesce(nullif(trim(Sub_KPI_Type), ''), 'N/A') AS Sub_KPI_Type, Unit, {amount("text")} AS actual_value,
+       CASE WHEN text <> '' AND {amount("text")} IS NULL THEN text END AS unparsed_text, Target, PERIOD, '{source_file}' AS SOURCE_FILE, {rank} AS source_rank
 FROM ({rows})"""
 
 
+_LONG_CELLS = [(c, f"CAST(Year AS VARCHAR) || '-{m:02d}'") for m, c in zip(MONTHS, LONG_MONTHS)]
+_WIDE_CELLS = [(c, f"'{p}'") for p, c in zip(PERIODS, MONTH_NAMES)]
 CTES["kpi_tall"] = f"""
-{_tall("long_clean", LONG_MONTHS, LONG_KPI, 0)}
+SELECT *, coalesce(CAST(actual_value AS VARCHAR), unparsed_text) AS stated FROM (
+{_tall("long_once", _LONG_CELLS, amount("Target"), LONG_KPI, 0)}
 UNION ALL
-{_tall("wide_clean", MONTH_NAMES, WIDE_KPI, 1)}"""
+{_tall("wide_once", _WIDE_CELLS, "CAST(NULL AS DECIMAL(18,4))", WIDE_KPI, 1)})"""
+
+CTES["kpi_issue_rows"] = "SELECT * FROM kpi_tall WHERE unparsed_text IS NOT NULL"
+
+CTES["kpi_ranked"] = f"""
+SELECT *, row_number() OVER (PARTITION BY {KEY_LIST}, PERIOD, stated ORDER BY source_rank, Target NULLS LAST) AS place,
+       count(stated) OVER (PARTITION BY {KEY_LIST}, PERIOD) AS all_given FROM kpi_tall"""
 
 CTES["unified"] = f"""
-SELECT {KEY_LIST}, CAST(NULL AS DECIMAL(18,4)) AS Target, SOURCE_FILE, actual_value, PERIOD, false AS IS_DUPLICATE,
-       coalesce(low <> high, false) AS IS_CONFLICT
-FROM (SELECT *, min(actual_value) OVER grain AS low, max(actual_value) OVER grain AS high, count(actual_value) OVER grain AS given
-      FROM (SELECT * FROM kpi_tall QUALIFY row_number() OVER (PARTITION BY {KEY_LIST}, PERIOD, actual_value ORDER BY source_rank) = 1)
-      WINDOW grain AS (PARTITION BY {KEY_LIST}, PERIOD))
-WHERE actual_value IS NOT NULL OR given = 0"""
+SELECT {KEY_LIST}, Target, SOURCE_FILE, actual_value, unparsed_text, PERIOD, false AS IS_DUPLICATE,
+       coalesce(low <> high, false) AS IS_CONFLICT, unparsed_text IS NOT NULL AS IS_VALUE_UNPARSEABLE
+FROM (SELECT *, min(stated) OVER grain AS low, max(stated) OVER grain AS high, count(stated) OVER grain AS given
+      FROM (SELECT * FROM kpi_ranked WHERE place = 1) WINDOW grain AS (PARTITION BY {KEY_LIST}, PERIOD))
+WHERE stated IS NOT NULL OR given = 0"""
 
 CTES["master"] = """
 SELECT * REPLACE (coalesce(Sub_Pillar, 'UNKNOWN') AS Sub_Pillar, coalesce(Sub_KPI_Type, 'N/A') AS Sub_KPI_Type) FROM kpi_master"""
@@ -175,7 +188,7 @@ FROM unified u LEFT JOIN master m ON {_MATCH} AND u.PERIOD >= m.Valid_From AND u
 
 CTES["fact_kpi"] = f"""
 SELECT * FROM silver_kpi_rows WHERE NOT IS_ORPHANED
-QUALIFY row_number() OVER (PARTITION BY UA_ID, PERIOD ORDER BY CASE SOURCE_FILE WHEN '{LONG_KPI}' THEN 0 ELSE 1 END, ROW_HASH) = 1"""
+QUALIFY row_number() OVER (PARTITION BY UA_ID, PERIOD, Unit ORDER BY actual_value IS NULL, CASE SOURCE_FILE WHEN '{LONG_KPI}' THEN 0 ELSE 1 END, ROW_HASH) = 1"""
 
 
 def _spine(first, last):
@@ -189,9 +202,10 @@ SELECT {sk("s.UA_ID", "s.Valid_From")} AS kpi_sk, s.UA_ID, s.PILLAR_ID, s.PERIOD
        s.direction, f.actual_value, s.Yearly_Target AS target_value, {achieved("f.actual_value", "s.Yearly_Target", "s.direction")} AS achievement_pct,
        s.Yearly_Target = 0 AS zero_target_kpi,
        coalesce(s.direction = 'LOWER' AND f.actual_value = 0 AND s.Yearly_Target <> 0, false) AS zero_actual_lower,
-       f.actual_value IS NULL AS is_missing_actual, coalesce(f.IS_CONFLICT, false) AS is_conflict,
+       f.actual_value IS NULL AND NOT coalesce(f.IS_VALUE_UNPARSEABLE, false) AS is_missing_actual,
+       coalesce(f.IS_VALUE_UNPARSEABLE, false) AS is_value_unparseable, coalesce(f.IS_CONFLICT, false) AS is_conflict,
        {canonical("s.PERIOD", "year")} AS year, {canonical("s.PERIOD", "month")} AS month
-FROM ({_spine(f"{KPI_YEAR}-01", f"{KPI_YEAR}-12")}) s LEFT JOIN fact_kpi f ON s.UA_ID = f.UA_ID AND s.PERIOD = f.PERIOD"""
+FROM ({_spine(PERIODS[0], PERIODS[-1])}) s LEFT JOIN fact_kpi f ON s.UA_ID = f.UA_ID AND s.PERIOD = f.PERIOD"""
 
 CTES["order_pages"] = """
 SELECT page, page % 7 AS kind, '[' || string_agg('{"id":' || id || ',"userId":' || userId || ',"title":"' || title || '"' ||
@@ -242,6 +256,14 @@ def _orphans(table, column, rows):
        'orphaned rows: ' || CAST(count_if({column}) AS VARCHAR) FROM {rows}"""
 
 
+def _noted(column, flag):
+    """Details and result of the cast check where every text that is no number is flagged."""
+    return (
+        f"CASE WHEN count_if({flag}) > 0 THEN '{column}: ' || CAST(count_if({flag}) AS VARCHAR) || ' flagged' ELSE '' END",
+        f"CASE WHEN count_if({flag}) > 0 THEN 'WARNING' ELSE 'PASSED' END",
+    )
+
+
 def _given(*columns):
     return "concat_ws('; ', " + ", ".join(f"CASE WHEN count({c}) = 0 THEN '{c} has no value' END" for c in columns) + ")"
 
@@ -252,10 +274,11 @@ UNION ALL SELECT 'ratio_range', 'silver_kpi', CASE WHEN count_if(Unit = '%' AND
 
 CTES["quality"] = f"""
 {_quality("silver_financial", "order_no, category, period", "silver_fin",
-          _given("order_no", "category", "period", "amount_numeric", "currency"), _orphans("silver_financial", "IS_ORPHANED_ORDER", "silver_fin"))}
+          _given("order_no", "category", "period", "amount_numeric", "currency"), _orphans("silver_financial", "IS_ORPHANED_ORDER", "silver_fin"),
+          *_noted("amount", "IS_AMOUNT_UNPARSEABLE"))}
 UNION ALL
 {_quality("silver_kpi", KEY_LIST + ", PERIOD, SOURCE_FILE", "silver_kpi_rows", _given("KPI_Name", "PERIOD", "actual_value", "Unit"),
-          _orphans("silver_kpi", "IS_ORPHANED", "silver_kpi_rows"), extra=_RATIO)}"""
+          _orphans("silver_kpi", "IS_ORPHANED", "silver_kpi_rows"), *_noted("unparsed_text", "IS_VALUE_UNPARSEABLE"), extra=_RATIO)}"""
 
 
 def sql(final: str) -> str:
@@ -285,7 +308,7 @@ def _change(keep, column, before, after, kind, source, file="SOURCE_FILE"):
 
 def _kpi_changes():
     rows = []
-    for source, file, months in (("long_clean", LONG_KPI, LONG_MONTHS), ("wide_clean", WIDE_KPI, MONTH_NAMES)):
+    for source, file, months in (("long_clean", LONG_KPI, LONG_VALUES), ("wide_clean", WIDE_KPI, MONTH_NAMES)):
         for c in [*months, *KPI_KEYS]:
             kind = "NORMALISE" if c in KPI_KEYS else "OCR_FIX"
             rows.append(_change("ROW_ID", c, q(f"_raw_{c}"), q(c), kind, source, f"'{file}'"))
@@ -322,8 +345,8 @@ UNION ALL SELECT o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18
     "map_line_fields": """SELECT CAST(l_linenumber AS BIGINT) AS line_id, l_orderkey AS order_id, 'PART-' || l_partkey AS line_description,
        'supplier-' || l_suppkey || '@example.com' AS buyer_contact, l_quantity || ' x ' || l_shipdate AS line_notes FROM lineitem""",
     "unpivot_dates": sql("SELECT * FROM fin_wide_tall"),
-    "unpivot_month_names": sql(_log(*[f"SELECT {KEY_LIST}, \"{n}\" AS actual_value, '{KPI_YEAR}-{m:02d}' AS PERIOD FROM kpi_wide" for m, n in zip(MONTHS, MONTH_NAMES)])),
-    "unpivot_month_numbers": sql(_log(*[f"SELECT {KEY_LIST}, M{m} AS actual_value, '{KPI_YEAR}-{m:02d}' AS PERIOD FROM kpi_long" for m in MONTHS])),
+    "unpivot_month_names": sql(_log(*[f"SELECT {KEY_LIST}, \"{n}\" AS actual_value, '{p}' AS PERIOD FROM kpi_wide" for p, n in zip(PERIODS, MONTH_NAMES)])),
+    "unpivot_month_numbers": sql(_log(*[f"SELECT {KEY_LIST}, Target, M{m} AS actual_value, CAST(Year AS VARCHAR) || '-{m:02d}' AS PERIOD FROM kpi_long" for m in MONTHS])),
     "union_long_wide": sql("SELECT * FROM combined"),
     "ocr_fix": sql(f"SELECT order_no, line_seq, {ocr('amount')} AS amount FROM fin_dirty"),
     "normalize_text": sql(f"""SELECT order_no, line_seq, {initcap(squeeze('category'))} AS category, lower({squeeze('customer_name')}) AS customer_name,
@@ -354,11 +377,28 @@ FROM cleaned_long QUALIFY row_number() OVER (PARTITION BY order_no, category, co
     "dedup_summary": sql("""SELECT SOURCE_FILE, CAST(count_if(rn > 1) AS BIGINT) AS DROPPED_COUNT, CAST(count_if(rn = 1) AS BIGINT) AS KEPT_COUNT, 'DUPLICATE_SUMMARY' AS LOG_TYPE
 FROM (SELECT SOURCE_FILE, row_number() OVER (PARTITION BY order_no, category, coalesce(period, ''), currency, coalesce(amount, '') ORDER BY line_seq NULLS LAST, amount_raw NULLS LAST) AS rn FROM cleaned)
 GROUP BY SOURCE_FILE"""),
-    "kpi_dedup_summary": sql(f"SELECT '{LONG_KPI}' AS SOURCE_FILE, count(*) AS DROPPED_COUNT, count(*) AS KEPT_COUNT, 'DUPLICATE_SUMMARY' AS LOG_TYPE FROM long_clean"),
-    "reconcile_sources": sql(f"SELECT {KEY_LIST}, CAST(Target AS DOUBLE) AS Target, SOURCE_FILE, CAST(actual_value AS DOUBLE) AS actual_value, PERIOD, IS_DUPLICATE, IS_CONFLICT FROM unified"),
-    "reconcile_costs": sql("""SELECT order_no, category, period, CAST(amount_numeric AS DOUBLE) AS amount_numeric, coalesce(low <> high, false) AS IS_CONFLICT, 'a b' AS Sub_Pillar, 'N/A' AS Sub_KPI_Type
+    "kpi_dedup_summary": sql(_log(*[f"""SELECT '{f}' AS SOURCE_FILE, (SELECT count(*) FROM {c}_clean) - (SELECT count(*) FROM {c}_once) AS DROPPED_COUNT,
+       (SELECT count(*) FROM {c}_once) AS KEPT_COUNT, 'DUPLICATE_SUMMARY' AS LOG_TYPE""" for f, c in ((LONG_KPI, "long"), (WIDE_KPI, "wide"))])),
+    "kpi_issue_log": sql(f"""SELECT {KEY_LIST}, PERIOD, SOURCE_FILE, 'VALUE_NOT_NUMERIC' AS LOG_TYPE, unparsed_text AS ORIGINAL_VALUE, CAST(NULL AS VARCHAR) AS CORRECTED_VALUE,
+       'no number after repair' AS DETAILS, '{RUN_TS}' AS LOGGED_AT FROM kpi_issue_rows"""),
+    "reconcile_drop_log": sql(f"""SELECT {KEY_LIST}, PERIOD, SOURCE_FILE, CAST(Target AS DOUBLE) AS Target, CAST(actual_value AS DOUBLE) AS actual_value,
+       CASE WHEN place > 1 THEN 'SAME_VALUE_DROP' ELSE 'EMPTY_BESIDE_VALUE' END AS LOG_TYPE, '{RUN_TS}' AS LOGGED_AT
+FROM kpi_ranked WHERE place > 1 OR (stated IS NULL AND all_given > 0)"""),
+    "upsert_table": """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 10 = 3 THEN 'M' WHEN o_orderkey % 10 IN (4, 9) THEN 'X' ELSE o_orderstatus END AS status,
+       CAST(year(o_orderdate) AS INTEGER) AS year, CAST(CASE WHEN o_orderkey % 10 = 3 THEN month(o_orderdate) % 12 + 1 ELSE month(o_orderdate) END AS INTEGER) AS month FROM orders""",
+    "customer_spellings": sql("SELECT DISTINCT customer_name, customer_name_raw, normalization_status, mapping_rule_id FROM cleaned_long"),
+    "gold_load": sql("""SELECT 'dq_log' AS table_name, (SELECT count(*) FROM quality) AS row_count
+UNION ALL SELECT 'gold_kpi_achievement', (SELECT count(*) FROM kpi_months)
+UNION ALL SELECT 'gold_pillar_rollup', (SELECT count(*) FROM (SELECT DISTINCT PILLAR_ID, period FROM kpi_months WHERE NOT is_missing_actual))
+UNION ALL SELECT 'gold_order_cost', (SELECT count(*) FROM (SELECT DISTINCT customer_name, period FROM silver_fin WHERE NOT IS_ORPHANED_ORDER))
+UNION ALL SELECT 'gold_ytd', (SELECT count(*) FROM kpi_months WHERE actual_value IS NOT NULL)"""),
+    "orders_pipeline": """SELECT o_orderkey AS order_id, o_custkey AS customer_id, 'ORD-' || o_orderkey AS order_code, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS order_notes,
+       CAST(0 AS BIGINT) AS line_part, coalesce(string_agg(l_linenumber || '/PART-' || l_partkey, ';' ORDER BY l_linenumber, 'PART-' || l_partkey) FILTER (WHERE l_orderkey IS NOT NULL), '') AS line_items
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE (o_orderkey // 500) % 7 IN (0, 5, 6) GROUP BY ALL""",
+    "reconcile_sources": sql(f"SELECT {KEY_LIST}, CAST(Target AS DOUBLE) AS Target, SOURCE_FILE, CAST(actual_value AS DOUBLE) AS actual_value, unparsed_text, PERIOD, IS_DUPLICATE, IS_CONFLICT, IS_VALUE_UNPARSEABLE FROM unified"),
+    "reconcile_costs": sql("""SELECT order_no, category, currency, period, CAST(amount_numeric AS DOUBLE) AS amount_numeric, coalesce(low <> high, false) AS IS_CONFLICT, 'a b' AS Sub_Pillar, 'N/A' AS Sub_KPI_Type
 FROM (SELECT *, min(amount_numeric) OVER grain AS low, max(amount_numeric) OVER grain AS high, count(amount_numeric) OVER grain AS given
-      FROM (SELECT DISTINCT order_no, category, period, amount_numeric FROM cleaned) WINDOW grain AS (PARTITION BY order_no, category, period))
+      FROM (SELECT DISTINCT order_no, category, currency, period, amount_numeric FROM cleaned) WINDOW grain AS (PARTITION BY order_no, category, currency, period))
 WHERE amount_numeric IS NOT NULL OR given = 0"""),
     "source_diff": sql("""SELECT * , CASE WHEN check_name IN ('row_count', 'sum:o_totalprice') THEN left_value = right_value ELSE left_value = 0 AND right_value = 0 END AS matches FROM (
 SELECT 'row_count' AS check_name, CAST(sum(left_rows) AS DOUBLE) AS left_value, CAST(sum(right_rows) AS DOUBLE) AS right_value FROM copies
@@ -410,16 +450,18 @@ FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_
        CAST(amount_numeric AS DOUBLE) AS amount_original, CAST(converted_amount_vnd AS DOUBLE) AS converted_amount_vnd, IS_ORPHANED_ORDER AS is_orphaned, '{RUN_TS}' AS ingestion_ts,
        {canonical('period', 'year')} AS year, {canonical('period', 'month')} AS month
 FROM silver_fin, (SELECT strftime(min(l_shipdate), '%Y-%m') AS lo, strftime(max(l_shipdate), '%Y-%m') AS hi FROM lineitem)"""),
-    "fact_kpi_actual": sql(f"""SELECT {sk('UA_ID', 'PERIOD')} AS fact_sk, {sk('UA_ID', 'Valid_From')} AS kpi_sk, CAST(replace(PERIOD, '-', '') AS INTEGER) AS date_sk, UA_ID, PERIOD, Unit AS unit,
-       Aggregation_Method AS aggregation_method, CAST(actual_value AS DOUBLE) AS actual_value, CAST(Target AS DOUBLE) AS row_target, actual_value IS NULL AS is_missing_actual, IS_CONFLICT AS is_conflict, ROW_HASH,
+    "fact_kpi_actual": sql(f"""SELECT {sk('UA_ID', 'PERIOD', 'Unit')} AS fact_sk, {sk('UA_ID', 'Valid_From')} AS kpi_sk, CAST(replace(PERIOD, '-', '') AS INTEGER) AS date_sk, UA_ID, PERIOD, Unit AS unit,
+       Aggregation_Method AS aggregation_method, CAST(actual_value AS DOUBLE) AS actual_value, CAST(Target AS DOUBLE) AS row_target, actual_value IS NULL AND NOT IS_VALUE_UNPARSEABLE AS is_missing_actual, IS_VALUE_UNPARSEABLE AS is_value_unparseable,
+       IS_CONFLICT AS is_conflict, ROW_HASH,
        {canonical('PERIOD', 'year')} AS year, {canonical('PERIOD', 'month')} AS month FROM fact_kpi"""),
     "kpi_dynamic_agg": sql(f"""SELECT UA_ID, year, Unit, Aggregation_Method, n AS valid_months,
        CASE Aggregation_Method WHEN 'SUM' THEN CAST(total AS DOUBLE) WHEN 'LAST' THEN CAST(last_value AS DOUBLE) WHEN 'AVERAGE' THEN CASE WHEN n > 0 THEN {mean4('total', 'n')} END END AS aggregated_value
 FROM (SELECT UA_ID, substr(PERIOD, 1, 4) AS year, Unit, Aggregation_Method, count(actual_value) AS n, sum(actual_value) AS total,
              arg_max(actual_value, PERIOD) FILTER (WHERE actual_value IS NOT NULL) AS last_value
-      FROM silver_kpi_rows WHERE NOT IS_ORPHANED AND SOURCE_FILE = '{LONG_KPI}' GROUP BY ALL)"""),
-    "kpi_month_spine": sql(f"""SELECT s.UA_ID, s.PERIOD, CAST(s.Yearly_Target AS DOUBLE) AS Yearly_Target, s.Valid_From, s.Valid_To, CAST(f.actual_value AS DOUBLE) AS actual_value, f.actual_value IS NULL AS is_missing_actual
-FROM ({_spine("2022-07", "2025-02")}) s LEFT JOIN fact_kpi f ON s.UA_ID = f.UA_ID AND s.PERIOD = f.PERIOD"""),
+      FROM fact_kpi GROUP BY ALL)"""),
+    "kpi_month_spine": sql(f"""SELECT s.UA_ID, s.PERIOD, CAST(s.Yearly_Target AS DOUBLE) AS Yearly_Target, s.Valid_From, s.Valid_To, f.Unit AS unit, CAST(f.actual_value AS DOUBLE) AS actual_value,
+       f.actual_value IS NULL AND NOT coalesce(f.IS_VALUE_UNPARSEABLE, false) AS is_missing_actual
+FROM ({_spine("2022-07", "2030-02")}) s LEFT JOIN fact_kpi f ON s.UA_ID = f.UA_ID AND s.PERIOD = f.PERIOD"""),
     "achievement_pct": sql(f"""SELECT UA_ID, PERIOD, SOURCE_FILE, CAST(actual_value AS DOUBLE) AS actual_value, CAST(Yearly_Target AS DOUBLE) AS Yearly_Target, direction,
        {achieved('actual_value', 'Yearly_Target', 'direction')} AS achievement_pct, Yearly_Target = 0 AS zero_target_kpi,
        coalesce(direction = 'LOWER' AND actual_value = 0 AND Yearly_Target <> 0, false) AS zero_actual_lower FROM silver_kpi_rows WHERE NOT IS_ORPHANED"""),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tallyloom.operators.aggregate import aggregate_kpis, month_spine, with_miss
 from tallyloom.operators.dedup import (
     dedup_summary, flag_not_highest, flag_repeats, keep_first_equal, keep_highest, repeat_log,
 )
-from tallyloom.operators.dims import code_dim, dim_currency, dim_customer, dim_date, month_bounds
+from tallyloom.operators.dims import code_dim, customer_spellings, dim_currency, dim_customer, dim_date, month_bounds
 from tallyloom.operators.facts import fact_kpi_actual, fact_order_cost
 from tallyloom.operators.lookup import (
     asof_rates, canonical_customers, convert_amounts, customer_mapping, flag_orphans, latest_rates, match_master,
@@ -32,13 +33,15 @@ from tallyloom.operators.scd import build_history
 from tallyloom.plans import financial, gold, kpi
 from tallyloom.plans.orders import NUMERIC_IDS
 from tallyloom.session import scratch_path, staged, tune
-from tallyloom.sources.landing import append_bronze, merge_latest, with_year_month, write_partitions
-from tallyloom.sources.pages import flatten_pages, quarantine_pages, record_fields
+from tallyloom.sources.landing import append_bronze, merge_latest, upsert_table, with_year_month, write_partitions
+from tallyloom.sources.pages import flatten_pages, landed_documents, quarantine_pages, raw_records, record_fields
 from tallyloom.sources.tables import parquet_copy, with_run_time
-from tallyloom.workload.views import KPI_YEAR, RUN_TS, YEAR_SHIFT, run_sql, table, view
+from tallyloom.workload.views import PERIODS, RUN_TS, YEAR_SHIFT, run_sql, table, view
 
 TIEBREAK = ["line_seq", "SOURCE_FILE", "currency", "amount_raw"]
-FIRST_MONTH, LAST_MONTH = f"{KPI_YEAR}-01", f"{KPI_YEAR}-12"
+FIRST_MONTH, LAST_MONTH = PERIODS[0], PERIODS[-1]
+# a few months before and after the delivered ones
+SPINE = ("2022-07", "2030-02")
 PAGE_SIZE = 500
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +117,13 @@ def _order_pages(spark, d):
     return pages.select(F.col("page").cast("string").alias("page"), document.alias("document"))
 
 
+def _line_pages(spark, d):
+    """Order lines as landed documents, one for each block of order keys."""
+    records = _order_lines(spark, d).withColumn("page", F.floor(F.col("postId") / PAGE_SIZE))
+    pages = records.groupBy("page").agg(F.collect_list(F.struct("id", "postId", "name", "email", "body")).alias("_list"))
+    return pages.select(F.col("page").cast("string").alias("page"), F.concat(F.lit('{"data":'), F.to_json("_list"), F.lit("}")).alias("document"))
+
+
 def _cleaned(spark, d):
     return financial.clean(financial.combine(view(spark, d, "fin_dirty"), view(spark, d, "fin_wide")))
 
@@ -139,7 +149,7 @@ def _master(spark, d):
 
 
 def _silver_kpi(spark, d):
-    return kpi.silver_kpi_table(view(spark, d, "kpi_long"), view(spark, d, "kpi_wide"), view(spark, d, "kpi_master"), KPI_YEAR)
+    return kpi.silver_kpi_table(view(spark, d, "kpi_long"), view(spark, d, "kpi_wide"), view(spark, d, "kpi_master"), kpi.YEAR)
 
 
 def _fact_kpi(spark, d):
@@ -208,6 +218,27 @@ def q_upsert_latest(spark, d):
     return merge_latest(target, updates, ["order_id"], [F.col("seq").desc()])
 
 
+@query("upsert_table")
+def q_upsert_table(spark, d):
+    """Orders kept by month; a second load moves some to the next month, changes others and adds new ones."""
+    path = scratch_path(spark, "orders-by-month")
+    first = run_sql(
+        spark, d,
+        """SELECT o_orderkey AS order_id, o_orderstatus AS status, 1 AS seq, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month
+           FROM {orders} WHERE o_orderkey % 10 <> 9""",
+    )
+    second = run_sql(
+        spark, d,
+        """SELECT o_orderkey AS order_id, 'M' AS status, 2 AS seq, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) % 12 + 1 AS INT) AS month
+           FROM {orders} WHERE o_orderkey % 10 = 3
+           UNION ALL
+           SELECT o_orderkey, 'X', 1, CAST(year(o_orderdate) AS INT), CAST(month(o_orderdate) AS INT) FROM {orders} WHERE o_orderkey % 10 IN (3, 4, 9)""",
+    )
+    for load in (first, second, second):
+        upsert_table(spark, load, path, ["order_id"], [F.col("seq").desc()])
+    return spark.read.parquet(path).drop("seq")
+
+
 @query("gold_partition_rebuild")
 def q_gold_partition_rebuild(spark, d):
     """Monthly order totals; the months of 1997 are rebuilt, the rest is left as written."""
@@ -248,7 +279,7 @@ def q_unpivot_month_names(spark, d):
 
 @query("unpivot_month_numbers")
 def q_unpivot_month_numbers(spark, d):
-    return unpivot_month_numbers(view(spark, d, "kpi_long"), KPI_YEAR)
+    return unpivot_month_numbers(view(spark, d, "kpi_long"), kpi.YEAR)
 
 
 @query("union_long_wide")
@@ -352,15 +383,26 @@ def q_dedup_summary(spark, d):
     return dedup_summary(flag_repeats(_cleaned(spark, d), columns, ["line_seq", "amount_raw"]))
 
 
+@query("kpi_issue_log")
+def q_kpi_issue_log(spark, d):
+    """Delivered KPI values that are no numbers, of both layouts."""
+    long, wide = kpi.at_month_grain(_kpi_long(spark, d), _kpi_wide(spark, d), kpi.YEAR)
+    return kpi.value_issues(long, RUN_TS).unionByName(kpi.value_issues(wide, RUN_TS))
+
+
+@query("reconcile_drop_log")
+def q_reconcile_drop_log(spark, d):
+    return kpi.dropped_between_sources(_kpi_long(spark, d), _kpi_wide(spark, d), kpi.YEAR, RUN_TS)
+
+
 @query("kpi_dedup_summary")
 def q_kpi_dedup_summary(spark, d):
-    twice = _kpi_long(spark, d).unionByName(_kpi_long(spark, d))
-    return kpi.duplicate_summary(twice)
+    return kpi.duplicate_summary(_kpi_long(spark, d)).unionByName(kpi.duplicate_summary(_kpi_wide(spark, d)))
 
 
 @query("reconcile_sources")
 def q_reconcile_sources(spark, d):
-    return kpi.unify(_kpi_long(spark, d), _kpi_wide(spark, d), KPI_YEAR)
+    return kpi.unify(_kpi_long(spark, d), _kpi_wide(spark, d), kpi.YEAR)
 
 
 @query("reconcile_costs")
@@ -369,8 +411,8 @@ def q_reconcile_costs(spark, d):
     columns = ["order_no", "category", "currency", "period", "amount_numeric", "SOURCE_FILE", "Sub_Pillar", "Sub_KPI_Type"]
     cleaned = _cleaned(spark, d).withColumns({"Sub_Pillar": F.lit(" a  b "), "Sub_KPI_Type": F.lit(None).cast("string")}).select(*columns)
     parts = [cleaned.filter(F.col("SOURCE_FILE") == s) for s in (financial.LONG_SOURCE, financial.WIDE_SOURCE)]
-    return reconcile_sources(parts, ["order_no", "category", "period"], "amount_numeric").select(
-        "order_no", "category", "period", "amount_numeric", "IS_CONFLICT", "Sub_Pillar", "Sub_KPI_Type"
+    return reconcile_sources(parts, ["order_no", "category", "currency", "period"], "amount_numeric").select(
+        "order_no", "category", "currency", "period", "amount_numeric", "IS_CONFLICT", "Sub_Pillar", "Sub_KPI_Type"
     )
 
 
@@ -447,7 +489,7 @@ def q_orders_nested_lines(spark, d):
 
 @query("kpi_master_match")
 def q_kpi_master_match(spark, d):
-    unified = kpi.unify(_kpi_long(spark, d), _kpi_wide(spark, d), KPI_YEAR)
+    unified = kpi.unify(_kpi_long(spark, d), _kpi_wide(spark, d), kpi.YEAR)
     return match_master(unified, _master(spark, d)).select(
         "PILLAR_ID", "SP_ID", "UA_ID", "Yearly_Target", "Aggregation_Method", "Pillar", "Sub_Pillar", "Department", "KPI_Name",
         "Sub_KPI_Type", "Unit", "PERIOD", "actual_value", "SOURCE_FILE", "Is_Active", "Valid_From", "Valid_To", "Source_Version", "IS_ORPHANED",
@@ -508,6 +550,12 @@ def q_dim_customer(spark, d):
     return dim_customer(canonical_customers(named, customer_mapping(spark)))
 
 
+@query("customer_spellings")
+def q_customer_spellings(spark, d):
+    named = view(spark, d, "fin_dirty").select(F.col("customer_name").alias("customer_name_raw"), "customer_name")
+    return customer_spellings(canonical_customers(named, customer_mapping(spark)))
+
+
 @query("dim_code_list")
 def q_dim_code_list(spark, d):
     return code_dim(table(spark, d, "part"), "p_type", "fabric_type")
@@ -529,17 +577,19 @@ def q_fact_kpi_actual(spark, d):
 
 @query("kpi_dynamic_agg")
 def q_kpi_dynamic_agg(spark, d):
-    return aggregate_kpis(
-        _silver_kpi(spark, d).filter("not IS_ORPHANED and SOURCE_FILE = 'kpi_actual_long.csv'").withColumn("year", F.substring("PERIOD", 1, 4)),
-        ["UA_ID", "year", "Unit"],
+    actuals = _fact_kpi(spark, d).select(
+        "UA_ID", "PERIOD", F.col("unit").alias("Unit"), F.col("aggregation_method").alias("Aggregation_Method"), "actual_value",
+        F.substring("PERIOD", 1, 4).alias("year"),
     )
+    return aggregate_kpis(actuals, ["UA_ID", "year", "Unit"])
 
 
 @query("kpi_month_spine")
 def q_kpi_month_spine(spark, d):
     versions = view(spark, d, "kpi_master").filter("Is_Active = 'Y'").select("UA_ID", "Yearly_Target", "Valid_From", "Valid_To")
-    actuals = _fact_kpi(spark, d).select("UA_ID", "PERIOD", "actual_value")
-    return with_missing_months(month_spine(versions, "2022-07", "2025-02"), actuals, ["UA_ID", "PERIOD"])
+    actuals = _fact_kpi(spark, d).select("UA_ID", "PERIOD", "unit", "actual_value", "is_value_unparseable")
+    spine = month_spine(versions, *SPINE)
+    return with_missing_months(spine, actuals, ["UA_ID", "PERIOD"], extra=["unit", "is_value_unparseable"], unparseable="is_value_unparseable").drop("is_value_unparseable")
 
 
 @query("achievement_pct")
@@ -575,7 +625,7 @@ def q_dq_raw_costs(spark, d):
     """The checks on uncleaned costs, where they must fail."""
     return quality_log(
         view(spark, d, "fin_dirty"),
-        gold.Expectations("bronze_financial", ("order_no", "category", "period"), ("order_no", "line_seq", "supplier_no"), ("amount",)),
+        gold.Expectations("bronze_financial", ("order_no", "category", "period"), ("order_no", "line_seq", "supplier_no"), {"amount": None}),
     )
 
 
@@ -614,6 +664,35 @@ def q_gold_ytd(spark, d):
     return gold.ytd_actuals(_kpi_months(spark, d))
 
 
+@query("gold_load")
+def q_gold_load(spark, d):
+    """Silver written, checked into a log, passed by the gate and built into Gold; the rows of every table that this leaves."""
+    path = scratch_path(spark, "gold-load")
+    costs = staged(_silver_financial(spark, d).select(*financial.SILVER_COLUMNS), "silver-costs")
+    kpis = staged(_silver_kpi(spark, d), "silver-kpi")
+    fact = staged(fact_kpi_actual(kpis, [kpi.LONG_SOURCE, kpi.WIDE_SOURCE]), "fact-kpi")
+    names = ["dq_log", *gold.build_gold(costs, kpis, fact, view(spark, d, "kpi_master"), FIRST_MONTH, LAST_MONTH, path)]
+    counted = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in names]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
+@query("orders_pipeline")
+def q_orders_pipeline(spark, d):
+    """Landed page files to Bronze records, from those to nested orders."""
+    landed, bronze = scratch_path(spark, "order-pages"), scratch_path(spark, "order-bronze")
+    for kind, pages in (("headers", _order_pages(spark, d)), ("lines", _line_pages(spark, d))):
+        pages.select(F.regexp_replace("document", r"[\r\n]", " ").alias("value")).write.text(f"{landed}/{kind}")
+        raw_records(flatten_pages(landed_documents(spark, f"{landed}/{kind}"))).write.parquet(f"{bronze}/{kind}")
+
+    def fields(kind, names):
+        parsed = spark.read.parquet(f"{bronze}/{kind}").select(F.parse_json("record_json").alias("record"))
+        return record_fields(parsed, {name: (source, "bigint" if source in NUMERIC_IDS else "string") for source, name in names.items()})
+
+    nested = nest_lines(fields("headers", HEADER_FIELDS), fields("lines", LINE_FIELDS))
+    listed = F.transform("line_items", lambda x: F.concat_ws("/", x["line_id"].cast("string"), x["line_description"]))
+    return nested.select("order_id", "customer_id", "order_code", "order_notes", "line_part", F.array_join(listed, ";").alias("line_items"))
+
+
 @query("silver_financial")
 def q_silver_financial(spark, d):
     return _silver_financial(spark, d).select(*financial.SILVER_COLUMNS)

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 RUN_TS = "2024-01-31 06:00:00"
-# the orders of 1996 are reported as the KPIs of 2024: two-digit years mean 20xx
-ORDER_YEAR, KPI_YEAR = 1996, 2024
-YEAR_SHIFT = KPI_YEAR - ORDER_YEAR
+# Orders of one year are reported as KPIs of YEAR_SHIFT years later: two-digit years mean 20xx. The wide layouts
+# carry months as columns, so they have one for every month of these years, which hold all dates of the given tables.
+ORDER_YEARS, YEAR_SHIFT = range(1995, 2002), 28
 MONTHS = range(1, 13)
-MONTH_ENDS = [f"{calendar.monthrange(ORDER_YEAR, m)[1]:02d}/{m:02d}/{ORDER_YEAR}" for m in MONTHS]
-MONTH_NAMES = [f"{calendar.month_abbr[m]}-{KPI_YEAR % 100}" for m in MONTHS]
+ALL_MONTHS = [(y, m) for y in ORDER_YEARS for m in MONTHS]
+MONTH_ENDS = [f"{calendar.monthrange(y, m)[1]:02d}/{m:02d}/{y}" for y, m in ALL_MONTHS]
+MONTH_NAMES = [f"{calendar.month_abbr[m]}-{(y + YEAR_SHIFT) % 100}" for y, m in ALL_MONTHS]
+PERIODS = [f"{y + YEAR_SHIFT}-{m:02d}" for y, m in ALL_MONTHS]
 
 _FULL_NAME = "'January  February March    April    May      June     July     August   SeptemberOctober  November December '"
 _SHORT_NAME = "'JanFebMarAprMayJunJulAugSepOctNovDec'"
@@ -51,17 +53,17 @@ FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} O
 """
 
 _WIDE_AMOUNTS = ",\n       ".join(
-    f"replace(CAST(sum(CASE WHEN month(l_shipdate) = {m} THEN CAST(l_extendedprice AS DECIMAL(18,2)) END) AS STRING),"
-    f" '0', '{'O' if m % 2 else '0'}') AS \"{end}\""
-    for m, end in zip(MONTHS, MONTH_ENDS)
+    f"replace(CAST(sum(CASE WHEN month_no = {y * 100 + m} THEN price END) AS STRING), '0', '{'O' if m % 2 else '0'}') AS \"{end}\""
+    for (y, m), end in zip(ALL_MONTHS, MONTH_ENDS)
 )
 FIN_WIDE = f"""
 SELECT concat('ORD-', CAST(l_orderkey AS STRING)) AS order_no, p_type AS category,
        concat(' ', c_name) AS customer_name, CASE WHEN c_nationkey % 2 = 0 THEN 'USD' ELSE 'VND' END AS currency,
        {_WIDE_AMOUNTS}
-FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
-     JOIN {{part}} ON l_partkey = p_partkey
-WHERE year(l_shipdate) = {ORDER_YEAR}
+FROM (SELECT l_orderkey, p_type, c_name, c_nationkey, year(l_shipdate) * 100 + month(l_shipdate) AS month_no,
+             CAST(l_extendedprice AS DECIMAL(18,2)) AS price
+      FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
+           JOIN {{part}} ON l_partkey = p_partkey) l
 GROUP BY l_orderkey, p_type, c_name, c_nationkey
 """
 
@@ -79,32 +81,50 @@ SELECT currency_code, currency, rate_to_vnd, effective_date, 'MARKET' AS rate_ty
   t(currency_code, currency, rate_to_vnd, effective_date)
 """
 
-_KPI_FROM = f"""
-FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey
-     JOIN {{region}} ON n_regionkey = r_regionkey
-WHERE year(o_orderdate) = {ORDER_YEAR}
-GROUP BY r_name, n_nationkey, n_name, c_mktsegment
-"""
+_KPI_ROWS = """(SELECT r_name, n_nationkey, n_name, c_mktsegment, year(o_orderdate) AS order_year, month(o_orderdate) AS order_month,
+             year(o_orderdate) * 100 + month(o_orderdate) AS month_no, CAST(o_totalprice AS DECIMAL(18,2)) AS price
+      FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
+           JOIN {region} ON n_regionkey = r_regionkey) o"""
 _KPI_KEYS = """r_name AS Pillar, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE concat(' ', n_name, '  sub') END AS Sub_Pillar,
-       n_name AS Department, c_mktsegment AS KPI_Name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'All' END AS Sub_KPI_Type,
-       CASE WHEN c_mktsegment = 'FURNITURE' THEN '%' ELSE 'NUMBER' END AS Unit"""
+       n_name AS Department, c_mktsegment AS KPI_Name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'All' END AS Sub_KPI_Type"""
+
+
+def _month_text(month: int) -> str:
+    """The value of one month as delivered: even months with letters for zeros, some that are no numbers."""
+    total = f"CAST(sum(CASE WHEN order_month = {month} THEN price END) AS STRING)"
+    text = f"replace({total}, '0', '{'O' if month % 2 == 0 else '0'}')"
+    odd = {3: (1, "n/a"), 4: (2, "1,200")}.get(month)
+    return f"CASE WHEN n_nationkey % 6 = {odd[0]} THEN '{odd[1]}' ELSE {text} END" if odd else text
+
+
+# a row per year; some rows come twice, of which some with another target
+_LONG_VALUES = ",\n       ".join(f"{_month_text(m)} AS M{m}" for m in MONTHS)
 
 
-def _month_sum(month: int) -> str:
-    return f"sum(CASE WHEN month(o_orderdate) = {month} THEN CAST(o_totalprice AS DECIMAL(18,2)) END)"
+def _kpi_long(target: str, having: str) -> str:
+    return f"""SELECT {_KPI_KEYS}, CASE WHEN c_mktsegment = 'FURNITURE' THEN '%' ELSE 'NUMBER' END AS Unit,
+       order_year + {YEAR_SHIFT} AS Year, {target} AS Target,
+       {_LONG_VALUES}
+FROM {_KPI_ROWS}
+GROUP BY r_name, n_nationkey, n_name, c_mktsegment, order_year{having}"""
 
 
-_LONG_VALUES = ",\n       ".join(
-    f"replace(CAST({_month_sum(m)} AS STRING), '0', '{'O' if m % 2 == 0 else '0'}') AS M{m}" for m in MONTHS
+KPI_LONG = (
+    _kpi_long("CASE WHEN n_nationkey % 8 = 3 THEN '100.5' END", "")
+    + "\nUNION ALL\n"
+    + _kpi_long("CASE WHEN n_nationkey % 8 = 3 THEN '99.5' END", " HAVING n_nationkey % 8 IN (3, 5)")
 )
-KPI_LONG = f"SELECT {_KPI_KEYS},\n       {_LONG_VALUES}\n{_KPI_FROM}"
 
-# every seventh value differs from the long delivery, some departments are not delivered
+# every seventh value differs from the long delivery, some departments are not delivered, some KPIs have another unit
 _WIDE_VALUES = ",\n       ".join(
-    f"CAST({_month_sum(m)} + CASE WHEN (n_nationkey + {m}) % 7 = 0 THEN 1 ELSE 0 END AS STRING) AS \"{name}\""
-    for m, name in zip(MONTHS, MONTH_NAMES)
+    f"CAST(sum(CASE WHEN month_no = {y * 100 + m} THEN price END) + CASE WHEN (n_nationkey + {m}) % 7 = 0 THEN 1 ELSE 0 END AS STRING) AS \"{name}\""
+    for (y, m), name in zip(ALL_MONTHS, MONTH_NAMES)
 )
-KPI_WIDE = f"SELECT {_KPI_KEYS},\n       {_WIDE_VALUES}\n{_KPI_FROM} HAVING n_nationkey % 11 <> 10"
+KPI_WIDE = f"""SELECT {_KPI_KEYS},
+       CASE WHEN c_mktsegment = 'FURNITURE' OR c_mktsegment = 'HOUSEHOLD' AND n_nationkey % 9 = 4 THEN '%' ELSE 'NUMBER' END AS Unit,
+       {_WIDE_VALUES}
+FROM {_KPI_ROWS}
+GROUP BY r_name, n_nationkey, n_name, c_mktsegment HAVING n_nationkey % 11 <> 10"""
 
 # two versions of MACHINERY, FURNITURE retired, EUROPE unknown
 KPI_MASTER = """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.amounts import achievement, convert, is_zero_actual_lower, is_zero_target, to_amount
 from tallyloom.functions.identity import row_digest, surrogate_key
 from tallyloom.functions.periods import (
-    date_column_period, month_name_period, month_number_period, parse_period, period_key, period_unparsed,
+    date_header_period, month_name_header_period, month_number_header, parse_period, period_key, period_unparsed,
 )
 from tallyloom.functions.text import fill_sentinel, repair_ocr_digits, squeeze, title_case
 
@@ -37,9 +37,9 @@ def test_unparsed_period_is_reported(spark):
 
 
 def test_header_periods(spark):
-    assert apply(spark, ["31/01/2024", "x"], date_column_period) == ["2024-01", None]
-    assert apply(spark, ["Jan-24", "dec-24"], month_name_period) == ["2024-01", "2024-12"]
-    assert apply(spark, ["M3", "M12"], lambda c: month_number_period(c, 2024)) == ["2024-03", "2024-12"]
+    assert date_header_period("31/01/2024") == "2024-01"
+    assert [month_name_header_period(h) for h in ("Jan-24", "dec-24")] == ["2024-01", "2024-12"]
+    assert [month_number_header(h) for h in ("M3", "M12")] == ["03", "12"]
     assert apply(spark, ["2024-03", "Q1", None], period_key) == [202403, None, None]
 
 

@@ -309,7 +309,7 @@ def test_lookup_key_falls_back_to_unknown(spark):
     assert keys["A"] > 0 and keys["Z"] == keys[None] == -1
 
 
-EXPECT = Expectations("t", ("k",), ("k", "v"), ("v",), "IS_ORPHANED")
+EXPECT = Expectations("t", ("k",), ("k", "v"), {"v": "IS_V"}, "IS_ORPHANED")
 
 
 def results(df, expect=EXPECT):
@@ -324,6 +324,9 @@ def test_quality_outcomes(spark):
     got = results(bad)
     assert got["no_duplicates"] == ("FAILED", "rows in repeated keys: 3")
     assert got["no_ocr_typos"] == ("FAILED", "v: 2")
+    flagged = bad.withColumn("IS_V", F.col("v").isin("1O", "x"))
+    assert results(flagged)["no_ocr_typos"] == ("WARNING", "v: 2 flagged")
+    assert results(flagged.withColumn("IS_V", F.col("v") == "x"))["no_ocr_typos"] == ("FAILED", "v: 1; v: 1 flagged")
     assert got["orphaned_flagged"][0] == "WARNING"
     empty = results(good.filter("false"))
     assert empty["silver_not_empty"][0] == "FAILED" and empty["mandatory_columns"][0] == "FAILED"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.facts import fact_kpi_actual
+from tallyloom.operators.reshape import unpivot_dates, unpivot_month_names
 from tallyloom.plans import financial, gold, kpi
 from tallyloom.plans.orders import order_tables
 from tallyloom.session import scratch_path, staged
@@ -16,7 +17,7 @@ from tallyloom.sources.landing import append_bronze, merge_latest, upsert_table,
 from tallyloom.sources.pages import quarantine_pages, read_pages
 from tallyloom.sources.tables import parquet_copy, read_csv, read_csv_with_origin
 from tallyloom.streaming.arrivals import append_new_files
-from tallyloom.workload.views import RUN_TS, view
+from tallyloom.workload.views import PERIODS, RUN_TS, run_sql, table, view
 
 
 def test_csv_keeps_text(spark, tmp_path):
@@ -150,17 +151,41 @@ def test_financial_load_accounts_for_every_row(spark, sf_dir):
 @pytest.fixture(scope="module")
 def kpi_silver(spark, sf_dir):
     long = view(spark, sf_dir, "kpi_long")
-    return kpi.silver_kpi(long.unionByName(long), view(spark, sf_dir, "kpi_wide"), view(spark, sf_dir, "kpi_master"), 2024, RUN_TS)
+    return kpi.silver_kpi(long.unionByName(long), view(spark, sf_dir, "kpi_wide"), view(spark, sf_dir, "kpi_master"), kpi.YEAR, RUN_TS)
 
 
 def test_kpi_load_drops_and_logs_repeats(spark, sf_dir, kpi_silver):
-    plain = kpi.silver_kpi_table(view(spark, sf_dir, "kpi_long"), view(spark, sf_dir, "kpi_wide"), view(spark, sf_dir, "kpi_master"), 2024)
+    plain = kpi.silver_kpi_table(view(spark, sf_dir, "kpi_long"), view(spark, sf_dir, "kpi_wide"), view(spark, sf_dir, "kpi_master"), kpi.YEAR)
     assert Counter(plain.collect()) == Counter(kpi_silver.table.collect())
-    assert kpi_silver.duplicates.count() == view(spark, sf_dir, "kpi_long").count()
+    long = view(spark, sf_dir, "kpi_long")
+    assert kpi_silver.duplicates.count() == 2 * long.count() - long.distinct().count()
     log = kpi_silver.changes.groupBy("LOG_TYPE").count().collect()
     assert {r["LOG_TYPE"] for r in log} == {"OCR_FIX", "NORMALISE"}
 
 
+def test_no_kpi_row_is_lost_between_sources(spark, kpi_silver, sf_dir):
+    """Every delivered cell is either in Silver or in one of the logs of dropped rows; nothing that is no number vanishes."""
+    long, wide = view(spark, sf_dir, "kpi_long").distinct(), view(spark, sf_dir, "kpi_wide")
+    cells = 12 * long.count() + len(PERIODS) * wide.count()
+    unified = kpi.unify(kpi.clean(long, kpi.LONG_SOURCE), kpi.clean(wide, kpi.WIDE_SOURCE), kpi.YEAR)
+    assert unified.count() + kpi_silver.dropped.count() == cells
+    texts = {r["ORIGINAL_VALUE"] for r in kpi_silver.issues.select("ORIGINAL_VALUE").distinct().collect()}
+    assert texts == {"n/a", "1,200"}
+    assert kpi_silver.table.filter("IS_VALUE_UNPARSEABLE and actual_value is null").count() > 0
+
+
+def test_views_hold_all_orders(spark, sf_dir):
+    total = table(spark, sf_dir, "orders").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))).first()[0]
+    wide = unpivot_month_names(view(spark, sf_dir, "kpi_wide")).agg(F.sum(F.col("actual_value").cast("decimal(18,2)"))).first()[0]
+    left_out = run_sql(spark, sf_dir, "SELECT CAST(o_totalprice AS DECIMAL(18,2)) AS p FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_nationkey % 11 = 10")
+    out = left_out.agg(F.sum("p")).first()[0] or 0
+    added = view(spark, sf_dir, "kpi_wide").count() * len(PERIODS)
+    assert 0 <= wide - (total - out) <= added
+    lines = table(spark, sf_dir, "lineitem").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).first()[0]
+    cells = unpivot_dates(view(spark, sf_dir, "fin_wide")).withColumn("amount", F.translate("amount", "O", "0").cast("decimal(18,2)"))
+    assert cells.agg(F.sum("amount")).first()[0] == lines
+
+
 def test_gold_is_built_behind_the_gate(spark, sf_dir, tmp_path, kpi_silver):
     from tallyloom.operators.quality import QualityGateError
 
@@ -172,13 +197,18 @@ def test_gold_is_built_behind_the_gate(spark, sf_dir, tmp_path, kpi_silver):
     master = view(spark, sf_dir, "kpi_master")
     fact = staged(fact_kpi_actual(kpis, [kpi.LONG_SOURCE, kpi.WIDE_SOURCE]), "fact")
     path = str(tmp_path / "gold")
-    names = gold.build_gold(costs, kpis, fact, master, "2024-01", "2024-12", path)
+    names = gold.build_gold(costs, kpis, fact, master, PERIODS[0], PERIODS[-1], path)
     totals = {n: spark.read.parquet(f"{path}/{n}").count() for n in names}
+    lines = spark.read.parquet(f"{path}/gold_order_cost").agg(F.sum("cost_lines"), F.sum("unconverted_lines")).first()
+    kept = costs.filter("not IS_ORPHANED_ORDER")
+    assert tuple(lines) == (kept.count(), kept.filter("converted_amount_vnd is null").count()) and lines[1] > 0
     assert all(totals.values()) and totals["gold_kpi_achievement"] % 12 == 0
     total = spark.read.parquet(f"{path}/gold_order_cost").agg(F.sum("total_cost_vnd")).first()[0]
     assert total == costs.filter("not IS_ORPHANED_ORDER").agg(F.sum("converted_amount_vnd")).first()[0] > Decimal(0)
+    assert spark.read.parquet(f"{path}/dq_log").filter("result = 'FAILED'").count() == 0
     with pytest.raises(QualityGateError):
-        gold.build_gold(costs.unionByName(costs), kpis, fact, master, "2024-01", "2024-12", path)
+        gold.build_gold(costs.unionByName(costs), kpis, fact, master, PERIODS[0], PERIODS[-1], path)
+    assert spark.read.parquet(f"{path}/dq_log").filter("result = 'FAILED'").count() > 0
 
 
 def test_row_target_can_lead(spark, sf_dir, kpi_silver):
