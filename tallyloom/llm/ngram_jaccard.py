@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import row_tag, small_batches, stage, table, worker_state
+from tallyloom.llm.common import drop_staged, row_tag, small_batches, stage, table, worker_state
 from tallyloom.llm.components import connected_components
 
 # Most matches that a prefix may ask for.
-MOST_MATCHES = 6
+MOST_MATCHES = 8
 # Verifying a pair counts as so many list entries for each token of its sets.
-VERIFY_COST = 0.05
+VERIFY_COST = 0.5
 # Other documents that a token of no special count is taken to have.
 CHANCE = 0.25
 # Token counts: buckets by the top bits of the hash, summed in chunks.
@@ -43,8 +43,8 @@ CHUNK_BITS = 18
 STEPS = 8
 # Lists of this many entries take part in the rounds of chance neighbours.
 LONG_LIST = 16
-# Prefixes of up to this many tokens go along with their list entries.
-HEAD = 18
+# Prefixes of up to this many tokens go along with the entries of vertices in long lists.
+HEAD = 64
 # Keys of candidate texts are broadcast up to this many, else they meet the texts in a shuffle.
 BROADCAST_KEYS = 4_000_000
 REMEMBERED = 150_000
@@ -241,13 +241,15 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     links, part, turn, gain = None, None, 0, True
     while True:
         within, entries, across = _mixed(lists, part)
-        if across <= 4 * entries or not gain:
+        if turn and (4 * across <= entries or not gain):
             break
-        new = stage(verify(_neighbours(within, turn, percent), docs, vertices, width, percent), "links")
-        # A round that joins less than a hundredth of the entries it looked at is not worth another.
-        gain, turn = 100 * new.count() > entries, turn + 1
+        tried = _neighbours(within, turn, percent)
+        new = stage(verify(tried, docs, vertices, width, percent), "links")
+        # A round of which less than a tenth is linked has found what chance finds.
+        gain, turn = 10 * new.count() >= tried.count(), turn + 1
         links = new if links is None else links.union(new)
         part = connected_components(links)
+        drop_staged(within)
     pairs = _across(within, vertices, percent)
     more = stage(verify(pairs, docs, vertices, width, percent), "links")
 
@@ -278,31 +280,37 @@ def _mixed(lists: DataFrame, part: DataFrame | None) -> tuple[DataFrame, int, in
 
 
 def _neighbours(within: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of different components that stand side by side in long lists, in an order by chance that changes with each turn.
+    """Pairs of different components that stand side by side in lists.
 
-    Lists are cut into runs, so that no task holds a list.
+    In the first turn all lists have the same order, so that near copies are neighbours in most of their
+    lists, and pairs must be it as often as they need matches. Later turns take long lists only, each in an
+    order by chance of its own. Lists are cut into runs, so that no task holds a list.
     """
-    chance = F.xxhash64("vid", "token", F.lit(turn))
-    runs = within.where(F.col("size") >= LONG_LIST).withColumn("chance", chance).withColumn("run", F.pmod("chance", F.ceil(F.col("size") / 256)))
-    order = Window.partitionBy("token", "run").orderBy("chance", "vid")
-    after = F.lead(F.struct("vid", "n", "component", "pos", "rank")).over(order)
+    chance = F.xxhash64("vid", F.lit(turn)) if not turn else F.xxhash64("vid", "token", F.lit(turn))
+    runs = within.where(F.col("size") >= (LONG_LIST if turn else 2)).withColumn("chance", chance)
+    runs = runs.withColumn("run", F.pmod("chance", F.ceil(F.col("size") / 256)))
+    order = Window.partitionBy("token", "run").orderBy(*(["chance"] if turn else ["n"]), "vid")
+    after = F.lead(F.struct("vid", "n", "component", "pos", "rank", "matches")).over(order)
     pairs = runs.withColumn("next", after).where("next is not null and component <> next.component")
     pairs = pairs.select(
         F.least("vid", "next.vid").alias("a"), F.greatest("vid", "next.vid").alias("b"),
         F.col("n").alias("n_a"), F.col("next.n").alias("n_b"), F.col("pos").alias("pos_a"), F.col("next.pos").alias("pos_b"),
-        F.least("rank", "next.rank").alias("shared"),
+        F.least("rank", "next.rank").alias("shared"), F.least("matches", "next.matches").alias("need"),
     )
-    possible = close_sizes(percent) & can_overlap(F.col("shared"), percent)
-    return stage(pairs.where(possible).select("a", "b").distinct(), "candidates")
+    pairs = pairs.where(close_sizes(percent) & can_overlap(F.col("shared"), percent)).groupBy("a", "b").agg(
+        F.count("*").alias("common"), F.first("need").alias("need")
+    )
+    return stage((pairs if turn else pairs.where("common >= need")).select("a", "b"), "candidates")
 
 
 def _across(within: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components with as many common prefix tokens as they need, and room for enough others.
 
-    Entries of short prefixes bring the prefix: two of them are matched on the spot, and the pair passes once,
-    at its first common token. Other pairs are counted over the lists.
+    A vertex in a long list brings its prefix along, if that is short: two of them are matched on the spot, and
+    the pair passes once, at its first common token. Other pairs are counted over the lists.
     """
-    heads = vertices.where(F.size("prefix") <= HEAD).select("vid", F.col("prefix").alias("head"))
+    crowded = within.where(F.col("size") >= LONG_LIST).select("vid").distinct()
+    heads = vertices.where(F.size("prefix") <= HEAD).join(crowded, "vid", "left_semi").select("vid", F.col("prefix").alias("head"))
     rows = within.join(heads, "vid", "left")
     side = lambda x: rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("vid", "n", "matches", "component", "pos", "rank", "listed", "head")))
     need, common = F.least("matches_a", "matches_b"), F.array_intersect("head_a", "head_b")
