@@ -73,6 +73,26 @@ def dedup_summary(flagged: DataFrame, source: str = "SOURCE_FILE") -> DataFrame:
     ).withColumn("LOG_TYPE", F.lit("DUPLICATE_SUMMARY"))
 
 
+def first_source_summary(
+    df: DataFrame, columns: Sequence[str], sequence: Sequence[str], source: str = "SOURCE_FILE"
+) -> DataFrame:
+    """``dedup_summary`` of ``flag_repeats`` without flagging: for every set of equal rows, the rows of each
+    source and which source holds the first. Both aggregates combine before the shuffle.
+    """
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(_equal_rows(columns))]
+    order = F.struct(*[c for s in sequence for c in (F.col(s).isNull().alias(f"_no_{s}"), F.col(s))])
+    names = [f"_k{i}" for i in range(len(keys))]
+    per_source = df.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
+    sets = per_source.groupBy(*names).agg(
+        F.min(F.struct("_first", source)).alias("_kept"), F.collect_list(F.struct(source, "_n")).alias("_sources")
+    )
+    rows = sets.select(F.col(f"_kept.{source}").alias("_keeper"), F.inline("_sources"))
+    kept = F.count_if(F.col(source) == F.col("_keeper"))
+    return rows.groupBy(source).agg((F.sum("_n") - kept).alias("DROPPED_COUNT"), kept.alias("KEPT_COUNT")).withColumn(
+        "LOG_TYPE", F.lit("DUPLICATE_SUMMARY")
+    )
+
+
 def summary_of_keys(df: DataFrame, columns: Sequence[str], source: str = "SOURCE_FILE") -> DataFrame:
     """The same summary when no row-level log is wanted: counts only, no window."""
     groups = df.groupBy(source, *[k.alias(f"_k{i}") for i, k in enumerate(_equal_rows(columns))]).agg(

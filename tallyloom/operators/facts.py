@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.amounts import AMOUNT
-from tallyloom.functions.identity import surrogate_key
+from tallyloom.functions.identity import UNKNOWN_KEY, surrogate_key
 from tallyloom.functions.periods import period_key, period_month, period_year
 from tallyloom.operators.dims import lookup_key, unknown_keys
 from tallyloom.operators.spread import keep_first
 
 
-def fact_order_cost(silver: DataFrame, dates: DataFrame, customers: DataFrame, currencies: DataFrame) -> DataFrame:
-    """One row per order, cost category and month, with dimension keys."""
+def fact_order_cost(silver: DataFrame, dates: DataFrame, currencies: DataFrame) -> DataFrame:
+    """One row per order, cost category and month, with dimension keys.
+
+    The customer dimension is built from the same names, so its key, a function of the name, needs no lookup.
+    """
     keyed = lookup_key(silver, dates, "period", "period_label", "date_sk")
     keyed = lookup_key(keyed, currencies, "currency", "currency_code", "currency_sk")
-    keyed = lookup_key(keyed, customers, "customer_name", "customer_name", "customer_sk")
+    customer = F.when(F.col("customer_name").isNull(), F.lit(UNKNOWN_KEY).cast("bigint")).otherwise(surrogate_key("customer_name"))
+    keyed = keyed.withColumn("customer_sk", customer)
     keyed = unknown_keys(keyed, ["season_sk", "drop_sk", "fabric_type_sk"])
     return keyed.select(
         surrogate_key("order_no", "category", "period").alias("fact_sk"),

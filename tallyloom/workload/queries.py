@@ -15,7 +15,7 @@ from tallyloom.functions.periods import parse_period
 from tallyloom.functions.text import flag, repair_ocr_digits, squeeze
 from tallyloom.operators.aggregate import aggregate_kpis, month_spine, with_missing_months
 from tallyloom.operators.dedup import (
-    dedup_summary, flag_not_highest, flag_repeats, keep_first_equal, keep_highest, repeat_log,
+    first_source_summary, flag_not_highest, flag_repeats, keep_first_equal, keep_highest, repeat_log,
 )
 from tallyloom.operators.dims import code_dim, customer_spellings, dim_currency, dim_customer, dim_date, month_bounds
 from tallyloom.operators.facts import fact_kpi_actual, fact_order_cost
@@ -380,7 +380,7 @@ def q_dedup_repeat_log(spark, d):
 @query("dedup_summary")
 def q_dedup_summary(spark, d):
     columns = ["order_no", "category", "period", "currency", "amount"]
-    return dedup_summary(flag_repeats(_cleaned(spark, d), columns, ["line_seq", "amount_raw"]))
+    return first_source_summary(_cleaned(spark, d), columns, ["line_seq", "amount_raw"])
 
 
 @query("kpi_issue_log")
@@ -563,9 +563,8 @@ def q_dim_code_list(spark, d):
 
 @query("fact_order_cost")
 def q_fact_order_cost(spark, d):
-    silver = staged(_silver_financial(spark, d), "silver-financial")
     dates = dim_date(month_bounds(table(spark, d, "lineitem"), "l_shipdate"))
-    return fact_order_cost(silver, dates, dim_customer(silver), dim_currency(view(spark, d, "fx_rates")))
+    return fact_order_cost(_silver_financial(spark, d), dates, dim_currency(view(spark, d, "fx_rates")))
 
 
 @query("fact_kpi_actual")
