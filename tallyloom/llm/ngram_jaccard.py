@@ -169,16 +169,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def postings(vertices: DataFrame) -> DataFrame:
-    """token, pos, vid, n, matches, rank, listed: the prefix entries of every vertex in lists of two or more.
+    """token, pos, vid, n, matches, size, rank, listed: the prefix entries of every vertex in lists of two or more.
 
-    `rank` numbers such entries of a vertex by their place in the prefix, `listed` is how many it has. A token
+    `size` is the length of a list. `rank` numbers such entries of a vertex by their place in the prefix, `listed` is how many it has. A token
     before a common one that no other prefix has is not in the other set at all, so ranks bound what two
     sets share so far.
     """
     entries = vertices.select(F.posexplode("prefix").alias("pos", "token"), "vid", "n", "matches")
-    listed = entries.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
+    listed = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     own = Window.partitionBy("vid")
-    return entries.join(listed, "token", "left_semi").withColumns(
+    return entries.join(listed, "token").withColumns(
         {"rank": F.row_number().over(own.orderBy("pos")), "listed": F.count("*").over(own)}
     )
 
@@ -238,22 +238,27 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     vertices = stage(vertices.select("digest", "least_id", F.col("first.row").alias("vid"), "first.tag", "first.n", "first.matches", "first.prefix"), "vertices")
     lists = stage(postings(vertices), "postings")
 
-    links, part, turn, gain = None, None, 0, True
-    while True:
-        within, entries, across = _mixed(lists, part)
-        if turn and (4 * across <= entries or not gain):
+    tried = _neighbours(lists.withColumn("component", F.col("vid")), 0, percent)
+    links = stage(verify(tried, docs, vertices, width, percent), "links")
+    part = connected_components(links)
+    # A round of which less than a tenth is linked has found what chance finds.
+    gain, turn = 10 * links.count() >= tried.count(), 1
+    while gain:
+        within = _mixed(lists.where(F.col("size") >= LONG_LIST), part)
+        entries, across = within.agg(F.count("*"), F.sum((F.col("total") - F.col("inside") / F.col("total")) / 2)).first()
+        if 4 * (across or 0) <= entries:
             break
         tried = _neighbours(within, turn, percent)
         new = stage(verify(tried, docs, vertices, width, percent), "links")
-        # A round of which less than a tenth is linked has found what chance finds.
         gain, turn = 10 * new.count() >= tried.count(), turn + 1
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         part = connected_components(links)
         drop_staged(within)
+    within = _mixed(lists, part)
     pairs = _across(within, vertices, percent)
     more = stage(verify(pairs, docs, vertices, width, percent), "links")
 
-    part = connected_components(more if links is None else links.union(more))
+    part = connected_components(links.union(more))
     of = vertices.join(part.withColumnRenamed("id", "vid"), "vid", "left").select("digest", "least_id", F.coalesce("component", "vid").alias("component"))
     named = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = of.join(named, "component").select("digest", "component", "component_id")
@@ -265,18 +270,12 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
-def _mixed(lists: DataFrame, part: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """Lists that hold different components, the number of their entries, and of the pairs across components in long ones."""
-    if part is None:
-        within = lists.withColumn("component", F.col("vid"))
-    else:
-        within = lists.join(part.withColumnRenamed("id", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+def _mixed(lists: DataFrame, part: DataFrame) -> DataFrame:
+    """The lists that hold different components, with `component`, the entries of a list, and of those the sum of squares by component."""
+    within = lists.join(part.withColumnRenamed("id", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     own = within.groupBy("token", "component").agg(F.count("*").alias("k"))
-    size = own.groupBy("token").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside")).where("size * size > inside")
-    within = stage(within.join(size, "token"), "mixed")
-    pairs = F.sum(F.when(F.col("size") >= LONG_LIST, (F.col("size") - F.col("inside") / F.col("size")) / 2))
-    found = within.agg(F.count("*").alias("entries"), pairs.alias("across")).first()
-    return within, found["entries"], found["across"] or 0
+    mixed = own.groupBy("token").agg(F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+    return stage(within.join(mixed.where("total * total > inside"), "token"), "mixed")
 
 
 def _neighbours(within: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -315,7 +314,9 @@ def _across(within: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     side = lambda x: rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("vid", "n", "matches", "component", "pos", "rank", "listed", "head")))
     need, common = F.least("matches_a", "matches_b"), F.array_intersect("head_a", "head_b")
     whole = F.col("head_a").isNotNull() & F.col("head_b").isNotNull()
-    once = (F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= need) & _room(common, "head_a", "head_b", percent)
+    # The first common token has the needed matches behind it, and nothing common before it.
+    early = (F.col("rank_a") <= F.col("listed_a") - need + 1) & (F.col("rank_b") <= F.col("listed_b") - need + 1) & can_overlap(F.lit(1), percent)
+    once = early & (F.get(common, F.lit(0)) == F.col("token")) & (F.size(common) >= need) & _room(common, "head_a", "head_b", percent)
     pairs = side("a").join(side("b"), "token").where(
         (F.col("vid_a") < F.col("vid_b")) & (F.col("component_a") != F.col("component_b")) & close_sizes(percent)
         & (F.least("listed_a", "listed_b") >= need) & can_overlap(F.least("rank_a", "rank_b"), percent) & F.when(whole, once).otherwise(True)
