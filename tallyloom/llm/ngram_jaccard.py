@@ -244,9 +244,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     # A round of which less than a tenth is linked has found what chance finds.
     gain, turn = 10 * links.count() >= tried.count(), 1
     while gain:
-        within = _mixed(lists.where(F.col("size") >= LONG_LIST), part)
-        entries, across = within.agg(F.count("*"), F.sum((F.col("total") - F.col("inside") / F.col("total")) / 2)).first()
-        if 4 * (across or 0) <= entries:
+        within, entries, across = _mixed(lists.where(F.col("size") >= LONG_LIST), part)
+        if across <= entries:
             break
         tried = _neighbours(within, turn, percent)
         new = stage(verify(tried, docs, vertices, width, percent), "links")
@@ -254,7 +253,7 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         links = links.union(new)
         part = connected_components(links)
         drop_staged(within)
-    within = _mixed(lists, part)
+    within, _, _ = _mixed(lists, part)
     pairs = _across(within, vertices, percent)
     more = stage(verify(pairs, docs, vertices, width, percent), "links")
 
@@ -270,12 +269,14 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
-def _mixed(lists: DataFrame, part: DataFrame) -> DataFrame:
-    """The lists that hold different components, with `component`, the entries of a list, and of those the sum of squares by component."""
+def _mixed(lists: DataFrame, part: DataFrame) -> tuple[DataFrame, int, float]:
+    """The lists that hold different components, with `component`; their entries, and their pairs of different components."""
     within = lists.join(part.withColumnRenamed("id", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     own = within.groupBy("token", "component").agg(F.count("*").alias("k"))
-    mixed = own.groupBy("token").agg(F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("inside"))
-    return stage(within.join(mixed.where("total * total > inside"), "token"), "mixed")
+    mixed = own.groupBy("token").agg(F.sum("k").alias("total"), F.sum(F.col("k") * F.col("k")).alias("inside")).where("total * total > inside")
+    mixed = stage(mixed, "mixed-tokens")
+    entries, across = mixed.agg(F.sum("total"), F.sum((F.col("total") * F.col("total") - F.col("inside")) / 2)).first()
+    return stage(within.join(mixed.select("token"), "token", "left_semi"), "mixed"), entries or 0, across or 0
 
 
 def _neighbours(within: DataFrame, turn: int, percent: int) -> DataFrame:
