@@ -1,7 +1,8 @@
 """Embedding near-dedup over a flat, robust-pruned graph.
 
-Vectors go to their nearest clusters, several each, and large clusters are split at random, so every shard
-has a bounded size. Each shard builds a pruned neighbour graph; the lists of a vector from all its shards are
+Vectors go to their nearest clusters, as many as an angle margin asks for, and large clusters are split at random,
+so every shard has a bounded size. Centres within the link angle of each other are one cluster, so a hot group of near
+copies is not cut. Each shard builds a pruned neighbour graph; the lists of a vector from all its shards are
 united. Every vector then searches the shards of its clusters: greedily from the shard's medoids, and on from
 everything in range. Pairs that were found are closed within their shard and verified in double precision.
 """
@@ -26,7 +27,10 @@ MOST_CLUSTERS = 1024
 # Vectors a cluster should have, and most that a shard has.
 CLUSTER_SIZE = 1000
 SHARD_SIZE = 2048
+# Clusters of a vector: so many at least, and all that a linked vector can have as its nearest when the difference of the
+# two, seen from both, is at most so many standard deviations along the line between the centres.
 OVERLAP = 2
+DEVIATIONS = 3
 # Graph: candidates looked at, neighbours kept, slack of the pruning, random edges; search: entries and beam.
 CANDIDATES = 48
 DEGREE = 20
@@ -72,29 +76,53 @@ def cluster_centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def fit_centres(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Centres for each dimension among the vectors, from the bounded sample."""
+def merged(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """The cluster of each centre, numbered from 0: centres within the link angle of each other are one, and so on."""
+    a, b = np.nonzero(centres @ centres.T >= threshold)
+    return np.unique(groups_of(len(centres), a, b), return_inverse=True)[1]
+
+
+def fit_centres(classes: DataFrame, threshold: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centres and their clusters for each dimension among the vectors, from the bounded sample."""
     centres = {}
     for dim, n in [(r.dim, r.n) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()]:
         size = max(1, SAMPLE_NUMBERS // dim)
         rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(size).select("unit").collect()
         sample = np.array([r.unit for r in rows])
-        centres[dim] = cluster_centres(sample, int(np.clip(-(-n // CLUSTER_SIZE), 1, min(MOST_CLUSTERS, len(sample)))))
+        fitted = cluster_centres(sample, int(np.clip(-(-n // CLUSTER_SIZE), 1, min(MOST_CLUSTERS, len(sample)))))
+        centres[dim] = fitted, merged(fitted, threshold)
     return centres
 
 
-def assign(classes: DataFrame, centres: dict[int, np.ndarray], overlap: int = OVERLAP) -> DataFrame:
-    """id, copies, unit, cells: the nearest clusters of every vector, numbered over all dimensions."""
+def assign(classes: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float, overlap: int = OVERLAP) -> DataFrame:
+    """id, copies, unit, cells: the nearest clusters of every vector, numbered over all dimensions.
+
+    For linked a and b with the nearest centres p and q, (b - a)(q - p) is b's loss at p and a's loss at q together, so one of
+    them loses at most half of it. A vector goes to all centres at which it loses no more than that: half of |b - a||q - p|
+    always suffices, and of a difference in any direction DEVIATIONS / sqrt(dim) is what must be expected along q - p.
+    """
     first, at = {}, 0
     for dim in sorted(centres):
-        first[dim], at = at, at + len(centres[dim])
+        first[dim], at = at, at + int(centres[dim][1].max()) + 1
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margin = {}
+        for dim, (c, _) in centres.items():
+            apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+            margin[dim] = apart * np.sqrt(max(2 - 2 * threshold, 0)) * min(1, DEVIATIONS / np.sqrt(dim)) / 2 + 1e-9
         for batch in batches:
             cells = []
             for unit in batch.column("unit").to_pylist():
-                c = centres[len(unit)]
-                cells.append((np.argsort(-(c @ np.array(unit)), kind="stable")[:overlap] + first[len(unit)]).tolist())
+                c, cluster = centres[len(unit)]
+                sims = c @ np.array(unit)
+                order = np.argsort(-sims, kind="stable")
+                close = sims[order[0]] - sims[order] <= margin[len(unit)][order[0], order]
+                own = dict.fromkeys(cluster[order[close]].tolist())
+                for cell in cluster[order].tolist() if len(own) < overlap else ():
+                    own.setdefault(cell)
+                    if len(own) == overlap:
+                        break
+                cells.append([cell + first[len(unit)] for cell in own])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("copies"), batch.column("unit"), pa.array(cells, pa.list_(pa.int64()))], ["id", "copies", "unit", "cells"]
             )
@@ -244,6 +272,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 0))
 
 
+def _padded(column: pd.Series, blank: int) -> np.ndarray:
+    out = np.full((len(column), max(map(len, column))), blank)
+    for i, own in enumerate(column):
+        out[i, : len(own)] = own
+    return out
+
+
 def search_block(data: pd.DataFrame, queries: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """id, links, root of one shard and one block of queries: verified links counted in their first common cell."""
     out = pd.DataFrame({"id": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
@@ -262,12 +297,12 @@ def search_block(data: pd.DataFrame, queries: pd.DataFrame, threshold: float) ->
     node = np.where(same >= 0, same, len(x) + np.arange(len(q)))
     groups = groups_of(len(x) + len(q), node[fq], fv)
     links, root = np.zeros(len(q), np.int64), {}
-    cells, qcells, copies = _matrix(data.cells), _matrix(queries.cells), data.copies.to_numpy()
+    cells, qcells, copies = _padded(data.cells, -1), _padded(queries.cells, -2), data.copies.to_numpy()
     cell, linked = data.cell.iloc[0], groups[fv[node[fq] != fv]]
     for g in np.unique(linked):
         mine, theirs = np.flatnonzero(groups[node] == g), np.flatnonzero(groups[: len(x)] == g)
-        for at in range(0, len(mine), 1024):
-            part = mine[at : at + 1024]
+        for at in range(0, len(mine), 256):
+            part = mine[at : at + 256]
             hit = (q[part] @ x[theirs].T >= threshold) & (qids[part][:, None] != ids[theirs][None, :])
             a, b = np.nonzero(hit)
             if not len(a):
@@ -299,7 +334,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     )
     classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     classes = classes.withColumn("dim", F.size("unit"))
-    placed = stage(assign(classes, fit_centres(classes)), "placed")
+    placed = stage(assign(classes, fit_centres(classes, threshold), threshold), "placed")
 
     member = placed.withColumn("cell", F.explode("cells"))
     parts = member.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_SIZE).cast("long").alias("parts"))

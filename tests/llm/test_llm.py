@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -105,6 +106,37 @@ def test_embedding_search_splits_large_clusters(spark, monkeypatch):
     assert embedding_dedup.audit_recall(vectors, found, every=10) >= 0.9
 
 
+def test_embedding_hot_group_shares_cells(spark):
+    """20,000 near copies have several centres of their own; all their links have a common cell."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60_000, 64))
+    x[:20_000] = x[0] + rng.normal(size=(20_000, 64)) * 0.2
+    x[20_000:20_200] = x[30_000:30_200] + rng.normal(size=(200, 64)) * 0.25
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    columns = {"id": pa.array(range(len(x))), "copies": pa.array([1] * len(x)), "unit": pa.array(list(x), pa.list_(pa.float64()))}
+    classes = spark.createDataFrame(pa.table(columns)).withColumn("dim", F.size("unit"))
+    centres = embedding_dedup.fit_centres(classes, 0.95)
+    assert len(centres[64][0]) == 60 and (centres[64][0] @ x[:20_000].mean(axis=0) > 0.9).sum() > 1
+    cells = {r.id: set(r.cells) for r in embedding_dedup.assign(classes, centres, 0.95).select("id", "cells").collect()}
+    for some in (range(0, 20_000, 200), range(20_000, 20_200)):
+        links = [(i, int(j)) for i in some for j in np.flatnonzero(x @ x[i] >= 0.95) if i != j]
+        assert len(links) > 100 and sum(bool(cells[i] & cells[j]) for i, j in links) >= 0.99 * len(links)
+    assert np.mean([len(c) for c in cells.values()]) < 6
+
+
+def test_embedding_hot_group_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CLUSTER_SIZE", 60)
+    monkeypatch.setattr(embedding_dedup, "SHARD_SIZE", 300)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 32))
+    x[:1200] = x[0] + rng.normal(size=(1200, 32)) * 0.2
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors).collect()}
+    assert all(found[i] <= n for i, n in enumerate(true)) and sum(found.values()) >= 0.99 * true.sum()
+
+
 # ---- 2 n-gram Jaccard ------------------------------------------------------
 
 def shingles(text, width):
@@ -276,6 +308,7 @@ def test_packing_round_trip(spark, texts):
 
 # ---- 6 secrets -------------------------------------------------------------
 
+
 def test_secret_spans(spark):
     key, long_hex, mixed = "AKIA" + "Q7" * 8, "0123456789abcdef" * 2, "aB3" * 8
     rows = [
