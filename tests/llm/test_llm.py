@@ -308,6 +308,8 @@ def test_packing_round_trip(spark, texts):
 
 # ---- 6 secrets -------------------------------------------------------------
 
+KIND = {k: i for i, k in enumerate(secret_scan.KINDS)}
+
 
 def test_secret_spans(spark):
     key, long_hex, mixed = "AKIA" + "Q7" * 8, "0123456789abcdef" * 2, "aB3" * 8
@@ -333,6 +335,17 @@ def test_secret_spans(spark):
     assert secret_scan.find_secrets(docs_of(spark, [])).count() == 0
 
 
+def test_secret_parts_of_any_length(spark):
+    tokens = [("aB3" * 2000)[:n] for n in (128, 129, 5000)]
+    names = ["a1-" * 20 + ".apps.googleusercontent.com", "u" * 5000]
+    rows = [(i, f"client_id=abcdef {t}") for i, t in enumerate(tokens)] + [(10 + i, f"client_id={n}\n{tokens[0]}") for i, n in enumerate(names)]
+    found = {r.doc_id: sorted(map(tuple, r.linked)) for r in secret_scan.find_secrets(docs_of(spark, rows)).collect()}
+    for i, t in enumerate(tokens):
+        assert (17, KIND["opaque"], 17 + len(t)) in found[i] and (0, KIND["identifier"], 16) in found[i]
+    assert (0, KIND["identifier"], 10 + len(names[0])) in found[10]
+    assert (0, 3, 10 + len(names[1])) in [(m.start(), 3, m.end()) for m in secret_scan.IDENTIFIER.finditer(rows[-1][1])]
+
+
 # ---- 7 token counts --------------------------------------------------------
 
 def test_prefix_counts_equal_encoding_each_prefix(spark, texts):
