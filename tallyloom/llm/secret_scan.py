@@ -28,7 +28,7 @@ IDENTIFIER = re.compile(r"""\b(?:client_?id|access_?key_?id|user(?:name)?|login|
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[A-Za-z0-9._~:@-]+|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}""", re.I | re.A)
 
-# Characters around a part in which its complement must start.
+# Most characters between a part and its complement.
 REACH = 200
 
 
@@ -104,25 +104,27 @@ WHO, WHAT = ("access", "identifier"), ("assign", "hex", "opaque")
 
 
 def link_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """row, start, kind, end of the weak parts whose complements start within `reach` in the same scope.
+    """row, start, kind, end of the weak parts with complements in the same scope and no more than `reach` between the two.
 
-    An interval join over buckets of `reach` characters: a part looks for its complements in its own and the
-    two neighbouring buckets. Existence is asked for, so a crowded bucket emits no pairs.
+    An interval join over buckets of `reach` characters: a part is listed in every bucket that it touches, and looks
+    for its complements in those and the two beside them. Existence is asked for, so a crowded bucket emits no pairs.
     """
     role = F.when(F.col("kind").isin([KINDS.index(k) for k in WHO]), "who").when(F.col("kind").isin([KINDS.index(k) for k in WHAT]), "what")
-    bucket = F.floor(F.col("start") / reach)
-    near = parts.select("row", "scope", bucket.alias("bucket"), role.alias("role"), F.col("start").alias("at")).where("role is not null")
-    # A bucket needs only its first and last part of a role: any part within reach lies beside one of them or between.
+    first, last = F.floor(F.col("start") / reach), F.floor(F.col("end") / reach)
+    near = parts.select("row", "scope", F.explode(F.sequence(first, last)).alias("bucket"), role.alias("role"), "start", "end").where("role is not null")
+    # A bucket needs only the first start and the last end of a role: those are the nearest for the buckets beside it.
     bounds = near.groupBy("row", "scope", "bucket").agg(
-        *(f(F.when(F.col("role") == r, F.col("at"))).alias(f"{r}_{n}") for r in ("who", "what") for n, f in (("first", F.min), ("last", F.max)))
+        *(f(F.when(F.col("role") == r, F.col(at))).alias(f"{r}_{at}") for r in ("who", "what") for at, f in (("start", F.min), ("end", F.max)))
     )
-    own = parts.where(F.col("kind") >= KINDS.index("identifier")).select("row", "scope", "start", "kind", "end", role.alias("role"), bucket.alias("home"))
-    spread = own.select("*", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)).alias("bucket"))
+    own = parts.where(F.col("kind") >= KINDS.index("identifier")).select(
+        "row", "scope", "start", "kind", "end", role.alias("role"), first.alias("first"), last.alias("last")
+    )
+    spread = own.select("*", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("bucket"))
 
     def within(r: str):
-        edge = F.when(F.col("bucket") < F.col("home"), F.col("start") - F.col(f"{r}_last"))
-        edge = edge.when(F.col("bucket") > F.col("home"), F.col(f"{r}_first") - F.col("start"))
-        return F.coalesce(F.max(edge.otherwise(F.when(F.col(f"{r}_first").isNotNull(), 0)) <= reach), F.lit(False))
+        gap = F.when(F.col("bucket") < F.col("first"), F.col("start") - F.col(f"{r}_end"))
+        gap = gap.when(F.col("bucket") > F.col("last"), F.col(f"{r}_start") - F.col("end"))
+        return F.coalesce(F.max(gap.otherwise(F.when(F.col(f"{r}_start").isNotNull(), 0)) <= reach), F.lit(False))
 
     seen = spread.join(bounds, ["row", "scope", "bucket"]).groupBy("row", "scope", "start", "kind", "end", "role").agg(
         within("who").alias("who"), within("what").alias("what")

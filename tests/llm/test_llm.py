@@ -346,6 +346,27 @@ def test_secret_parts_of_any_length(spark):
     assert (0, 3, 10 + len(names[1])) in [(m.start(), 3, m.end()) for m in secret_scan.IDENTIFIER.finditer(rows[-1][1])]
 
 
+def test_secret_parts_beside_long_ones(spark):
+    """Any intervals against all pairs, then texts: what counts is the gap, whatever the lengths."""
+    rng, parts = random.Random(11), []
+    for row in range(60):
+        for _ in range(rng.randrange(2, 9)):
+            start = rng.randrange(3000)
+            parts.append((row, rng.randrange(2), start, rng.randrange(6), start + rng.choice([5, 60, 199, 200, 201, 700])))
+    who, what = ({KIND[k] for k in kinds} for kinds in (secret_scan.WHO, secret_scan.WHAT))
+    expected = set()
+    for row, scope, start, kind, end in parts:
+        near = {k for r, c, s, k, e in parts if (r, c) == (row, scope) and max(s - end, start - e) <= secret_scan.REACH}
+        if kind >= KIND["identifier"] and all(near & role for role in ([what] if kind in who else [who] if kind in what else [who, what])):
+            expected.add((row, start, kind, end))
+    table = spark.createDataFrame(parts, "row long, scope long, start long, kind long, end long")
+    assert {tuple(r) for r in secret_scan.link_parts(table).collect()} == expected and len(expected) > 20
+
+    rows = [(1, "password=" + "x1" * 150 + " user=alice"), (2, "0123456789abcdef" * 20 + f"{' ' * 200}user=alice"), (3, "0123456789abcdef" * 20 + f"{' ' * 201}user=alice")]
+    found = {r.doc_id: [k for _, k, _ in r.linked] for r in secret_scan.find_secrets(docs_of(spark, rows)).collect()}
+    assert found == {1: [KIND["identifier"]], 2: [KIND["identifier"]], 3: []}
+
+
 # ---- 7 token counts --------------------------------------------------------
 
 def test_prefix_counts_equal_encoding_each_prefix(spark, texts):
