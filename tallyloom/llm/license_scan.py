@@ -16,11 +16,12 @@ from tallyloom.llm.common import SEPARATORS, ascii_lower, row_tag, table
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # Label, keywords of which a text must hold one, full title, unambiguous short name or "", SPDX identifier as words.
+# Every alternative of title, short name and identifier holds a keyword; for bare names see LEADS.
 V = r"(?: v| version)? ?"
 FAMILIES = [
-    ("mit", "mit licen|under mit|the mit|identifier mit", r"mit licen[sc]e", "", "mit"),
+    ("mit", "mit licen", r"mit licen[sc]e", "", "mit"),
     ("x11", "x11", r"x11 licen[sc]e", "", "x11"),
-    ("isc", "isc licen|identifier isc", r"isc licen[sc]e", "", "isc"),
+    ("isc", "isc licen", r"isc licen[sc]e", "", "isc"),
     ("apache-1", "apache", rf"apache(?: software)? licen[sc]e{V}1(?: [01])?", r"apache 1 [01]", r"apache 1 [01]"),
     ("apache-2", "apache", rf"apache(?: software)? licen[sc]e{V}2(?: 0)?", r"apache 2(?: 0)?", r"apache 2 0"),
     ("bsd-0", "bsd", r"(?:0|zero) clause bsd licen[sc]e", "0bsd", "0bsd"),
@@ -44,21 +45,21 @@ FAMILIES = [
     ("epl-1", "eclipse|epl", rf"eclipse public licen[sc]e{V}1(?: 0)?", r"epl 1 0", r"epl 1 0"),
     ("epl-2", "eclipse|epl", rf"eclipse public licen[sc]e{V}2(?: 0)?", r"epl 2 0", r"epl 2 0"),
     ("cddl-1", "common development|cddl", r"common development and distribution licen[sc]e", r"cddl 1 [01]", r"cddl 1 [01]"),
-    ("cpl-1", "common public", r"common public licen[sc]e", r"cpl 1 0", r"cpl 1 0"),
+    ("cpl-1", "common public|cpl 1", r"common public licen[sc]e", r"cpl 1 0", r"cpl 1 0"),
     ("artistic-1", "artistic", rf"artistic licen[sc]e(?:{V}1 0)?", r"artistic 1 0", r"artistic 1 0"),
     ("artistic-2", "artistic", rf"artistic licen[sc]e{V}2(?: 0)?", r"artistic 2 0", r"artistic 2 0"),
     ("boost-1", "boost|bsl", r"boost software licen[sc]e", r"bsl 1 0", r"bsl 1 0"),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", "", "zlib"),
     ("unlicense", "unlicense", r"the unlicense", "", "unlicense"),
     ("wtfpl", "wtfpl|do what the", r"do what the f\S+ you want to public licen[sc]e", "wtfpl", "wtfpl"),
-    ("python-2", "python", r"python(?: software foundation)? licen[sc]e", r"psf 2 0", r"python 2 0"),
+    ("python-2", "python|psf 2", r"python(?: software foundation)? licen[sc]e", r"psf 2 0", r"python 2 0"),
     ("ruby", "ruby", r"ruby licen[sc]e", "", "ruby"),
     ("php-3", "php", r"php licen[sc]e", r"php 3 0[01]?", r"php 3 0[01]?"),
     ("ofl-1", "open font|ofl", r"(?:sil )?open font licen[sc]e", r"ofl 1 [01]", r"ofl 1 [01]"),
     ("eupl", "european union public|eupl", r"european union public licen[sc]e", r"eupl 1 [12]", r"eupl 1 [12]"),
     ("mspl", "microsoft public|ms pl", r"microsoft public licen[sc]e", "ms pl", "ms pl"),
     ("odbl-1", "open database|odbl", r"open database licen[sc]e", r"odbl 1 0", r"odbl 1 0"),
-    ("pddl", "pddl", r"public domain dedication and licen[sc]e", "pddl", r"pddl 1 0"),
+    ("pddl", "pddl|public domain dedication", r"public domain dedication and licen[sc]e", "pddl", r"pddl 1 0"),
     ("cc0", "cc0|creative commons", r"creative commons (?:zero|cc0)", "cc0", r"cc0 1 0"),
     ("cc-by", "cc by|creative commons", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)? licen[sc]e", r"cc by [1-4] [05]", r"cc by [1-4] [05]"),
     ("cc-by-sa", "cc by|creative commons", r"creative commons attribution share ?alike", r"cc by sa", r"cc by sa [1-4] [05]"),
@@ -83,6 +84,12 @@ TEMPLATES = [
     (2, "{title}", True),
     (1, "{short}", True),
 ]
+# Families that count without the word license, and all words that the wording has right before a name.
+BARE = ("mit", "isc")
+LEADS = (
+    "under", "the", "of", "to", "by", "with", "identifier", "licensed", "licenced", "released", "distributed", "redistributed",
+    "available", "provided", "published", "offered",
+)
 WEIGHTS = {1: 0.4, 2: 0.6, 3: 0.85, 4: 1.0}
 BASE_WEIGHT = 0.9
 
@@ -93,7 +100,7 @@ def rules() -> list[tuple[int, str, str, int, str, bool]]:
     for phrase, label in BASE.items():
         out.append((len(out), f"base {label}", label, 0, f"(?<= ){phrase}(?= )", True))
     for label, _, title, short, spdx in FAMILIES:
-        name = "(?:" + "|".join(x for x in (title, short, title.replace(" licen[sc]e", "") if label in ("mit", "isc") else "") if x) + ")"
+        name = "(?:" + "|".join(x for x in (title, short, title.replace(" licen[sc]e", "") if label in BARE else "") if x) + ")"
         for priority, template, labelled in TEMPLATES:
             parts = {"grant": GRANT, "the": THE, "name": name, "title": f"(?:{title})", "short": short, "spdx": f"(?:{spdx})"}
             if ("{short}" in template and not short) or ("{spdx}" in template and not spdx):
@@ -106,12 +113,14 @@ def rules() -> list[tuple[int, str, str, int, str, bool]]:
 def keywords() -> list[tuple[str, str]]:
     """(family, keyword) of the prefilter."""
     base = [(f"base {label}", phrase) for phrase, label in BASE.items()]
-    return base + [(label, word) for label, words, *_ in FAMILIES for word in words.split("|")]
+    bare = [(label, f" {lead} {label} ") for label in BARE for lead in LEADS]
+    return base + [(label, word) for label, words, *_ in FAMILIES for word in words.split("|")] + bare
 
 
 def gate() -> str:
-    """Texts without any of these words match no rule: the start of every keyword, without regard to case."""
-    return "(?i)" + "|".join(sorted({word for _, word in keywords()}))
+    """Texts without any of these match no rule: every keyword, without regard to case; a bare name is looked at before its lead."""
+    names, leads = "|".join(BARE), "|".join(LEADS)
+    return "(?i)" + "|".join(sorted({word for _, word in keywords() if word[0] != " "}) + [rf" (?:{names})(?= |$)(?<=\b(?:{leads}) (?:{names}))"])
 
 
 def blanks(text: Column) -> Column:

@@ -240,6 +240,52 @@ def test_license_rules():
     assert licences("licensed under the GNU General Public License v2 or later")[5] == "gpl-2"
 
 
+def spelled(pattern, rng):
+    """A text that the pattern matches, by chance among its alternatives."""
+    def of(parts):
+        out = ""
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "IN":
+                kind, chosen = rng.choice(value)
+                out += "x" if str(kind) == "CATEGORY" else chr(chosen if str(kind) == "LITERAL" else rng.randint(*chosen))
+            elif name == "SUBPATTERN":
+                out += of(value[-1])
+            elif name == "BRANCH":
+                out += of(rng.choice(value[1]))
+            elif name == "MAX_REPEAT":
+                out += "".join(of(value[2]) for _ in range(rng.randint(value[0], min(value[1], value[0] + 1))))
+            else:
+                assert name == "ASSERT"
+        return out
+    return of(re._parser.parse(pattern))
+
+
+def test_license_prefilter_passes_every_rule(spark):
+    rng, rows = random.Random(12), set()
+    for number, family, _, _, pattern, _ in license_scan.rules():
+        for _ in range(400 if family in license_scan.BARE else 40):
+            rows.add((number, spelled(pattern, rng)))
+    texts = sorted({t for _, t in rows})
+    at = {t: i for i, t in enumerate(texts)}
+    words = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, tag long, words string")
+    found = {tuple(r) for r in license_scan.find_rules(words).select("rule", "id").distinct().collect()}
+    assert {n for n, _ in rows} == set(range(len(license_scan.rules())))
+    assert [(n, t) for n, t in sorted(rows) if (n, at[t]) not in found] == []
+
+
+def test_license_names_without_common_keywords(spark):
+    texts = [
+        "Public Domain Dedication and License", "SPDX-License-Identifier: CPL-1.0", "licensed under CPL 1.0", "licensed under PSF 2.0", "licensed under ISC",
+        "released under the ISC", "subject to MIT", "under the terms of MIT", "Offered MIT.", "permitted by mitigation, the iscariot",
+    ]
+    found = [tuple(r) for r in license_scan.scan_licenses(docs_of(spark, list(enumerate(texts)))).collect()]
+    assert sorted(found) == sorted((i, *licences(t)) for i, t in enumerate(texts))
+    assert [r[6] != "" for r in sorted(found)] == [True] * 9 + [False]
+
+
 # ---- 4 toxicity ------------------------------------------------------------
 
 def test_toxicity_learns_sentences_from_documents(spark):
