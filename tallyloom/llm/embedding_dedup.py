@@ -374,15 +374,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     )
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = 0.95, every: int = 100, most: int = 1000) -> float:
-    """Share of the true links that `found` counts, over the vectors whose id `every` divides, at most `most` of them.
+def audit_by_size(vectors: DataFrame, found: DataFrame, threshold: float = 0.95, every: int = 100, block: int = 1000) -> dict[int, tuple[int, int]]:
+    """Links that `found` counts and true links of the vectors whose id `every` divides, by the power of two that their true links reach.
 
-    Those are compared with all vectors, in blocks; a count above the truth does not make up for one below.
+    All of those are compared with all vectors, about `block` at a time; a count above the truth does not make up for one below.
     """
-    rows = unit_vectors(vectors).where("digest is not null")
-    chosen = rows.where(F.col("vec_id") % every == 0).orderBy("vec_id").limit(most).collect()
-    if not chosen:
-        return 1.0
+    rows = stage(unit_vectors(vectors).where("digest is not null"), "audit")
+    chosen = rows.where(F.col("vec_id") % every == 0)
+    blocks, sizes = -(-chosen.count() // block), {}
+    for k in range(blocks):
+        part = chosen.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).collect()
+        for size, got, n in _audited(rows, part, found, threshold):
+            before = sizes.get(size, (0, 0))
+            sizes[size] = before[0] + got, before[1] + n
+    return sizes
+
+
+def _audited(rows: DataFrame, chosen: list, found: DataFrame, threshold: float) -> list[tuple[int, int, int]]:
     by_dim = {d: ([r.vec_id for r in chosen if len(r.unit) == d], np.array([r.unit for r in chosen if len(r.unit) == d])) for d in {len(r.unit) for r in chosen}}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,8 +404,14 @@ def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = 0.95,
         yield pa.RecordBatch.from_pydict({"vec_id": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
     true = rows.select("unit").mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    both = true.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum(F.least("n", "n_links")).alias("got"), F.sum("n").alias("all")).first()
-    return 1.0 if not both["all"] else both["got"] / both["all"]
+    both = true.where("n > 0").join(found.select("vec_id", "n_links"), "vec_id").withColumn("size", F.floor(F.log2("n")))
+    return [(1 << r.size, r.got, r.all) for r in both.groupBy("size").agg(F.sum(F.least("n", "n_links")).alias("got"), F.sum("n").alias("all")).collect()]
+
+
+def audit_recall(vectors: DataFrame, found: DataFrame, threshold: float = 0.95, every: int = 100, block: int = 1000) -> float:
+    """Share of the true links that `found` counts, over all vectors whose id `every` divides."""
+    sizes = audit_by_size(vectors, found, threshold, every, block).values()
+    return sum(got for got, _ in sizes) / sum(n for _, n in sizes) if sizes else 1.0
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

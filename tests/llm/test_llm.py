@@ -137,6 +137,16 @@ def test_embedding_hot_group_matches_brute_force(spark, monkeypatch):
     assert all(found[i] <= n for i, n in enumerate(true)) and sum(found.values()) >= 0.99 * true.sum()
 
 
+def test_embedding_audit_reads_every_chosen_id(spark):
+    """Links lost at high ids only show beyond the first 1,000 chosen ones."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(1000, 16)), 3, axis=0)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = spark.createDataFrame([(i, 2 * (i < 1500)) for i in range(3000)], "vec_id long, n_links long")
+    assert embedding_dedup.audit_recall(vectors, found, every=1) == 0.5
+    assert embedding_dedup.audit_by_size(vectors, found, every=10) == {2: (300, 600)}
+
+
 # ---- 2 n-gram Jaccard ------------------------------------------------------
 
 def shingles(text, width):
