@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, embedding_dedup, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc
+from tallyloom.llm import (
+    alignment, conversations, decontaminate, embedding_dedup, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc,
+)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +23,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_archive_convert": warc.op10_archive_convert,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
 
 
