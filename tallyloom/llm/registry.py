@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import (
-    alignment, conversations, decontaminate, embedding_dedup, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc,
+    alignment, conversations, decontaminate, embedding_dedup, license_scan, line_dedup, neighbours, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc,
 )
 
 
@@ -23,6 +23,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_archive_convert": warc.op10_archive_convert,
+        "op11_nearest_neighbours": neighbours.op11_nearest_neighbours,
         "op12_conversation_repair": conversations.op12_conversation_repair,
         "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
     }
