@@ -26,7 +26,8 @@ from tallyloom.llm.token_counts import byte_alphabet
 
 CAPACITY = 4096
 # Words of the pre-tokenizer after normalising, and the id that ends a document (fixed values of the contract).
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# White space is what Unicode calls so: the separators U+001C to U+001F are not.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 END_ID = 2
 # Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
@@ -35,8 +36,9 @@ REMEMBERED = 200_000
 class WordEncoder:
     """Ids of whole texts, each distinct word encoded once by the tokenizer and then looked up.
 
-    Only vocabularies that encode words independently, after NFC and lower case, fit this; texts that hold a
-    special string go to the tokenizer whole.
+    Only vocabularies that encode words independently, after NFC and lower case, fit this. Texts that hold a
+    special string go to the tokenizer whole, and so do texts with code points that Unicode as Python has it does
+    not assign yet, of which the libraries' tables may say different things.
     """
 
     def __init__(self, vocabulary: str):
@@ -56,6 +58,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids."""
         if any(s in text for s in self.special):
             return self.whole(text)
+        original = text
         if not text.isascii():
             # The tokenizer lowers each letter by itself; a capital sigma has no final form there.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -67,7 +70,9 @@ class WordEncoder:
                 known.clear()
                 new = set(words)
             for word in new:
-                shown = word if word.isascii() else "".join([self.shown[b] for b in word.encode()])
+                if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+                    return self.whole(original)
+                shown = word if word.isascii() and word.isprintable() else "".join([self.shown[b] for b in word.encode()])
                 known[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return b"".join([known[w] for w in words])
 
