@@ -53,7 +53,8 @@ class PrefixCounter:
             self.joined[pair] = self.number.setdefault(a + b, len(self.parts))
             self.parts.append(pair)
         special = {t["content"] for t in model["added_tokens"]}
-        self.longest = max(map(len, self.number))
+        # What ends a token: its number, or -1 for an end that is no token itself. A walk back from a place stops where this has nothing.
+        self.tails = dict.fromkeys((token[at:] for token in self.number for at in range(1, len(token))), -1) | self.number
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.fits: dict[int, bool] = {}
         self.steps: dict[str, bytes] = {}
@@ -77,11 +78,13 @@ class PrefixCounter:
 
     def chain(self, word: bytes) -> list[int]:
         """Token counts of word[:0], word[:1], ... word[:n]."""
-        counts, last, number, fits = [0], [-1], self.number, self.fits
+        counts, last, tails, fits = [0], [-1], self.tails, self.fits
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = number.get(word[start:end])
+            for start in range(end - 1, -1, -1):
+                token = tails.get(word[start:end])
                 if token is None:
+                    break
+                if token < 0:
                     continue
                 if start:
                     key = last[start] << 32 | token
