@@ -362,6 +362,18 @@ def test_packing_round_trip(spark, texts):
     assert packing.pack(docs_of(spark, []), path).count() == 0
 
 
+def test_word_encoder_equals_the_library_on_every_code_point():
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    same = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0)]
+    texts = [f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}b" for c in points]
+    assert [encoder.encode(t) for t in texts] == same(texts)
+    rng = random.Random(7)
+    letters = [*map(chr, range(1, 256)), "\u2028", "\u1680", "Σ", "ς", "İ", "ﬁ", "\u0301", "'s", "'RE", "🙂", "\U0001E030"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    assert [encoder.encode(t) for t in texts] == same(texts)
+
+
 # ---- 6 secrets -------------------------------------------------------------
 
 KIND = {k: i for i, k in enumerate(secret_scan.KINDS)}

@@ -42,6 +42,8 @@ def test_toxicity_holds_out_and_generalises(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in held) / len(held) > 0.98
+    # Some rows are labelled toxic without any sign of it in the text.
+    assert sum(p for p, y in held if y) / sum(y for _, y in held) > 0.88 and sum(p for p, y in held if not y) <= 3
 
 
 def test_pipeline_stages(spark):
