@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.identity import row_digest, surrogate_key
 from tallyloom.operators.spread import with_next, with_previous
+from tallyloom.session import staging
+from tallyloom.sources.landing import replace_groups
 
 
 def build_history(
@@ -81,3 +84,71 @@ def build_history(
     return versions.join(latest, F.col(key).eqNullSafe(F.col("_latest_key")), "left").select(
         versions["*"], *[F.col(f"_latest.{c}").alias(c) for c in overwrite]
     )
+
+
+# Folders that a history and its observations are cut into by key; a snapshot reads those of the keys it changes.
+KEY_BUCKETS = 64
+
+
+def _table(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame | None:
+    """The given folders of a table cut by key, or None before its first write."""
+    try:
+        return spark.read.parquet(path).filter(F.col("key_bucket").isin(buckets))
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+
+
+def apply_snapshot(
+    spark: SparkSession,
+    snapshot: DataFrame,
+    path: str,
+    key: str,
+    at: str,
+    tracked: Sequence[str],
+    overwrite: Sequence[str] = (),
+    tiebreak: Sequence[str] = (),
+    unit: str | None = None,
+    bucket: Column | None = None,
+    far_end: Column | None = None,
+    buckets: int = KEY_BUCKETS,
+) -> None:
+    """Bring the history at ``path`` up to date with one snapshot, in whatever order snapshots come.
+
+    ``path/history`` holds the version chains as ``build_history`` gives them, ``path/observed`` every row that was
+    ever delivered. A row that says what the version in force at its time says changes no chain; it is only
+    observed, since a later snapshot may fall before it. The chains of all other keys are built anew from what
+    was observed of them: a new state closes the open version, and a late one splits the version around it, up
+    to the next observation. Chains of other keys are neither read nor written, but for the folders they share.
+
+    A snapshot that is applied again, or again after a run that stopped half way, leaves the same history.
+    """
+    with staging(spark) as stage:
+        number = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        arrived = stage(snapshot.filter(F.col(at).isNotNull()).withColumn("key_bucket", number), "snapshot")
+        # At most as many numbers as there are folders.
+        history = _table(spark, f"{path}/history", _numbers(arrived))
+        changed = arrived if history is None else _changed_rows(arrived, history, key, at, [*tracked, *overwrite])
+        touched = stage(changed.select(key, "key_bucket").distinct(), "touched-keys")
+        arrived.hint("rebalance", "key_bucket").write.mode("append").partitionBy("key_bucket").parquet(f"{path}/observed")
+        observed = _table(spark, f"{path}/observed", _numbers(touched))
+        own = touched.select(F.col(key).alias("_t"))
+        chains = observed.join(own, F.col(key).eqNullSafe(F.col("_t")), "left_semi").drop("key_bucket")
+        versions = build_history(chains, key, at, tracked, overwrite, tiebreak, unit, bucket, far_end)
+        replace_groups(spark, versions.withColumn("key_bucket", number), touched, f"{path}/history", [key], ["key_bucket"])
+
+
+def _numbers(rows: DataFrame) -> list[int]:
+    return [r[0] for r in rows.select("key_bucket").distinct().collect()]
+
+
+def _changed_rows(arrived: DataFrame, history: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
+    """Arrived rows that differ from the version in force at their time, or have none."""
+    versions = history.select(
+        F.col(key).alias("_v_key"), F.col("Valid_From").alias("_v_from"), F.col("Valid_To").alias("_v_to"), *[F.col(c).alias(f"_v_{c}") for c in columns]
+    )
+    same = F.col(key).eqNullSafe(F.col("_v_key")) & (F.col(at) >= F.col("_v_from")) & (F.col(at) < F.col("_v_to"))
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_v_{c}"))
+    return arrived.join(versions, same, "left_anti")

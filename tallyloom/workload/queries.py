@@ -29,11 +29,12 @@ from tallyloom.operators.reconcile import fill_kpi_sentinels, key_differences, r
 from tallyloom.operators.reshape import (
     map_fields, unpivot_dates, unpivot_month_names, unpivot_month_numbers,
 )
-from tallyloom.operators.scd import build_history
+from tallyloom.operators.scd import apply_snapshot, build_history
 from tallyloom.plans import financial, gold, kpi
 from tallyloom.plans.orders import NUMERIC_IDS
 from tallyloom.session import scratch_path, staged, tune
-from tallyloom.sources.landing import append_bronze, merge_latest, upsert_table, with_year_month, write_partitions
+from tallyloom.sources.landing import append_bronze, merge_latest, upsert_batch, upsert_changes, upsert_table, with_year_month, write_partitions
+from tallyloom.streaming.arrivals import upsert_new_files
 from tallyloom.sources.pages import flatten_pages, landed_documents, quarantine_pages, raw_records, record_fields
 from tallyloom.sources.tables import parquet_copy, with_run_time
 from tallyloom.workload.views import PERIODS, RUN_TS, YEAR_SHIFT, run_sql, table, view
@@ -100,21 +101,21 @@ def _order_lines(spark, d):
 
 
 def _order_pages(spark, d):
-    """Order headers as landed documents of at most PAGE_SIZE keys, some of them broken."""
+    """Order headers as landed documents of at most PAGE_SIZE keys, lists and envelopes, with broken documents beside some pages."""
     records = _order_headers(spark, d).withColumn("page", F.floor(F.col("id") / PAGE_SIZE))
     pages = records.groupBy("page").agg(
         F.to_json(F.sort_array(F.collect_list(F.struct("id", "userId", "title", "body")))).alias("_list")
     )
-    kind = F.col("page") % 7
-    document = (
-        F.when(kind == 0, F.concat(F.lit('{"data":'), F.col("_list"), F.lit(',"next_page":"c'), F.col("page").cast("string"), F.lit('"}')))
-        .when(kind == 1, F.lit('{"data":null,"next_page":null}'))
+    kind, number = F.col("page") % 7, F.col("page").cast("string")
+    whole = F.when(kind == 0, F.concat(F.lit('{"data":'), F.col("_list"), F.lit(',"next_page":"c'), number, F.lit('"}'))).otherwise(F.col("_list"))
+    broken = (
+        F.when(kind == 1, F.lit('{"data":null,"next_page":null}'))
         .when(kind == 2, F.expr("substr(_list, 1, length(_list) - 5)"))
         .when(kind == 3, F.lit("  "))
-        .when(kind == 4, F.concat(F.lit('{"data":{"page":'), F.col("page").cast("string"), F.lit("}}")))
-        .otherwise(F.col("_list"))
+        .when(kind == 4, F.concat(F.lit('{"data":{"page":'), number, F.lit("}}")))
     )
-    return pages.select(F.col("page").cast("string").alias("page"), document.alias("document"))
+    documents = F.array_compact(F.array(F.struct(number.alias("page"), whole.alias("document")), F.when(broken.isNotNull(), F.struct(F.concat(number, F.lit("-again")).alias("page"), broken.alias("document")))))
+    return pages.select(F.inline(documents))
 
 
 def _line_pages(spark, d):
@@ -239,6 +240,28 @@ def q_upsert_table(spark, d):
     return spark.read.parquet(path).drop("seq")
 
 
+@query("upsert_arrivals")
+def q_upsert_arrivals(spark, d):
+    """Orders landed as files in three arrivals, taken by a bounded stream; the last batch is taken twice."""
+    landing, path, seen = (scratch_path(spark, f"arrivals-{n}") for n in ("landing", "orders", "checkpoint"))
+    columns = "CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month"
+    loads = (
+        f"SELECT o_orderkey AS order_id, o_orderstatus AS status, 1 AS seq, {columns} FROM {{orders}} WHERE o_orderkey % 4 <> 3",
+        f"SELECT o_orderkey AS order_id, 'S' AS status, 2 AS seq, {columns} FROM {{orders}} WHERE o_orderkey % 4 >= 2 "
+        f"UNION ALL SELECT o_orderkey, 'old', 1, {columns} FROM {{orders}} WHERE o_orderkey % 4 = 2",
+        "SELECT o_orderkey AS order_id, 'T' AS status, 1 AS seq, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) % 12 + 1 AS INT) AS month FROM {orders} WHERE o_orderkey % 4 = 0",
+    )
+    newest = [F.col("seq").desc()]
+    for number, text in enumerate(loads):
+        load = run_sql(spark, d, text)
+        load.write.mode("append").parquet(landing)
+        upsert_new_files(spark, landing, load.schema, path, seen, ["order_id"], newest, fmt="parquet")
+        if number:
+            # A batch that runs again, here one that is no longer the last, changes nothing.
+            upsert_batch(spark, run_sql(spark, d, loads[number - 1]), path, ["order_id"], newest, number - 1)
+    return spark.read.parquet(path).drop("seq")
+
+
 @query("gold_partition_rebuild")
 def q_gold_partition_rebuild(spark, d):
     """Monthly order totals; the months of 1997 are rebuilt, the rest is left as written."""
@@ -511,24 +534,42 @@ def q_scd2_point_in_time(spark, d):
 
 # ---- history and dimensions ----------------------------------------------
 
-@query("scd2_build")
-def q_scd2_build(spark, d):
-    """Type 2 on event type and band per user, type 1 on the last property value."""
-    events = table(spark, d, "events").select(
+def _user_states(spark, d):
+    return table(spark, d, "events").select(
         "user_id", "ts", "event_id", "event_type",
         F.when(F.col("value") >= 50, "HIGH").otherwise("LOW").alias("band"),
         F.get_json_object("props", "$.k").alias("last_k"),
     )
-    history = build_history(
-        events, "user_id", "ts", ["event_type", "band"], overwrite=["last_k"], tiebreak=["event_id"],
-        unit="band", bucket=F.date_trunc("day", "ts"),
-    )
+
+
+USER_HISTORY = {
+    "key": "user_id", "at": "ts", "tracked": ["event_type", "band"], "overwrite": ["last_k"], "tiebreak": ["event_id"], "unit": "band",
+}
+
+
+def _shown_history(history):
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
     return history.select(
         "user_id", "event_type", "band", micros("Valid_From"), micros("Valid_To"), "is_current", "unit_changed", "last_k"
     )
 
 
+@query("scd2_build")
+def q_scd2_build(spark, d):
+    """Type 2 on event type and band per user, type 1 on the last property value."""
+    return _shown_history(build_history(_user_states(spark, d), **USER_HISTORY, bucket=F.date_trunc("day", "ts")))
+
+
+@query("scd2_apply")
+def q_scd2_apply(spark, d):
+    """The same history, from four snapshots that come out of order and overlap in time, the third one twice."""
+    path, states = scratch_path(spark, "user-history"), _user_states(spark, d)
+    part = F.pmod(F.col("event_id"), F.lit(5))
+    for own in ([3, 4], [0, 1], [2], [2]):
+        apply_snapshot(spark, states.filter(part.isin(own)), path, **USER_HISTORY, bucket=F.date_trunc("day", "ts"))
+    return _shown_history(spark.read.parquet(f"{path}/history"))
+
+
 @query("dim_kpi")
 def q_dim_kpi(spark, d):
     history = build_history(
@@ -648,6 +689,36 @@ def q_gold_order_cost(spark, d):
     return gold.order_cost_summary(_silver_financial(spark, d))
 
 
+@query("gold_cost_incremental")
+def q_gold_cost_incremental(spark, d):
+    """The cost mart after two upserts of Silver costs: first with other amounts, months and orders, then as they are."""
+    path, mart = scratch_path(spark, "silver-costs"), scratch_path(spark, "cost-mart")
+    silver = staged(with_year_month(_silver_financial(spark, d).select(*financial.SILVER_COLUMNS), "period"), "silver-costs")
+    turn = F.pmod(F.xxhash64(*financial.GRAIN), F.lit(10))
+    first = silver.filter(turn != 9).withColumns({
+        "converted_amount_vnd": F.when(turn == 3, F.col("converted_amount_vnd") * 2 + 1).when(turn != 4, F.col("converted_amount_vnd")).cast("decimal(38,2)"),
+        "customer_name": F.when(turn == 5, F.lit("Someone Else")).otherwise(F.col("customer_name")),
+        "IS_ORPHANED_ORDER": F.when(turn == 6, ~F.col("IS_ORPHANED_ORDER")).otherwise(F.col("IS_ORPHANED_ORDER")),
+    })
+    second = silver.filter(turn.isin(2, 3, 4, 5, 6, 9)).withColumn("converted_amount_vnd", F.col("converted_amount_vnd").cast("decimal(38,2)"))
+    for load in (first, second):
+        gold.refresh_order_cost(spark, upsert_changes(spark, load, path, financial.GRAIN, [F.lit(1)]), mart)
+    return gold.order_cost_of(spark.read.parquet(mart))
+
+
+@query("gold_ytd_incremental")
+def q_gold_ytd_incremental(spark, d):
+    """Year-to-date values after a change of some KPI months: only the touched KPI years are built anew."""
+    path, mart = scratch_path(spark, "kpi-months"), scratch_path(spark, "ytd-mart")
+    months = staged(_kpi_months(spark, d), "kpi-months")
+    turn = F.pmod(F.xxhash64("UA_ID", "period"), F.lit(7))
+    first = months.filter(turn != 0).withColumn("actual_value", F.when(turn == 1, F.lit(None)).when(turn == 2, F.col("actual_value") + 10).otherwise(F.col("actual_value")).cast("decimal(18,4)"))
+    for load in (first, months.filter(turn < 3)):
+        changes = upsert_changes(spark, load, path, ["UA_ID", "period", "unit"], [F.lit(1)])
+        gold.refresh_ytd(spark, changes, spark.read.parquet(path), mart)
+    return spark.read.parquet(mart)
+
+
 @query("gold_kpi_achievement")
 def q_gold_kpi_achievement(spark, d):
     return _kpi_months(spark, d)
@@ -677,11 +748,14 @@ def q_gold_load(spark, d):
 
 @query("orders_pipeline")
 def q_orders_pipeline(spark, d):
-    """Landed page files to Bronze records, from those to nested orders."""
+    """Landed page files to Bronze records and quarantine, from Bronze to nested orders; quarantined documents follow the orders."""
     landed, bronze = scratch_path(spark, "order-pages"), scratch_path(spark, "order-bronze")
     for kind, pages in (("headers", _order_pages(spark, d)), ("lines", _line_pages(spark, d))):
         pages.select(F.regexp_replace("document", r"[\r\n]", " ").alias("value")).write.text(f"{landed}/{kind}")
-        raw_records(flatten_pages(landed_documents(spark, f"{landed}/{kind}"))).write.parquet(f"{bronze}/{kind}")
+        documents = landed_documents(spark, f"{landed}/{kind}")
+        raw_records(flatten_pages(documents)).write.parquet(f"{bronze}/{kind}")
+        # A landed line has no page name; its digest names the document.
+        quarantine_pages(documents.withColumn("page", F.sha2("document", 256)), f"GET /orders/{kind}", RUN_TS).write.parquet(f"{bronze}/errors/kind={kind}")
 
     def fields(kind, names):
         parsed = spark.read.parquet(f"{bronze}/{kind}").select(F.parse_json("record_json").alias("record"))
@@ -689,7 +763,9 @@ def q_orders_pipeline(spark, d):
 
     nested = nest_lines(fields("headers", HEADER_FIELDS), fields("lines", LINE_FIELDS))
     listed = F.transform("line_items", lambda x: F.concat_ws("/", x["line_id"].cast("string"), x["line_description"]))
-    return nested.select("order_id", "customer_id", "order_code", "order_notes", "line_part", F.array_join(listed, ";").alias("line_items"))
+    orders = nested.select("order_id", "customer_id", "order_code", "order_notes", "line_part", F.array_join(listed, ";").alias("line_items"))
+    errors = spark.read.parquet(f"{bronze}/errors").select(F.col("error_type").alias("error_type"), F.col("raw_document").alias("raw_document"), "endpoint")
+    return orders.unionByName(errors, allowMissingColumns=True)
 
 
 @query("silver_financial")
