@@ -17,6 +17,28 @@ def by_method(method: Column, total: Column, mean: Column, last: Column) -> Colu
     return F.when(kind == "SUM", total).when(kind == "AVERAGE", mean).when(kind == "LAST", last)
 
 
+def with_stretches(df: DataFrame, kpi: Sequence[str], unit: str, period: str, name: str = "unit_stretch") -> DataFrame:
+    """Number the stretches of months in which a KPI keeps a unit: a unit that returns after another one starts a new stretch.
+
+    Between two months of a unit lies a barrier if a month between them has another unit; months that have both
+    are none. Meant for rows at KPI, month and unit, where a KPI has as many rows as months.
+    """
+    month = period_key(F.col(period))
+    months = (F.floor(month / 100) * 12 + month % 100).cast("int")
+    numbered = df.withColumn("_month", months)
+    all_units = Window.partitionBy(*kpi).orderBy("_month")
+    one_unit = Window.partitionBy(*kpi, unit).orderBy("_month")
+    until, until_before = (Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1)
+    count = F.count(F.lit(1))
+    others = numbered.withColumns({
+        "_others": count.over(all_units.rangeBetween(*until)) - count.over(one_unit.rangeBetween(*until)),
+        "_others_before": count.over(all_units.rangeBetween(*until_before)) - count.over(one_unit.rangeBetween(*until_before)),
+    })
+    barrier = F.coalesce(F.col("_others_before") > F.lag("_others").over(one_unit), F.lit(False))
+    marked = others.withColumn("_barrier", barrier.cast("int"))
+    return marked.withColumn(name, F.sum("_barrier").over(one_unit.rangeBetween(*until))).drop("_month", "_others", "_others_before", "_barrier")
+
+
 def aggregate_kpis(
     df: DataFrame, key: Sequence[str], method: str = "Aggregation_Method", value: str = "actual_value", period: str = "PERIOD"
 ) -> DataFrame:

@@ -7,7 +7,9 @@ and merges with skewed partitions split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.amounts import convert, to_rate
@@ -237,3 +239,29 @@ def point_in_time(
         & (F.col(period) < F.col(valid_to))
     )
     return facts.join(right, on, "left").drop("_version_key")
+
+
+def as_of(
+    facts: DataFrame, versions: DataFrame, key: str, at: str, bucket: Callable[[Column], Column], valid_from: str = "Valid_From", valid_to: str = "Valid_To"
+) -> DataFrame:
+    """``point_in_time`` for histories of any length: each fact meets one version, not all versions of its key.
+
+    Facts and version starts lie on one time line per key, cut into buckets (a coarse time step of ``at``); the last
+    version is carried forward inside a bucket, and from bucket to bucket over one row per key and bucket. No
+    task holds more of a key than a bucket or its buckets' edges. A version that starts with the fact counts, one
+    that has ended does not; versions of one key do not overlap. NULL keys and times find nothing.
+    """
+    attributes = [c for c in versions.columns if c != key]
+    version = F.struct(*[F.col(c) for c in attributes])
+    starts = versions.filter(F.col(key).isNotNull() & F.col(valid_from).isNotNull())
+    line = starts.select(F.col(key).alias("_key"), F.col(valid_from).alias("_at"), F.lit(0).alias("_is_fact"), version.alias("_version"))
+    own = facts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_is_fact"), F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_fact"))
+    line = line.unionByName(own, allowMissingColumns=True).withColumn("_step", bucket(F.col("_at")))
+    edges = line.groupBy("_key", "_step").agg(F.max_by("_version", F.when(F.col("_version").isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.partitionBy("_key").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select("_key", "_step", F.last("_last", ignorenulls=True).over(before).alias("_carried")).filter("_carried is not null")
+    inside = Window.partitionBy("_key", "_step").orderBy("_at", "_is_fact").rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("_here", F.last("_version", ignorenulls=True).over(inside)).filter("_is_fact = 1").drop("_version")
+    joined = met.join(carried, ["_key", "_step"], "left").withColumn("_found", F.coalesce("_here", "_carried"))
+    in_force = F.when(F.col("_at") < F.col("_found").getField(valid_to), F.col("_found"))
+    return joined.select("_fact.*", in_force.alias("_found")).select(*[F.col(f"`{c}`") for c in facts.columns], *[F.col("_found").getField(c).alias(c) for c in attributes])

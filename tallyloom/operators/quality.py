@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.functions.amounts import AMOUNT
@@ -34,29 +34,31 @@ def _listed(findings: Sequence[Column]) -> Column:
     return F.array_join(F.array_compact(F.array(F.lit(None).cast("string"), *findings)), "; ")
 
 
-def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
-    """One row per check. The table is read once.
-
-    All counters are first taken per key, which also yields the number of rows
-    in repeated keys, and then added up. Both steps combine before the shuffle.
-    """
-    columns = set(df.columns)
-    present = [c for c in expect.mandatory if c in columns]
-    numeric = {c: flag for c, flag in expect.numeric.items() if c in columns}
-    has_flag = expect.orphan_flag in columns
-
+def _counters(columns: set[str], expect: Expectations) -> dict[str, Column]:
+    """What the checks count of the rows, but for repeated keys."""
     counters: dict[str, Column] = {"_rows": F.count(F.lit(1))}
-    counters |= {f"_given_{c}": F.count(F.col(c)) for c in present}
-    for c, flag in numeric.items():
+    counters |= {f"_given_{c}": F.count(F.col(c)) for c in expect.mandatory if c in columns}
+    for c, flag in expect.numeric.items():
+        if c not in columns:
+            continue
         no_number = F.col(c).isNotNull() & F.trim(F.col(c).cast("string")).try_cast(AMOUNT).isNull()
         known = F.coalesce(F.col(flag), F.lit(False)) if flag in columns else F.lit(False)
         counters |= {f"_lost_{c}": F.count_if(no_number & ~known), f"_noted_{c}": F.count_if(no_number & known)}
-    if has_flag:
+    if expect.orphan_flag in columns:
         counters["_orphans"] = F.count_if(expect.orphan_flag)
     if expect.ratio:
         unit, value = expect.ratio
         counters["_over_one"] = F.count_if((F.col(unit) == "%") & (F.col(value).try_cast(AMOUNT) > 1))
+    return counters
+
+
+def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
+    """One row per check. The table is read once.
 
+    All counters are first taken per key, which also yields the number of rows
+    in repeated keys, and then added up. Both steps combine before the shuffle.
+    """
+    counters = _counters(set(df.columns), expect)
     per_key = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(expect.key)]).agg(
         *[c.alias(n) for n, c in counters.items()]
     )
@@ -64,6 +66,46 @@ def quality_log(df: DataFrame, expect: Expectations) -> DataFrame:
         *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counters],
         F.coalesce(F.sum(F.when(F.col("_rows") > 1, F.col("_rows"))), F.lit(0)).alias("_repeated"),
     )
+    return _log_of(totals, set(df.columns), expect)
+
+
+@dataclass(frozen=True)
+class ObservedWrite:
+    """A written table, the log of its checks and further counts, both taken while it was written."""
+
+    table: DataFrame
+    log: DataFrame
+    counts: Mapping[str, int]
+
+
+def write_observed(
+    df: DataFrame, path: str, expect: Expectations, counts: Mapping[str, Column] | None = None, unique: bool = False
+) -> ObservedWrite:
+    """Write a table and check it in the same pass: the counters ride on the write, nothing is scanned for them.
+
+    ``counts`` are further aggregates to take along. ``unique`` says that the key cannot repeat, as after
+    ``keep_highest`` on it; otherwise the key columns alone are read back and counted.
+    """
+    spark, columns = df.sparkSession, set(df.columns)
+    wanted = _counters(columns, expect) | dict(counts or {})
+    seen = Observation("write")
+    df.observe(seen, *[c.alias(n) for n, c in wanted.items()]).write.mode("overwrite").parquet(path)
+    found = {n: int(v) for n, v in seen.get.items()}
+    table = spark.read.schema(df.schema).parquet(path)
+    if unique:
+        repeated = spark.range(1).select(F.lit(0).cast("bigint").alias("_repeated"))
+    else:
+        per_key = table.groupBy(*expect.key).agg(F.count(F.lit(1)).alias("_rows"))
+        repeated = per_key.agg(F.coalesce(F.sum(F.when(F.col("_rows") > 1, F.col("_rows"))), F.lit(0)).alias("_repeated"))
+    totals = repeated.select("_repeated", *[F.lit(found[n]).cast("bigint").alias(n) for n in _counters(columns, expect)])
+    return ObservedWrite(table, _log_of(totals, columns, expect), {n: found[n] for n in counts or {}})
+
+
+def _log_of(totals: DataFrame, columns: set[str], expect: Expectations) -> DataFrame:
+    """The log from one row of counters."""
+    present = [c for c in expect.mandatory if c in columns]
+    numeric = [c for c in expect.numeric if c in columns]
+    has_flag = expect.orphan_flag in columns
 
     def status(bad: Column, level: str) -> Column:
         return F.when(bad, level).otherwise(PASSED)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.amounts import to_amount
@@ -140,11 +140,16 @@ def silver_financial(
     return FinancialSilver(conformed.select(*SILVER_COLUMNS), cleaning_log(cleaned, run_ts), issues)
 
 
+def summary_counts() -> dict[str, Column]:
+    """What a run reports of its Silver table, as aggregates."""
+    return {
+        "total_rows": F.count(F.lit(1)),
+        "orphaned_orders": F.count_if("IS_ORPHANED_ORDER"),
+        "fx_failed": F.count_if("IS_FX_CONVERSION_FAILED"),
+        "unparseable_amounts": F.count_if("IS_AMOUNT_UNPARSEABLE"),
+    }
+
+
 def run_summary(silver: DataFrame) -> DataFrame:
     """Totals of the run in one aggregate."""
-    return silver.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if("IS_ORPHANED_ORDER").alias("orphaned_orders"),
-        F.count_if("IS_FX_CONVERSION_FAILED").alias("fx_failed"),
-        F.count_if("IS_AMOUNT_UNPARSEABLE").alias("unparseable_amounts"),
-    )
+    return silver.agg(*[c.alias(name) for name, c in summary_counts().items()])

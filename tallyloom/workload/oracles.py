@@ -389,6 +389,14 @@ FROM kpi_ranked WHERE place > 1 OR (stated IS NULL AND all_given > 0)"""),
     "upsert_arrivals": """SELECT o_orderkey AS order_id, CASE o_orderkey % 4 WHEN 0 THEN 'T' WHEN 1 THEN o_orderstatus ELSE 'S' END AS status,
        CAST(CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS BIGINT) AS load_batch, CAST(year(o_orderdate) AS INTEGER) AS year,
        CAST(CASE WHEN o_orderkey % 4 = 0 THEN month(o_orderdate) % 12 + 1 ELSE month(o_orderdate) END AS INTEGER) AS month FROM orders""",
+    "silver_write_log": sql("""SELECT * FROM quality WHERE table_name = 'silver_financial'
+UNION ALL BY NAME SELECT unnest(['total_rows', 'orphaned_orders', 'fx_failed', 'unparseable_amounts']) AS check_name, 'silver_financial' AS table_name, 'COUNT' AS result,
+       unnest([count(*), count_if(IS_ORPHANED_ORDER), count_if(IS_FX_CONVERSION_FAILED), count_if(IS_AMOUNT_UNPARSEABLE)])::BIGINT AS row_count, '' AS details FROM silver_fin"""),
+    "as_of_versions": """WITH states AS (
+  SELECT user_id, ts, event_type, CASE WHEN value >= 50 THEN 'HIGH' ELSE 'LOW' END AS band FROM events WHERE event_id % 3 = 0
+  QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1),
+versions AS (SELECT * FROM states QUALIFY row(event_type, band) IS DISTINCT FROM lag(row(event_type, band)) OVER (PARTITION BY user_id ORDER BY ts))
+SELECT event_id, e.user_id, v.event_type, v.band, epoch_us(v.ts) AS Valid_From FROM events e ASOF LEFT JOIN versions v ON e.user_id = v.user_id AND e.ts >= v.ts""",
     "customer_spellings": sql("SELECT DISTINCT customer_name, customer_name_raw, normalization_status, mapping_rule_id FROM cleaned_long"),
     "gold_load": sql("""SELECT 'dq_log' AS table_name, (SELECT count(*) FROM quality) AS row_count
 UNION ALL SELECT 'gold_kpi_achievement', (SELECT count(*) FROM kpi_months)

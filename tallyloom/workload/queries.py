@@ -13,18 +13,18 @@ from tallyloom.functions.amounts import achievement, is_zero_actual_lower, is_ze
 from tallyloom.functions.identity import row_digest
 from tallyloom.functions.periods import parse_period
 from tallyloom.functions.text import flag, repair_ocr_digits, squeeze
-from tallyloom.operators.aggregate import aggregate_kpis, month_spine, with_missing_months
+from tallyloom.operators.aggregate import aggregate_kpis, month_spine, with_missing_months, with_stretches
 from tallyloom.operators.dedup import (
     first_source_summary, flag_not_highest, flag_repeats, keep_first_equal, keep_highest, repeat_log,
 )
 from tallyloom.operators.dims import code_dim, customer_spellings, dim_currency, dim_customer, dim_date, month_bounds
 from tallyloom.operators.facts import fact_kpi_actual, fact_order_cost
 from tallyloom.operators.lookup import (
-    asof_rates, canonical_customers, convert_amounts, customer_mapping, flag_orphans, latest_rates, match_master,
+    as_of, asof_rates, canonical_customers, convert_amounts, customer_mapping, flag_orphans, latest_rates, match_master,
     point_in_time, quarantine_orphans, with_base_rate,
 )
 from tallyloom.operators.orders import HEADER_FIELDS, LINE_FIELDS, nest_lines
-from tallyloom.operators.quality import achievement_findings, null_counts, quality_gate, quality_log
+from tallyloom.operators.quality import achievement_findings, null_counts, quality_gate, quality_log, write_observed
 from tallyloom.operators.reconcile import fill_kpi_sentinels, key_differences, reconcile_sources, source_diff
 from tallyloom.operators.reshape import (
     map_fields, unpivot_dates, unpivot_month_names, unpivot_month_numbers,
@@ -532,6 +532,17 @@ def q_scd2_point_in_time(spark, d):
     return point_in_time(facts, versions, "UA_ID", "PERIOD")
 
 
+@query("as_of_versions")
+def q_as_of_versions(spark, d):
+    """Every event with the state in force of its user, from a history that changes with every third event."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    states = _user_states(spark, d).filter("event_id % 3 = 0")
+    history = build_history(states, "user_id", "ts", ["event_type", "band"], tiebreak=["event_id"], bucket=F.date_trunc("day", "ts"))
+    versions = history.select("user_id", "event_type", "band", "Valid_From", "Valid_To")
+    met = as_of(events, versions, "user_id", "ts", lambda at: F.date_trunc("day", at))
+    return met.select("event_id", "user_id", "event_type", "band", F.unix_micros(F.col("Valid_From").cast("timestamp")).alias("Valid_From"))
+
+
 # ---- history and dimensions ----------------------------------------------
 
 def _user_states(spark, d):
@@ -621,7 +632,8 @@ def q_kpi_dynamic_agg(spark, d):
         "UA_ID", "PERIOD", F.col("unit").alias("Unit"), F.col("aggregation_method").alias("Aggregation_Method"), "actual_value",
         F.substring("PERIOD", 1, 4).alias("year"),
     )
-    return aggregate_kpis(actuals, ["UA_ID", "year", "Unit"])
+    stretches = with_stretches(actuals, ["UA_ID", "year"], "Unit", "PERIOD")
+    return aggregate_kpis(stretches, ["UA_ID", "year", "Unit", "unit_stretch"]).drop("unit_stretch")
 
 
 @query("kpi_month_spine")
@@ -660,6 +672,16 @@ def q_dq_results(spark, d):
     return _quality(spark, d)
 
 
+@query("silver_write_log")
+def q_silver_write_log(spark, d):
+    """Silver costs written, with the log of their checks and the run's totals, all counted by the write itself."""
+    silver = _silver_financial(spark, d).select(*financial.SILVER_COLUMNS)
+    done = write_observed(silver, scratch_path(spark, "silver-costs"), gold.FINANCIAL_EXPECTATIONS, financial.summary_counts(), unique=True)
+    totals = F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(v).cast("bigint").alias("row_count")) for n, v in done.counts.items()])
+    listed = spark.range(1).select(F.inline(totals)).withColumns({"table_name": F.lit("silver_financial"), "result": F.lit("COUNT"), "details": F.lit("")})
+    return done.log.unionByName(listed.select(*done.log.columns))
+
+
 @query("dq_raw_costs")
 def q_dq_raw_costs(spark, d):
     """The checks on uncleaned costs, where they must fail."""
@@ -738,10 +760,11 @@ def q_gold_ytd(spark, d):
 def q_gold_load(spark, d):
     """Silver written, checked into a log, passed by the gate and built into Gold; the rows of every table that this leaves."""
     path = scratch_path(spark, "gold-load")
-    costs = staged(_silver_financial(spark, d).select(*financial.SILVER_COLUMNS), "silver-costs")
-    kpis = staged(_silver_kpi(spark, d), "silver-kpi")
-    fact = staged(fact_kpi_actual(kpis, [kpi.LONG_SOURCE, kpi.WIDE_SOURCE]), "fact-kpi")
-    names = ["dq_log", *gold.build_gold(costs, kpis, fact, view(spark, d, "kpi_master"), FIRST_MONTH, LAST_MONTH, path)]
+    costs = write_observed(_silver_financial(spark, d).select(*financial.SILVER_COLUMNS), f"{path}/silver_costs", gold.FINANCIAL_EXPECTATIONS, unique=True)
+    kpis = write_observed(_silver_kpi(spark, d), f"{path}/silver_kpi", gold.KPI_EXPECTATIONS)
+    fact = staged(fact_kpi_actual(kpis.table, [kpi.LONG_SOURCE, kpi.WIDE_SOURCE]), "fact-kpi")
+    log = costs.log.unionByName(kpis.log)
+    names = ["dq_log", *gold.build_gold(costs.table, kpis.table, fact, view(spark, d, "kpi_master"), FIRST_MONTH, LAST_MONTH, path, log)]
     counted = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for n in names]
     return functools.reduce(DataFrame.unionByName, counted)
 
