@@ -25,11 +25,11 @@ from tallyloom.llm.common import small_batches, table
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 # Word beginnings that are features beside the word: inflected and compounded forms share them.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 5)
 # The classifier is fitted on at most this many labelled rows, those of the smallest hash, of any length, until they hold so many characters.
 TRAIN_ROWS = 8_000
-TRAIN_CHARS = 48_000_000
-FEATURES = 16_384
+TRAIN_CHARS = 20_000_000
+FEATURES = 4096
 LEAST_DOCS = 3
 REMEMBERED = 200_000
 
