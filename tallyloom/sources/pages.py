@@ -101,3 +101,8 @@ def quarantine_pages(pages: DataFrame, endpoint: str, run_ts: str, page: str = "
             F.lit(run_ts).cast("timestamp").alias("ingestion_ts"),
         )
     )
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """``page`` and ``next_page`` of each landed document; a bare list or a broken document names no next page."""
+    return pages.select("page", F.try_variant_get(F.try_parse_json("document"), "$.next_page", "string").alias("next_page"))

@@ -330,6 +330,18 @@ ORACLES = {
        CASE kind WHEN 2 THEN 'document does not parse, no record taken' WHEN 3 THEN 'empty response' ELSE 'expected a list, or an object with a list under data' END AS error_message,
        '{RUN_TS}' AS ingestion_ts
 FROM (SELECT *, CASE kind WHEN 2 THEN substr(list, 1, length(list) - 5) WHEN 3 THEN '  ' ELSE '{{"data":{{"page":' || page || '}}}}' END AS raw_document FROM order_pages) WHERE kind IN (2, 3, 4)"""),
+    "page_chain": """WITH RECURSIVE numbers AS (SELECT DISTINCT o_orderkey // 10 AS n FROM orders),
+pages AS (SELECT n, CASE WHEN n % 19 = 7 THEN n - 3 WHEN n < (SELECT max(n) FROM numbers) THEN n + 1 END AS nx FROM numbers WHERE n % 13 <> 5),
+walk AS (SELECT n AS page, n AS here, 0 AS steps FROM pages
+  UNION ALL SELECT page, nx, steps + 1 FROM walk JOIN pages ON here = n WHERE nx IN (SELECT n FROM pages) AND steps < 60),
+ends AS (SELECT page, here, steps FROM walk JOIN pages ON here = n WHERE nx IS NULL OR nx NOT IN (SELECT n FROM pages)),
+named AS (SELECT nx, count(*) AS c FROM pages WHERE nx IS NOT NULL GROUP BY nx)
+SELECT 'p' || n AS page, 'p' || p.nx AS next_page, 1 + (n % 17 = 3)::BIGINT + (n % 23 = 9)::BIGINT AS copies, coalesce(c, 0)::BIGINT AS named_by,
+       'p' || here AS end_page, steps::BIGINT AS steps_to_end,
+       concat_ws(',', CASE WHEN n % 17 = 3 OR n % 23 = 9 THEN 'REPEATED' END, CASE WHEN n % 23 = 9 AND p.nx IS NOT NULL THEN 'DISAGREES' END,
+                 CASE WHEN p.nx IS NOT NULL AND steps = 0 THEN 'GAP' END, CASE WHEN here IS NULL THEN 'LOOP' END, CASE WHEN c > 1 THEN 'SHARED' END,
+                 CASE WHEN c IS NULL AND n <> 0 THEN 'STRAY' END) AS findings
+FROM pages p LEFT JOIN ends ON page = n LEFT JOIN named ON named.nx = n""",
     "bronze_metadata": f"SELECT o_orderkey, o_orderstatus, 'orders.parquet' AS SOURCE_FILE, '{RUN_TS}' AS ingestion_timestamp FROM orders",
     "bronze_append": """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderdate < DATE '1996-01-01' THEN '2024-01-31 06:00:00' ELSE '2024-02-07 06:00:00' END AS ingestion_timestamp,
        CASE WHEN o_orderdate < DATE '1996-01-01' THEN '2024-01-31' ELSE '2024-02-07' END AS ingestion_date FROM orders""",
@@ -425,6 +437,23 @@ UNION ALL SELECT 'differs:o_totalprice', CAST(count_if(o_totalprice_differs) AS
 UNION ALL SELECT 'differs:row', CAST(count_if(o_custkey_differs OR o_orderstatus_differs OR o_totalprice_differs) AS DOUBLE), CAST(count_if(o_custkey_differs OR o_orderstatus_differs OR o_totalprice_differs) AS DOUBLE) FROM copies
 UNION ALL SELECT 'sum:o_totalprice', CAST((SELECT sum(o_totalprice) FROM copy_left) AS DOUBLE), CAST((SELECT sum(o_totalprice) FROM copy_right) AS DOUBLE))"""),
     "source_diff_keys": sql("SELECT o_orderkey, CAST(left_rows AS BIGINT) AS left_rows, CAST(right_rows AS BIGINT) AS right_rows, o_custkey_differs, o_orderstatus_differs, o_totalprice_differs FROM copies"),
+    "source_diff_rows": """WITH l AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 1 AS s FROM orders),
+r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey // 64 % 20 = 3 AND o_custkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, -1 AS s FROM orders
+      WHERE NOT (o_orderkey // 64 % 20 = 7 AND o_custkey % 5 = 0))
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CASE WHEN sum(s) > 0 THEN 'LEFT' ELSE 'RIGHT' END AS side, CAST(abs(sum(s)) AS BIGINT) AS copies
+FROM (FROM l UNION ALL FROM r UNION ALL SELECT * FROM r WHERE o_orderkey // 64 % 20 = 11 AND o_custkey % 5 = 1)
+GROUP BY ALL HAVING sum(s) <> 0""",
+    "orphan_promotion": sql("""SELECT order_no, line_seq, amount, CASE WHEN parent <= came THEN 'MATCHED' WHEN parent IS NULL THEN 'ORPHANED' ELSE 'PROMOTED' END AS state,
+       came AS arrived_in, CASE WHEN parent > came THEN parent END AS promoted_in
+FROM (SELECT f.order_no, line_seq, amount, (CAST(substr(f.order_no, 5) AS BIGINT) + length(line_seq)) % 3 AS came,
+             CASE WHEN e.order_no IS NOT NULL AND CAST(substr(f.order_no, 5) AS BIGINT) % 4 < 3 THEN CAST(substr(f.order_no, 5) AS BIGINT) % 4 END AS parent
+      FROM fin_dirty f LEFT JOIN erp_orders e ON f.order_no = e.order_no)"""),
+    "customer_review": """WITH known AS (SELECT c_custkey, lower(n_name) || ' ' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 12) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
+names AS (SELECT DISTINCT CASE c_custkey % 6 WHEN 0 THEN k WHEN 1 THEN 'x' || k WHEN 2 THEN substr(k, 1, length(k) - 3) || 'z' || substr(k, length(k) - 1)
+                 WHEN 3 THEN substr(k, 1, 1) || substr(k, 4) WHEN 4 THEN k || '-old' ELSE substr(k, 2) || 'q' END AS name FROM known),
+pairs AS (SELECT name, k, levenshtein(name, k) AS edits FROM names JOIN (SELECT DISTINCT k FROM known) ON levenshtein(name, k) <= 2)
+SELECT name, first(k ORDER BY edits, k) AS candidate, CAST(min(edits) AS INTEGER) AS edits, count(k) AS candidates
+FROM names LEFT JOIN pairs USING (name) WHERE name NOT IN (SELECT k FROM known) GROUP BY name""",
     "fx_default_row": sql(f"""SELECT {sk('c.currency_code')} AS currency_sk, c.currency_code, CASE c.currency_code WHEN 'USD' THEN 'US Dollar' WHEN 'EUR' THEN 'Euro' ELSE 'Vietnamese Dong' END AS currency_name,
        CAST(rate AS DOUBLE) AS exchange_rate_to_vnd, n AS cost_lines
 FROM latest c LEFT JOIN (SELECT currency, count(*) AS n FROM fin_dirty GROUP BY currency) ON currency = c.currency_code"""),
@@ -506,6 +535,8 @@ FROM (SELECT *, sum(actual_value) OVER w AS total, count(*) OVER w AS n FROM kpi
 
 # The same results by another way: kept up to date from changes instead of built from all.
 ORACLES |= {"scd2_apply": ORACLES["scd2_build"], "gold_cost_incremental": ORACLES["gold_order_cost"], "gold_ytd_incremental": ORACLES["gold_ytd"]}
+# The same result from tables in buckets.
+ORACLES["orphan_flag_bucketed"] = ORACLES["orphan_flag"]
 
 
 def all_oracles() -> dict[str, str]:

@@ -14,28 +14,33 @@ from tallyloom.functions.identity import row_digest
 from tallyloom.functions.periods import parse_period
 from tallyloom.functions.text import flag, repair_ocr_digits, squeeze
 from tallyloom.operators.aggregate import aggregate_kpis, month_spine, with_missing_months, with_stretches
+from tallyloom.operators.chain import check_chain
 from tallyloom.operators.dedup import (
     first_source_summary, flag_not_highest, flag_repeats, keep_first_equal, keep_highest, repeat_log,
 )
 from tallyloom.operators.dims import code_dim, customer_spellings, dim_currency, dim_customer, dim_date, month_bounds
 from tallyloom.operators.facts import fact_kpi_actual, fact_order_cost
+from tallyloom.operators.locate import locate_differences, range_leaf
 from tallyloom.operators.lookup import (
     as_of, asof_rates, canonical_customers, convert_amounts, customer_mapping, flag_orphans, latest_rates, match_master,
     point_in_time, quarantine_orphans, with_base_rate,
 )
 from tallyloom.operators.orders import HEADER_FIELDS, LINE_FIELDS, nest_lines
+from tallyloom.operators.orphans import settle_arrival, settled_facts
 from tallyloom.operators.quality import achievement_findings, null_counts, quality_gate, quality_log, write_observed
 from tallyloom.operators.reconcile import fill_kpi_sentinels, key_differences, reconcile_sources, source_diff
 from tallyloom.operators.reshape import (
     map_fields, unpivot_dates, unpivot_month_names, unpivot_month_numbers,
 )
+from tallyloom.operators.review import review_candidates
 from tallyloom.operators.scd import apply_snapshot, build_history
 from tallyloom.plans import financial, gold, kpi
 from tallyloom.plans.orders import NUMERIC_IDS
 from tallyloom.session import scratch_path, staged, tune
+from tallyloom.sources.buckets import flag_orphans_bucketed, write_bucketed
 from tallyloom.sources.landing import append_bronze, merge_latest, upsert_batch, upsert_changes, upsert_table, with_year_month, write_partitions
 from tallyloom.streaming.arrivals import upsert_new_files
-from tallyloom.sources.pages import flatten_pages, landed_documents, quarantine_pages, raw_records, record_fields
+from tallyloom.sources.pages import flatten_pages, landed_documents, page_links, quarantine_pages, raw_records, record_fields
 from tallyloom.sources.tables import parquet_copy, with_run_time
 from tallyloom.workload.views import PERIODS, RUN_TS, YEAR_SHIFT, run_sql, table, view
 
@@ -188,6 +193,20 @@ def q_json_quarantine(spark, d):
     return quarantine_pages(_order_pages(spark, d), "GET /orders/headers", RUN_TS)
 
 
+@query("page_chain")
+def q_page_chain(spark, d):
+    """A feed of small order pages, each naming the next: some never land, some land twice or disagree, some point back."""
+    pages = run_sql(
+        spark, d,
+        """SELECT n, concat('p', CAST(n AS STRING)) AS page, data, CASE WHEN n % 19 = 7 THEN n - 3 WHEN n < last THEN n + 1 END AS next_no
+           FROM (SELECT o_orderkey DIV 10 AS n, (SELECT max(o_orderkey) DIV 10 FROM {orders}) AS last, to_json(collect_list(o_orderkey)) AS data
+                 FROM {orders} GROUP BY o_orderkey DIV 10) WHERE n % 13 <> 5""",
+    )
+    whole = F.concat(F.lit('{"data":'), "data", F.lit(',"next_page":'), F.coalesce(F.concat(F.lit('"p'), F.col("next_no").cast("string"), F.lit('"')), F.lit("null")), F.lit("}"))
+    again = F.array_compact(F.array(whole, F.when(F.col("n") % 17 == 3, whole), F.when(F.col("n") % 23 == 9, F.col("data"))))
+    return check_chain(page_links(pages.select("page", F.explode(again).alias("document"))), "p0")
+
+
 @query("bronze_metadata")
 def q_bronze_metadata(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("_metadata.file_name").alias("SOURCE_FILE"))
@@ -463,6 +482,24 @@ def q_source_diff_keys(spark, d):
     return key_differences(left, right, ["o_orderkey"], ["o_custkey", "o_orderstatus", "o_totalprice"]).drop("row_differs")
 
 
+@query("source_diff_rows")
+def q_source_diff_rows(spark, d):
+    """Orders and a copy that differs in a few ranges of keys: changed, missing and repeated rows, located by digests."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    left, right = [
+        run_sql(spark, d, f"SELECT o_orderkey, o_custkey, {status} AS o_orderstatus, CAST(o_totalprice AS DECIMAL(18,4)) AS o_totalprice FROM {{orders}}{rest}")
+        for status, rest in (
+            ("o_orderstatus", ""),
+            (
+                "CASE WHEN floor(o_orderkey / 64) % 20 = 3 AND o_custkey % 3 = 0 THEN 'X' ELSE o_orderstatus END",
+                " LATERAL VIEW explode(sequence(1, CASE WHEN floor(o_orderkey / 64) % 20 = 11 AND o_custkey % 5 = 1 THEN 2 ELSE 1 END)) c AS copy"
+                " WHERE floor(o_orderkey / 64) % 20 <> 7 OR o_custkey % 5 <> 0",
+            ),
+        )
+    ]
+    return locate_differences(left, right, columns, range_leaf("o_orderkey", 64), scratch_path(spark, "digests-left"), scratch_path(spark, "digests-right"))
+
+
 # ---- lookups -------------------------------------------------------------
 
 @query("fx_default_row")
@@ -498,6 +535,45 @@ def q_orphan_quarantine(spark, d):
     return quarantine_orphans(view(spark, d, "fin_dirty"), view(spark, d, "erp_orders")).select("order_no", "line_seq", "amount")
 
 
+@query("orphan_flag_bucketed")
+def q_orphan_flag_bucketed(spark, d):
+    """Orphans among costs and orders that were written in buckets by order: the join moves no row of either."""
+    def bucketed(name, label):
+        path = scratch_path(spark, label)
+        return write_bucketed(view(spark, d, name), path.rsplit("/", 1)[1].replace("-", "_"), path, "order_no", 16)
+
+    return flag_orphans_bucketed(bucketed("fin_dirty", "bucketed-costs"), bucketed("erp_orders", "bucketed-orders")).select("order_no", "line_seq", "IS_ORPHANED_ORDER")
+
+
+@query("orphan_promotion")
+def q_orphan_promotion(spark, d):
+    """Costs and orders in three arrivals, orders often after their costs; two arrivals run again, one after later ones."""
+    path = scratch_path(spark, "orphan-tables")
+    number = F.substring("order_no", 5, 30).cast("bigint")
+    costs = view(spark, d, "fin_dirty").select("order_no", "line_seq", "amount").withColumn("_came", F.pmod(number + F.length("line_seq"), F.lit(3)))
+    orders = view(spark, d, "erp_orders").select("order_no").withColumn("_came", F.pmod(number, F.lit(4)))
+    for arrival, latest in ((0, 0), (1, 1), (1, 1), (2, 2), (0, 2)):
+        settle_arrival(
+            spark, costs.filter(F.col("_came") == arrival).drop("_came"), orders.filter(F.col("_came") <= latest).drop("_came"),
+            orders.filter(F.col("_came") == arrival).drop("_came"), path, "order_no", arrival,
+        )
+    return settled_facts(spark, path, ["order_no", "line_seq", "amount"])
+
+
+@query("customer_review")
+def q_customer_review(spark, d):
+    """Delivered customer names with spelling errors, each with its nearest known name and how many are near."""
+    text = "concat(lower(n_name), ' ', substr(md5(CAST(c_custkey AS STRING)), 1, 12))"
+    known = run_sql(spark, d, f"SELECT {text} AS customer_name FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey")
+    delivered = run_sql(
+        spark, d,
+        f"""SELECT CASE c_custkey % 6 WHEN 0 THEN known WHEN 1 THEN concat('x', known) WHEN 2 THEN concat(substr(known, 1, length(known) - 3), 'z', substr(known, length(known) - 1))
+                   WHEN 3 THEN concat(substr(known, 1, 1), substr(known, 4)) WHEN 4 THEN concat(known, '-old') ELSE concat(substr(known, 2), 'q') END AS customer_name
+            FROM (SELECT c_custkey, {text} AS known FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey)""",
+    )
+    return review_candidates(delivered, known, "customer_name", "customer_name")
+
+
 @query("orders_nested_lines")
 def q_orders_nested_lines(spark, d):
     headers = map_fields(_order_headers(spark, d), HEADER_FIELDS)
