@@ -9,6 +9,7 @@ sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
@@ -27,7 +28,10 @@ from tallyloom.llm.token_counts import byte_alphabet
 CAPACITY = 4096
 # Words of the pre-tokenizer after normalising, and the id that ends a document (fixed values of the contract).
 # White space is what Unicode calls so: the separators U+001C to U+001F are not.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = regex.compile(rf"\p{{L}}+|'(?:[stmd]|re|ve|ll)|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+# The same words of a text in small ASCII.
+ASCII_WORD = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r a-z0-9]+")
 END_ID = 2
 # Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
@@ -50,6 +54,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.shown = {b: c for c, b in byte_alphabet().items()}
         self.known: dict[str, bytes] = {}
+        # Characters met so far that Unicode assigns; at most as many as there are.
+        self.assigned: set[str] = set()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,10 +65,11 @@ class WordEncoder:
         if any(s in text for s in self.special):
             return self.whole(text)
         original = text
-        if not text.isascii():
+        if text.isascii():
+            words = ASCII_WORD.findall(text.lower())
+        else:
             # The tokenizer lowers each letter by itself; a capital sigma has no final form there.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = WORD.findall(text.lower())
+            words = WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         known = self.known
         new = [w for w in set(words) if w not in known]
         if new:
@@ -70,9 +77,12 @@ class WordEncoder:
                 known.clear()
                 new = set(words)
             for word in new:
-                if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
-                    return self.whole(original)
-                shown = word if word.isascii() and word.isprintable() else "".join([self.shown[b] for b in word.encode()])
+                plain = word.isascii()
+                if not plain and not self.assigned.issuperset(word):
+                    if any(unicodedata.category(c) == "Cn" for c in word):
+                        return self.whole(original)
+                    self.assigned.update(word)
+                shown = word if plain and word.isprintable() else "".join([self.shown[b] for b in word.encode()])
                 known[word] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return b"".join([known[w] for w in words])
 
