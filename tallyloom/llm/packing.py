@@ -34,7 +34,7 @@ WORD = regex.compile(rf"\p{{L}}+|'(?:[stmd]|re|ve|ll)|\p{{N}}|[^{SPACE}\p{{L}}\p
 ASCII_WORD = re.compile(r"[a-z]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r a-z0-9]+")
 END_ID = 2
 # Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 class WordEncoder:
