@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import SEPARATORS, ascii_lower, row_tag, stage, table
 
 WINDOW = 13
-# Windows up to this many bytes of text are broadcast; beyond it the same join shuffles on the anchor word.
+# Window hashes are broadcast up to this many bytes, at HASH_BYTES for each; beyond it positions and hashes meet in a shuffle.
 BROADCAST_BYTES = 64 * 2**20
+HASH_BYTES = 64
 
 
 def split_words(text: Column) -> Column:
@@ -23,52 +24,53 @@ def count_words(words: Column) -> Column:
     return F.when(F.size(words) == 1, 1 - F.least(outer, F.lit(1))).otherwise(F.size(words) - outer).cast("long")
 
 
+def window_hash(text: Column) -> Column:
+    """Hash of a window's words. Equal words share their full lower case, so delivered and normalised words hash alike."""
+    return F.xxhash64(F.lower(text))
+
+
 def test_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """item_id, window (normalised words), n, hash, anchor and its offset, for every window of every item.
+    """item_id, window (normalised words), n, hash, for every window of every item.
 
-    An item with fewer than `width` words is one window; one without words has none. The anchor is the
-    longest word of a window, the first of equals: the rarest by nature, so few positions of a corpus carry one.
+    An item with fewer than `width` words is one window; one without words has none.
     """
     words = F.filter(split_words(ascii_lower(F.col("text"))), lambda w: w != "")
     items = benchmark.select("item_id", words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     cut = items.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s"), width).alias("w"))
-    best = F.array_max(F.transform("w", lambda w, i: F.struct(F.length(w).alias("size"), (-i).alias("at"))))
-    return cut.select(
-        "item_id",
-        F.array_join("w", " ").alias("window"),
-        F.size("w").alias("n"),
-        F.xxhash64(F.array_join("w", " ")).alias("hash"),
-        F.lower(F.element_at("w", 1 - best["at"])).alias("anchor"),
-        (-best["at"]).alias("offset"),
-    )
-
-
-def _sized(windows: DataFrame) -> DataFrame:
-    """Marked for broadcast if its measured size is under the bound."""
-    size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("anchor") + 64)).first()[0] or 0
-    return F.broadcast(windows) if size <= BROADCAST_BYTES else windows
+    window = F.array_join("w", " ")
+    return cut.select("item_id", window.alias("window"), F.size("w").alias("n"), window_hash(window).alias("hash"))
 
 
 def find_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """id, tag, start, n, window: every occurrence of a test window in a document.
+    """id, tag, start, n, window: every occurrence of a test window in a document, once for rows that are equal.
+
+    The key is the whole n-gram: at each word of the whole text the words from there on, as many as a window
+    has, are hashed and probed against the set of window hashes. A word that many windows share costs nothing
+    more. `windows` is a staged table. Lengths are at most `width` numbers.
 
-    Each word of the whole text is probed against the anchors; at a hit the window around it is built, its
-    hash compared, then its words. Probing uses the full lower case of a word, which equal words share.
+    Words themselves are never shuffled: the hashes are broadcast while their bound allows; beyond it position
+    and hash alone go to the hashes, and the texts with hits meet their positions afterwards.
     """
-    grams = windows.select("anchor", "offset", "n", "hash", "window").distinct()
+    lengths = [r.n for r in windows.select("n").distinct().collect()] or [WINDOW]
+    grams = windows.select("hash").distinct()
     words = docs.select(
-        F.col("doc_id").alias("id"), row_tag(F.coalesce("text", F.lit(""))).alias("tag"), split_words(F.col("text")).alias("w")
+        F.struct(F.col("doc_id").alias("id")).alias("id"), row_tag(F.coalesce("text", F.lit(""))).alias("tag"), split_words(F.col("text")).alias("w")
     )
-    at = words.select("id", "tag", "w", F.posexplode("w").alias("pos", "word"))
-    start = F.col("pos") - F.col("offset")
-    seen = at.join(_sized(grams), (F.lower("word") == F.col("anchor")) & (start >= 0) & (start + F.col("n") <= F.size("w")))
-    text = ascii_lower(F.array_join(F.slice("w", F.greatest(start + 1, F.lit(1)), F.col("n")), " "))
-    return (
-        seen.select("id", "tag", start.alias("start"), "n", "window", "hash", text.alias("found"))
-        .where((F.xxhash64("found") == F.col("hash")) & (F.col("found") == F.col("window")))
-        .select("id", "tag", "start", "n", "window")
+    found = F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ")
+    at = (
+        words.select("id", "tag", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
+        .select("*", F.explode(F.array(*map(F.lit, lengths))).alias("n"))
+        .where(F.col("start") + F.col("n") <= F.size("w"))
+        .withColumn("hash", window_hash(found))
     )
+    if grams.count() * HASH_BYTES <= BROADCAST_BYTES:
+        seen = at.join(F.broadcast(grams), "hash").withColumn("found", ascii_lower(found)).drop("w")
+    else:
+        places = at.select("id", "tag", "start", "n", "hash").join(grams, "hash").distinct()
+        seen = places.join(words, ["id", "tag"]).withColumn("found", ascii_lower(found)).drop("w")
+    texts = windows.select("hash", F.col("window").alias("found")).distinct()
+    return seen.join(texts, ["hash", "found"]).select("id", "tag", "start", "n", F.col("found").alias("window")).distinct()
 
 
 def measure(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
@@ -81,7 +83,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: i
     union of intervals in one running pass per document.
     """
     windows = stage(test_windows(benchmark, width), "windows")
-    hits = find_windows(docs, windows).withColumn("id", F.struct("id")).dropDuplicates()
+    hits = stage(find_windows(docs, windows), "hits")
     order = Window.partitionBy("id", "tag").orderBy("start", "n", "window").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max(F.col("start") + F.col("n")).over(order), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest(F.col("start"), reach))
@@ -120,7 +122,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     For texts that should stay in part. Rows without a hit keep their text as it is.
     """
     windows = stage(test_windows(benchmark, width), "windows")
-    hits = find_windows(docs, windows).withColumn("id", F.struct("id")).select("id", "tag", "start", "n").distinct()
+    hits = find_windows(docs, windows)
     covered = hits.groupBy("id", "tag").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))).alias("hit")
     )

@@ -519,11 +519,26 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.measure(docs_of(spark, []), benchmark).count() == 0
 
 
-def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
-    benchmark = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    found = decontaminate.measure(docs_of(spark, [(1, "x Alpha-beta, gamma y")]), benchmark).first()
-    assert (found.n_hit, found.n_words, found.items) == (3, 5, ["1"])
+@pytest.mark.parametrize("bytes_", [0, 2**20])
+def test_decontamination_on_both_sides_of_the_broadcast_bound(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bytes_)
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma"), (2, "word " * 12 + "end"), (3, "ΣΑΣ σας K")], "item_id long, text string")
+    long = "word " * 60_000 + "End."
+    rows = [(1, "x Alpha-beta, gamma y"), (2, long), (2, long), (3, "σας k ΣΑΣ. σας K"), (4, "alpha beta"), (None, "ALPHA beta gamma")]
+    found = decontaminate.measure(docs_of(spark, rows), benchmark).select("doc_id", "n_hit", "n_words", "items").collect()
+    expected = [(1, 3, 5, ["1"]), (2, 13, 60_001, ["2"]), (2, 13, 60_001, ["2"]), (3, 0, 5, []), (4, 0, 2, []), (None, 3, 3, ["1"])]
+    expected[3] = (3, 3, 5, ["3"])
+    assert sorted(map(tuple, found), key=str) == sorted(expected, key=str)
+
+
+def test_common_words_of_windows_add_no_work(spark):
+    """Windows that share every word but one are probed by the whole n-gram: rows out of the probe are the hits."""
+    benchmark = spark.createDataFrame([(i, "commonest " * 12 + f"w{i}") for i in range(200)], "item_id long, text string")
+    windows = decontaminate.stage(decontaminate.test_windows(benchmark), "windows")
+    hits = decontaminate.find_windows(docs_of(spark, [(i, "commonest " * 500 + f"w{i}") for i in range(50)]), windows)
+    assert hits.count() == 50 and hits.select("window").distinct().count() == 50
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "anchor" not in plan
 
 
 # ---- 10 archives -----------------------------------------------------------
