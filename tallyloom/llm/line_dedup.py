@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import ascii_lower, row_tag, stage, table
 
 BLANKS = " \t\n\x0b\x0c\r"
+# A line that holds more than one of so many line rows is hot, so there are fewer hot lines than this.
+HOT_SHARE = 10_000
 
 
 def line_key(line: Column) -> Column:
@@ -24,9 +26,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10
     document; a text that loses all lines becomes empty. Other columns are carried inside `row`, whatever
     their names.
 
-    The texts are cut into lines once, into a staged table. The shuffles carry hashes and positions; a text moves once, to meet the positions it loses. Documents per
-    hash are counted in two steps that both combine before the shuffle, so a line in a third of all documents
-    is a row per task.
+    The texts are cut into lines once, into a staged table. The shuffles carry hashes and positions; a text moves
+    once, to meet the positions it loses. Documents per hash are counted in two steps that both combine before the
+    shuffle, so a line in a third of all documents is a row per task. Rows of hot lines find their keeper by a
+    broadcast of fewer than HOT_SHARE hashes, whatever the corpus, and are not shuffled by hash.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
     rows = rows.withColumn("tag", row_tag(F.col("body")))
@@ -39,13 +42,18 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 2, min_length: int = 10
         .select("id", "tag", "pos", F.unhex(F.md5("key")).alias("hash")),
         "lines",
     )
-    repeated = (
-        lines.select("hash", "id").distinct()
-        .groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
+    repeated = stage(
+        lines.groupBy("hash", "id").agg(F.count("*").alias("rows"))
+        .groupBy("hash").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.min("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("hash", "keeper")
+        .select("hash", "keeper", "rows"),
+        "repeated",
     )
-    lost = lines.join(repeated, "hash").where("id > keeper").groupBy("id", "tag").agg(F.collect_set("pos").alias("lost"))
+    is_hot = F.col("rows") * HOT_SHARE > lines.count()
+    hot, cold = repeated.where(is_hot).select("hash", "keeper"), repeated.where(~is_hot).select("hash", "keeper")
+    in_place = lines.join(F.broadcast(hot), "hash")
+    moved = lines.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(cold, "hash")
+    lost = in_place.unionByName(moved).where("id > keeper").groupBy("id", "tag").agg(F.collect_set("pos").alias("lost"))
     cut = rows.join(lost, ["id", "tag"], "left").select(
         "row", "body", "lost", F.when(F.col("lost").isNotNull(), F.split("body", "\n")).alias("lines")
     )
