@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import drop_staged, stage, table
 from tallyloom.llm.decontaminate import remove_contaminated
-from tallyloom.llm.line_dedup import drop_repeated_lines
+from tallyloom.llm.line_dedup import BLANKS, drop_repeated_lines
 from tallyloom.llm.ngram_jaccard import keep_one
 from tallyloom.llm.packing import pack
 from tallyloom.llm.toxicity import drop_toxic
@@ -24,8 +24,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without repeated lines; n_chars follows the text."""
-    cleaned = drop_repeated_lines(docs)
+    """Without repeated lines, and without the rows whose every word stood in lines that others keep; n_chars follows the text."""
+    emptied = (F.col("n_dropped") > 0) & (F.trim("kept_text", F.lit(BLANKS)) == "")
+    cleaned = drop_repeated_lines(docs).where(~emptied)
     new = {"text": F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept_text"))}
     new["n_chars"] = F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text")) if "n_chars" in docs.columns else None
     kinds = dict(docs.dtypes)
@@ -57,7 +58,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-# Learnt scores are not expressible in SQL; tests/llm holds the stages against brute force.
+# Learnt scores are not expressible in SQL; tests/llm holds all rows of run() against brute force, the scores as given.
 ORACLE_SQL = None
 
 
