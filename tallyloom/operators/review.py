@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 # Characters of a gram, and characters of the shorter name for each edit that is allowed.
 Q = 3
 CHARS_PER_EDIT = 4
+# Grams that near names must share to meet.
+SHARED = 3
 
 
 def _grams(name: Column) -> Column:
@@ -19,31 +23,52 @@ def _grams(name: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.substring(padded, i, Q)))
 
 
-def near_names(names: DataFrame, reference: DataFrame, name: str, other: str, most: int = 2) -> DataFrame:
-    """Pairs (name, candidate, edits) of different spellings at an edit distance up to ``most``.
-
-    A name of fewer than ``CHARS_PER_EDIT`` characters per edit allows fewer edits, below that none, as the
-    shorter of the two has it. Names that are NULL or empty have no candidates.
-
-    No pair is lost and there is no cap: one edit destroys at most Q grams, so of the first ``most * Q + 1`` grams
-    of each side, taken in one common order, at least one is shared. The order is rarest first, which
-    keeps the lists of the join short; grams are counted over both sides. Each spelling is compared once, however
-    often it is delivered, and pairs that meet in several grams are joined into one before the distance is
-    computed.
-    """
+def _meeting_grams(names: DataFrame, reference: DataFrame, name: str, other: str, most: int) -> DataFrame:
+    """Spellings of both sides (``side`` n or r) with their rarest ``most * Q + SHARED`` grams in ``grams``; ``few`` tells that they have no more than that."""
     def spellings(df: DataFrame, column: str) -> DataFrame:
         return df.select(F.col(column).alias("name")).filter(F.char_length("name") >= CHARS_PER_EDIT).distinct()
 
-    sides = {"n": spellings(names, name), "r": spellings(reference, other)}
-    tagged = sides["n"].withColumn("side", F.lit("n")).unionByName(sides["r"].withColumn("side", F.lit("r")))
+    tagged = spellings(names, name).withColumn("side", F.lit("n")).unionByName(spellings(reference, other).withColumn("side", F.lit("r")))
     grams = tagged.withColumn("gram", F.explode(_grams(F.col("name"))))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held_by"))
     ordered = grams.join(counts, "gram").groupBy("side", "name").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("_all"))
-    prefix = ordered.select("side", "name", F.explode(F.slice("_all.gram", 1, most * Q + 1)).alias("gram"))
-    left = prefix.filter("side = 'n'").select(F.col("name").alias("name"), "gram")
-    right = prefix.filter("side = 'r'").select(F.col("name").alias("candidate"), "gram")
+    return ordered.select(
+        "side", "name", F.slice("_all.gram", 1, most * Q + SHARED).alias("grams"), (F.size("_all") < most * Q + SHARED).alias("few")
+    )
+
+
+def _signatures(most: int) -> Column:
+    """Hashes of every ``SHARED`` of the grams, and of each gram alone where there are few of them."""
+    places = F.array(*[F.array(*[F.lit(i) for i in c]) for c in itertools.combinations(range(most * Q + SHARED), SHARED)])
+    within = F.filter(places, lambda c: c[SHARED - 1] < F.size("grams"))
+    several = F.transform(within, lambda c: F.xxhash64(*[F.get(F.col("grams"), c[i]) for i in range(SHARED)]))
+    alone = F.transform("grams", lambda g: F.xxhash64(g))
+    return F.when(F.col("few"), F.concat(several, alone)).otherwise(several)
+
+
+def meeting_names(names: DataFrame, reference: DataFrame, name: str, other: str, most: int = 2) -> DataFrame:
+    """Pairs (name, candidate) of different spellings that share a signature; every pair within ``most`` edits is one of them."""
+    signed = _meeting_grams(names, reference, name, other, most).select("side", "name", F.explode(_signatures(most)).alias("signature"))
+    left = signed.filter("side = 'n'").select("name", "signature")
+    right = signed.filter("side = 'r'").select(F.col("name").alias("candidate"), "signature")
     gap = F.abs(F.char_length("name") - F.char_length("candidate"))
-    met = left.join(right, "gram").filter((gap <= most) & (F.col("name") != F.col("candidate"))).select("name", "candidate").distinct()
+    return left.join(right, "signature").filter((gap <= most) & (F.col("name") != F.col("candidate"))).select("name", "candidate").distinct()
+
+
+def near_names(names: DataFrame, reference: DataFrame, name: str, other: str, most: int = 2) -> DataFrame:
+    """Pairs (name, candidate, edits) of different spellings at an edit distance up to ``most``.
+
+    A name of fewer than ``CHARS_PER_EDIT`` characters per edit allows fewer edits, below that none, as the
+    shorter of the two has it. Names that are NULL or empty have no candidates.
+
+    No pair is lost and there is no cap: one edit destroys at most Q grams, so two near names of which one has
+    ``most * Q + SHARED`` grams share at least ``SHARED``, and the first ``SHARED`` of those, in one common order, are
+    among the first ``most * Q + SHARED`` grams of each. Names meet in a hash of so many grams together: single grams are
+    too few to tell many names apart. Two names with fewer grams meet in single ones as well. The order is
+    rarest first; grams are counted over both sides. Each spelling is compared once, however often it is
+    delivered, and pairs that meet several times are joined into one before the distance is computed.
+    """
+    met = meeting_names(names, reference, name, other, most)
     allowed = F.least(F.lit(most), F.floor(F.least(F.char_length("name"), F.char_length("candidate")) / CHARS_PER_EDIT))
     edits = F.levenshtein("name", "candidate", most)
     return met.withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed))
