@@ -9,6 +9,7 @@ import pytest
 from tallyloom.operators.reshape import unpivot_dates
 from tallyloom.session import SQL_SETTINGS
 from tallyloom.workload import views
+from tallyloom.workload.queries import all_queries
 
 
 @pytest.fixture(scope="module")
@@ -45,3 +46,14 @@ def test_no_row_of_a_sum_for_every_month_is_aggregated(spark, odd_tables):
 
 def test_stages_keep_to_methods_that_the_jvm_compiles(spark):
     assert int(SQL_SETTINGS["spark.sql.codegen.hugeMethodLimit"]) <= 8000
+
+
+def test_costs_are_shuffled_by_order_once(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")  # the customer mapping alone is below
+    try:
+        plan = all_queries()["silver_financial"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above_joins = plan[: plan.index("Union")]
+    assert "Window [" in above_joins and "Exchange hashpartitioning(order_no" not in above_joins
