@@ -65,10 +65,10 @@ def settle_arrival(spark: SparkSession, facts: DataFrame, known: DataFrame, arri
                 before = promoted.select(F.col(key).alias("_k"), F.col("orphaned_in").alias("_in")).distinct()
                 found = found.join(before, (F.col(key) == F.col("_k")) & (F.col("orphaned_in") == F.col("_in")), "left_anti")
                 found = found.unionByName(promoted.filter(F.col("arrival") == number).select(*found.columns))
-            write_partitions(stage(found, "promotions"), f"{path}/promoted", ["arrival"])
+            write_partitions(stage(found, "promotions"), f"{path}/promoted", ["arrival"], single=True)
 
-        write_partitions(split.filter("not _orphaned").drop("_orphaned"), f"{path}/matched", ["arrival"])
-        write_partitions(split.filter("_orphaned").drop("_orphaned"), f"{path}/orphans", ["arrival"])
+        write_partitions(split.filter("not _orphaned").drop("_orphaned"), f"{path}/matched", ["arrival"], single=True)
+        write_partitions(split.filter("_orphaned").drop("_orphaned"), f"{path}/orphans", ["arrival"], single=True)
         if orphans is not None:
             # Rewrites the arrivals that held promoted orphans, no others.
             done = parents.select(F.col("_parent").alias(key))
