@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import pathlib
 
 import pytest
 
+from tallyloom.operators.orphans import settle_arrival, settled_facts
 from tallyloom.operators.reshape import unpivot_dates
 from tallyloom.session import SQL_SETTINGS
+from tallyloom.sources import landing
 from tallyloom.workload import views
 from tallyloom.workload.queries import all_queries
 
@@ -57,3 +60,22 @@ def test_costs_are_shuffled_by_order_once(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     above_joins = plan[: plan.index("Union")]
     assert "Window [" in above_joins and "Exchange hashpartitioning(order_no" not in above_joins
+
+
+def test_rows_of_one_arrival_are_written_where_they_lie(spark, tmp_path, monkeypatch):
+    moved = []
+    monkeypatch.setattr(landing, "_spread", lambda df, partitions: moved.append(partitions) or df)
+    facts, parents = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int"), spark.createDataFrame([("a",)], "k string")
+    settle_arrival(spark, facts, parents, parents, str(tmp_path / "t"), "k", 0)
+    assert not moved
+    rows = settled_facts(spark, str(tmp_path / "t"), ["k", "v"]).collect()
+    assert {(r["k"], r["v"], r["state"]) for r in rows} == {("a", 1, "MATCHED"), ("b", 2, "ORPHANED"), (None, 3, "ORPHANED")}
+
+
+def test_landed_pages_and_written_tables_are_compressed(spark, sf_dir):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    seen = set(shared.glob("tallyloom-order-*"))
+    assert all_queries()["orders_pipeline"](spark, sf_dir).count() > 0
+    new = set(shared.glob("tallyloom-order-*")) - seen
+    files = [f.name for folder in new for f in folder.rglob("part-*")]
+    assert files and all(f.endswith((".gz", ".zstd.parquet")) for f in files)
