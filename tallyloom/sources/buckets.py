@@ -44,7 +44,10 @@ def merge_bucketed(spark: SparkSession, name: str, updates: DataFrame, key: str,
     A NULL key is a key like others. The result is a frame, to be written as a new table that then takes the name.
     """
     target = spark.table(name)
-    newest = keep_first(updates.withColumn(BUCKET_KEY, bucket_key(key)), [BUCKET_KEY], newest_first)
+    # The updates go to as many partitions as there are buckets; with more of them Spark would move the target instead.
+    buckets = int(next(r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect() if r["col_name"] == "Num Buckets"))
+    placed = updates.withColumn(BUCKET_KEY, bucket_key(key)).repartition(buckets, BUCKET_KEY)
+    newest = keep_first(placed, [BUCKET_KEY], newest_first)
     changed = newest.select(F.col(BUCKET_KEY).alias("_changed"))
     kept = target.join(changed, F.col(BUCKET_KEY) == F.col("_changed"), "left_anti")
     return kept.unionByName(newest.select(*target.columns))
