@@ -10,7 +10,9 @@ computes each once, and a text is a chain of looked-up steps.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +55,14 @@ class PrefixCounter:
             self.joined[pair] = self.number.setdefault(a + b, len(self.parts))
             self.parts.append(pair)
         special = {t["content"] for t in model["added_tokens"]}
-        # What ends a token: its number, or -1 for an end that is no token itself. A walk back from a place stops where this has nothing.
-        self.tails = dict.fromkeys((token[at:] for token in self.number for at in range(1, len(token))), -1) | self.number
+        # An automaton of the vocabulary, built as far as texts lead: a state is the longest beginning of a token that ends at a place.
+        self.beginnings = {token[:at] for token in self.number for at in range(1, len(token) + 1)}
+        self.state_of: dict[bytes, int] = {}
+        self.read: list[bytes] = []
+        # By state, (length, number) of the tokens that end there, the shortest first.
+        self.ending: list[tuple[tuple[int, int], ...]] = []
+        self.next: dict[int, int] = {}
+        self.state(b"")
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.fits: dict[int, bool] = {}
         self.steps: dict[str, bytes] = {}
@@ -76,23 +84,43 @@ class PrefixCounter:
             else:
                 bound, right = right + 1, self.parts[right][0]
 
+    def state(self, read: bytes) -> int:
+        """The number of the state of these bytes."""
+        found = self.state_of.get(read)
+        if found is None:
+            found = self.state_of[read] = len(self.read)
+            self.read.append(read)
+            tails = (read[at:] for at in range(len(read) - 1, -1, -1))
+            self.ending.append(tuple((len(t), self.number[t]) for t in tails if t in self.number))
+        return found
+
+    def advance(self, key: int) -> int:
+        """The state behind state key >> 8 and byte key & 255."""
+        read = self.read[key >> 8] + bytes([key & 255])
+        while read not in self.beginnings:
+            read = read[1:]
+        if len(self.next) > REMEMBERED:
+            self.next.clear()
+        found = self.next[key] = self.state(read)
+        return found
+
     def chain(self, word: bytes) -> list[int]:
         """Token counts of word[:0], word[:1], ... word[:n]."""
-        counts, last, tails, fits = [0], [-1], self.tails, self.fits
-        for end in range(1, len(word) + 1):
-            for start in range(end - 1, -1, -1):
-                token = tails.get(word[start:end])
-                if token is None:
-                    break
-                if token < 0:
-                    continue
+        counts, last, state, follow, ending, fits = [0], [-1], 0, self.next, self.ending, self.fits
+        for end, byte in enumerate(word, 1):
+            key = state << 8 | byte
+            state = follow.get(key)
+            if state is None:
+                state = self.advance(key)
+            for length, token in ending[state]:
+                start = end - length
                 if start:
-                    key = last[start] << 32 | token
-                    fit = fits.get(key)
+                    pair = last[start] << 32 | token
+                    fit = fits.get(pair)
                     if fit is None:
                         if len(fits) > REMEMBERED:
                             fits.clear()
-                        fit = fits[key] = self.follows(last[start], token)
+                        fit = fits[pair] = self.follows(last[start], token)
                     if not fit:
                         continue
                 counts.append(counts[start] + 1)
@@ -121,6 +149,9 @@ class PrefixCounter:
         """
         gap = BLANK.match(unit).end()
         word = unit[gap:]
+        if word and (unit[:gap] == " " or not gap and word not in CONTRACTIONS):
+            counts = self.counts_by_char(unit)
+            return array("h", [counts[0], *map(sub, counts[1:], counts)]).tobytes()
         counts = self.counts_by_char(unit[:gap]) if gap else []
         if word:
             ahead = counts[gap - 2] if gap > 1 else 0

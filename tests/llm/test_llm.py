@@ -454,6 +454,25 @@ def test_prefix_counts_equal_encoding_each_prefix(spark, texts):
     assert token_counts.with_prefix_counts(docs_of(spark, []), path).count() == 0
 
 
+def test_token_counts_look_up_no_substrings():
+    """Each byte is read once; the walk back over all ends of up to 128 bytes took most of the time."""
+
+    class Read(bytes):
+        slices = 0
+
+        def __getitem__(self, place):
+            Read.slices += isinstance(place, slice)
+            return super().__getitem__(place)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = token_counts.PrefixCounter(path)
+    tokenizer = Tokenizer.from_file(path)
+    for word in ("internationalization", "a" * 300, "-" * 200, "zqxjkv" * 20):
+        counts = counter.chain(Read(word.encode()))
+        assert counts == [len(tokenizer.encode(word[:n], add_special_tokens=False).ids) for n in range(len(word) + 1)]
+    assert not Read.slices
+
+
 # ---- 8 line dedup ----------------------------------------------------------
 
 @pytest.mark.parametrize("least", [2, 3])
