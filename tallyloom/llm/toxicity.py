@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import small_batches, table
+from tallyloom.llm.common import release_memory, small_batches, table
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -32,6 +32,8 @@ TRAIN_CHARS = 20_000_000
 FEATURES = 4096
 LEAST_DOCS = 3
 REMEMBERED = 200_000
+# Words whose features a fit remembers.
+FIT_REMEMBERED = 50_000
 
 
 @dataclass
@@ -115,6 +117,15 @@ def bag(model: Model, text: str, known: dict[str, float]) -> tuple[float, np.nda
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), p, 4 * own >= reason, ends
 
 
+def in_order(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in the order in which they first occur, and the place there of each id."""
+    found, first, place = np.unique(ids, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    new = np.empty(len(found), np.int32)
+    new[order] = np.arange(len(found), dtype=np.int32)
+    return found[order], new[place]
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.15, decay: float = 1e-5) -> Model:
     """Noisy-or likelihood by Adam over the features that tell the classes apart most.
 
@@ -123,29 +134,35 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
     if len(set(labels)) < 2:
         return Model({}, -12.0)
     y = np.array(labels, bool)
-    number: dict[int, int] = {}
-    of_word: dict[str, tuple[int, ...]] = {}
-    docs, sizes, ids = array("i"), array("i"), array("i")
+    # Features lie packed, and few words are remembered, so that a worker is left small when the fit is done.
+    of_word: dict[str, bytes] = {}
+    docs, sizes, ids = array("i"), array("i"), array("I")
     for d, text in enumerate(texts):
         for sentence in SENTENCE.findall(text.lower()):
             before = len(ids)
             for word in WORD.findall(sentence):
                 found = of_word.get(word)
                 if found is None:
-                    found = of_word[word] = tuple(number.setdefault(f, len(number)) for f in features(word))
-                ids.extend(found)
+                    if len(of_word) >= FIT_REMEMBERED:
+                        of_word.clear()
+                    found = of_word[word] = array("I", features(word)).tobytes()
+                ids.frombytes(found)
             docs.append(d)
             sizes.append(len(ids) - before)
-    doc, feature, at = np.array(docs, np.int64), np.array(ids, np.int32), len(docs)
+    del of_word
+    doc, at = np.array(docs, np.int64), len(docs)
     row = np.repeat(np.arange(at, dtype=np.int32), np.array(sizes, np.int64))
-    seen = np.unique(doc[row] * len(number) + feature)
-    hit, of = y[seen // len(number)], seen % len(number)
-    pos, all_ = np.bincount(of[hit], minlength=len(number)), np.bincount(of, minlength=len(number))
+    names, feature = in_order(np.frombuffer(ids, np.uint32))
+    del ids
+    count = len(names)
+    seen = np.unique(doc[row] * count + feature)
+    hit, of = y[seen // max(count, 1)], seen % max(count, 1)
+    pos, all_ = np.bincount(of[hit], minlength=count), np.bincount(of, minlength=count)
     want = all_ * y.mean()
     chi = np.where(all_ >= LEAST_DOCS, (pos - want) ** 2 / np.maximum(want, 1e-9), 0)
     chosen = np.argsort(-chi, kind="stable")[:FEATURES]
     chosen = chosen[chi[chosen] > 4]
-    new = np.full(len(number), -1, np.int64)
+    new = np.full(count, -1, np.int64)
     new[chosen] = np.arange(len(chosen))
     use = new[feature] >= 0
     row, feature = row[use], new[feature[use]]
@@ -162,8 +179,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, rate: float = 0.
         grad = np.append(np.bincount(feature, with_neighbours(g, joined)[row], n), g.sum()) + decay * np.append(theta[:n], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    names = {i: f for f, i in number.items()}
-    return Model({names[int(c)]: float(theta[i]) for i, c in enumerate(chosen)}, float(theta[n]))
+    return Model({int(names[c]): float(theta[i]) for i, c in enumerate(chosen)}, float(theta[n]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,6 +208,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             texts += batch.column("text").to_pylist()
             toxic += batch.column("toxic").to_pylist()
         model = learn(texts, [int(t > 0) for t in toxic])
+        del texts, toxic
+        release_memory()
         own = [model.offset, model.slope, model.bias]
         yield pa.RecordBatch.from_pydict({"feature": [-3, -2, -1, *model.weights], "weight": [*own, *model.weights.values()]})
 
@@ -220,6 +238,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("*",)) -> Data
                 scores.append(float(sigmoid(model.slope * log_odds(chance) + model.offset)) if ends else 0.0)
                 places.append([{"start": ends[i][0], "end": ends[i][1], "p": float(p[i])} for i in np.flatnonzero((p >= 0.5) & own)])
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(places, place)], ["row", "score", "offences"])
+        known.clear()
+        release_memory()
 
     rows = docs.select(F.struct(*keep).alias("row"), F.col("text").alias("text"))
     out = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("offences", T.DataType.fromDDL(OFFENCES))])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -329,6 +330,16 @@ def test_toxicity_without_labels_or_text(spark, texts):
     assert toxicity.drop_toxic(docs_of(spark, []), none).count() == 0
 
 
+def test_toxicity_fit_in_bounded_memory():
+    """Features of distinct words took some 500 bytes a word, and a worker kept them."""
+    texts = [" ".join(f"word{d}x{i}" for i in range(500)) + (". fool idiot" if d % 3 else "") for d in range(300)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, [int(d % 3 > 0) for d in range(300)], rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights and peak < 40e6
+
+
 # ---- 5 packing -------------------------------------------------------------
 
 def test_word_encoder_equals_the_tokenizer():
