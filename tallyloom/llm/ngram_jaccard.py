@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_staged, row_tag, small_batches, stage, table, worker_state
+from tallyloom.llm.common import drop_staged, release_memory, row_tag, small_batches, stage, table, worker_state
 from tallyloom.llm.components import connected_components
 
 # Most matches that a prefix may ask for.
@@ -104,6 +104,8 @@ def count_tokens(docs: DataFrame, width: int) -> np.ndarray:
             held = [shingle_set(t or "", width, hashes) >> np.uint64(64 - BUCKET_BITS) for t in batch.column("text").to_pylist()]
             np.add.at(total, np.concatenate([np.zeros(0, np.uint64), *held]), np.uint32(1))
         parts = [(i, zlib.compress(total[i * chunk : (i + 1) * chunk].tobytes(), 1)) for i in range(buckets // chunk) if total[i * chunk : (i + 1) * chunk].any()]
+        del total
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +197,9 @@ def can_overlap(before: Column, percent: int) -> Column:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose whole sets are similar enough.
+    """The pairs (a, b) of vertices whose whole sets are similar enough, staged.
 
-    Whole sets are made anew, for the texts of candidates only.
+    Whole sets are made anew, for the texts of candidates only, and removed when they are compared.
     """
     ends = stage(pairs.select(F.col("a").alias("vid")).union(pairs.select("b")).distinct().join(vertices.select("vid", "tag", "digest"), "vid"), "ends")
     keys = ends.select("tag").distinct()
@@ -215,12 +217,15 @@ def verify(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, width: int, p
                     found[digest_of(s)] = signed(s)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), _lists(list(found.values()))], ["digest", "tokens"])
 
-    made = small_batches(texts).mapInArrow(sets, "digest binary, tokens array<long>").join(ends.select("digest", "vid"), "digest")
-    made = stage(made.groupBy("vid").agg(F.first("tokens").alias("tokens")), "sets")
+    # Sets are grouped by digest before they meet their vertices, so that both take one shuffle of the sets.
+    made = small_batches(texts).mapInArrow(sets, "digest binary, tokens array<long>").groupBy("digest").agg(F.first("tokens").alias("tokens"))
+    made = stage(made.join(ends.select("digest", "vid"), "digest").select("vid", "tokens"), "sets")
     both = pairs.join(made.select(F.col("vid").alias("b"), F.col("tokens").alias("tb")), "b")
     both = both.join(made.select(F.col("vid").alias("a"), F.col("tokens").alias("ta")), "a")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
+    found = stage(both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b"), "links")
+    drop_staged(ends, made)
+    return found
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -236,10 +241,13 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     first = F.min(F.struct("row", "tag", "n", "matches", "prefix")).alias("first")
     vertices = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), first)
     vertices = stage(vertices.select("digest", "least_id", F.col("first.row").alias("vid"), "first.tag", "first.n", "first.matches", "first.prefix"), "vertices")
+    # Prefixes live on in the vertices only.
+    rows = stage(sets.select("doc_id", "tag", "row", "digest", F.col("n").alias("n_shingles")), "rows")
+    drop_staged(sets)
     lists = stage(postings(vertices), "postings")
 
     tried = _neighbours(lists.withColumn("component", F.col("vid")), 0, percent)
-    links = stage(verify(tried, docs, vertices, width, percent), "links")
+    links = verify(tried, docs, vertices, width, percent)
     part = connected_components(links)
     # A round of which less than a tenth is linked has found what chance finds.
     gain, turn = 10 * links.count() >= tried.count(), 1
@@ -248,25 +256,28 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         if across <= entries:
             break
         tried = _neighbours(within, turn, percent)
-        new = stage(verify(tried, docs, vertices, width, percent), "links")
+        new = verify(tried, docs, vertices, width, percent)
         gain, turn = 10 * new.count() >= tried.count(), turn + 1
         links = links.union(new)
         part = connected_components(links)
         drop_staged(within)
     within, _, _ = _mixed(lists, part)
     pairs = _across(within, vertices, percent)
-    more = stage(verify(pairs, docs, vertices, width, percent), "links")
+    more = verify(pairs, docs, vertices, width, percent)
+    drop_staged(lists, within, pairs)
 
     part = connected_components(links.union(more))
     of = vertices.join(part.withColumnRenamed("id", "vid"), "vid", "left").select("digest", "least_id", F.coalesce("component", "vid").alias("component"))
     named = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = of.join(named, "component").select("digest", "component", "component_id")
-    return stage(
-        sets.select("doc_id", "tag", "row", "digest", F.col("n").alias("n_shingles")).join(of, "digest", "left").select(
+    linked = stage(
+        rows.join(of, "digest", "left").select(
             "doc_id", "tag", "row", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
         ),
         "linked",
     )
+    drop_staged(rows, vertices)
+    return linked
 
 
 def _mixed(lists: DataFrame, part: DataFrame) -> tuple[DataFrame, int, float]:

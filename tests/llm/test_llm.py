@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 from tallyloom.llm import (
     decontaminate, embedding_dedup, license_scan, line_dedup, ngram_jaccard, packing, secret_scan, token_counts, toxicity, warc,
 )
-from tallyloom.llm.common import fresh_path
+from tallyloom.llm.common import fresh_path, shared_root
 from tallyloom.llm.components import connected_components
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -203,6 +204,16 @@ def test_jaccard_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == expected
 
 
+def test_jaccard_leaves_no_large_tables(spark):
+    """Whole sets, prefixes and lists are removed as soon as nothing reads them; they stayed until the session ended."""
+    held = lambda: {f.name for f in Path(re.sub("^file:(//)?", "", shared_root(spark))).glob("llm-*")}
+    before, words = held(), [f"w{i}" for i in range(60)]
+    found = ngram_jaccard.link(docs_of(spark, [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other words here"), (4, None)]))
+    left = {name.split("-")[1] for name in held() - before}
+    assert not left & {"sets", "ends", "prefixes", "vertices", "postings", "rows"} and "linked" in left
+    assert sorted(found.select("doc_id", "n_shingles", "component_id").collect()) == [(1, 58, 1), (2, 57, 1), (3, 1, 3), (4, 0, 4)]
+
+
 def test_jaccard_empty(spark):
     assert ngram_jaccard.link(docs_of(spark, [])).count() == 0
     assert ngram_jaccard.link(docs_of(spark, [(1, None), (2, "")])).select("component_id").orderBy("component_id").collect() == [(1,), (2,)]
