@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
 Everything runs in DataFrame functions. A text becomes its lower-case words with single blanks; a coarse
-pattern passes the few texts that can match; keywords choose the rule families of a text; each rule is one
-regular expression over the words, and its places are word numbers.
+pattern passes the few texts that can match; keywords, then names, choose the rule families of a text; each rule
+is one regular expression over the words, and its places are word numbers.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from tallyloom.llm.common import SEPARATORS, ascii_lower, row_tag, table
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 # Label, keywords of which a text must hold one, full title, unambiguous short name or "", SPDX identifier as words.
-# Every alternative of title, short name and identifier holds a keyword; for bare names see LEADS.
+# Every alternative of title, short name and identifier holds a keyword at the start of a word; for bare names see LEADS.
 V = r"(?: v| version)? ?"
 FAMILIES = [
     ("mit", "mit licen", r"mit licen[sc]e", "", "mit"),
@@ -24,8 +24,8 @@ FAMILIES = [
     ("isc", "isc licen", r"isc licen[sc]e", "", "isc"),
     ("apache-1", "apache", rf"apache(?: software)? licen[sc]e{V}1(?: [01])?", r"apache 1 [01]", r"apache 1 [01]"),
     ("apache-2", "apache", rf"apache(?: software)? licen[sc]e{V}2(?: 0)?", r"apache 2(?: 0)?", r"apache 2 0"),
-    ("bsd-0", "bsd", r"(?:0|zero) clause bsd licen[sc]e", "0bsd", "0bsd"),
-    ("bsd-2", "bsd", r"(?:2|two) clause bsd licen[sc]e|(?:simplified|freebsd) bsd licen[sc]e|freebsd licen[sc]e", r"bsd 2 clause", r"bsd 2 clause"),
+    ("bsd-0", "bsd|0bsd", r"(?:0|zero) clause bsd licen[sc]e", "0bsd", "0bsd"),
+    ("bsd-2", "bsd|freebsd", r"(?:2|two) clause bsd licen[sc]e|(?:simplified|freebsd) bsd licen[sc]e|freebsd licen[sc]e", r"bsd 2 clause", r"bsd 2 clause"),
     ("bsd-3", "bsd", r"(?:3|three) clause bsd licen[sc]e|(?:new|modified|revised) bsd licen[sc]e", r"bsd 3 clause", r"bsd 3 clause"),
     ("bsd-4", "bsd", r"(?:4|four) clause bsd licen[sc]e|original bsd licen[sc]e", r"bsd 4 clause", r"bsd 4 clause"),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e", "", "bsd"),
@@ -94,13 +94,18 @@ WEIGHTS = {1: 0.4, 2: 0.6, 3: 0.85, 4: 1.0}
 BASE_WEIGHT = 0.9
 
 
+def name_of(label: str, title: str, short: str) -> str:
+    """The pattern of a family's name in the wordings."""
+    return "(?:" + "|".join(x for x in (title, short, title.replace(" licen[sc]e", "") if label in BARE else "") if x) + ")"
+
+
 def rules() -> list[tuple[int, str, str, int, str, bool]]:
     """(number, family, label, priority, pattern, base) in order; a pattern starts and ends at word borders."""
     out = []
     for phrase, label in BASE.items():
         out.append((len(out), f"base {label}", label, 0, f"(?<= ){phrase}(?= )", True))
     for label, _, title, short, spdx in FAMILIES:
-        name = "(?:" + "|".join(x for x in (title, short, title.replace(" licen[sc]e", "") if label in BARE else "") if x) + ")"
+        name = name_of(label, title, short)
         for priority, template, labelled in TEMPLATES:
             parts = {"grant": GRANT, "the": THE, "name": name, "title": f"(?:{title})", "short": short, "spdx": f"(?:{spdx})"}
             if ("{short}" in template and not short) or ("{spdx}" in template and not spdx):
@@ -110,17 +115,32 @@ def rules() -> list[tuple[int, str, str, int, str, bool]]:
     return out
 
 
+def names() -> list[tuple[str, str]]:
+    """(family, pattern): every match of a rule of the family holds one of its pattern, the name or the SPDX identifier."""
+    base = [(f"base {label}", f"(?<= ){phrase}(?= )") for phrase, label in BASE.items()]
+    spdx_of = lambda spdx: f"|identifier (?:{spdx})" if spdx else ""
+    return base + [(label, f"(?<= )(?:{name_of(label, title, short)}{spdx_of(spdx)})(?= )") for label, _, title, short, spdx in FAMILIES]
+
+
 def keywords() -> list[tuple[str, str]]:
-    """(family, keyword) of the prefilter."""
-    base = [(f"base {label}", phrase) for phrase, label in BASE.items()]
+    """(family, keyword) of the prefilter; a keyword begins with the blank before its first word."""
+    base = [(f"base {label}", f" {phrase}") for phrase, label in BASE.items()]
     bare = [(label, f" {lead} {label} ") for label in BARE for lead in LEADS]
-    return base + [(label, word) for label, words, *_ in FAMILIES for word in words.split("|")] + bare
+    return base + [(label, f" {word}") for label, words, *_ in FAMILIES for word in words.split("|")] + bare
+
+
+def any_of(words: set[str]) -> str:
+    """A pattern of all words, with shared beginnings once: at a place, most are ruled out by one letter."""
+    heads = {}
+    for word in words:
+        heads.setdefault(word[:1], set()).add(word[1:])
+    parts = [] if "" in heads else [head + any_of(rest) for head, rest in sorted(heads.items())]
+    return f"(?:{'|'.join(parts)})" if len(parts) > 1 else "".join(parts)
 
 
 def gate() -> str:
-    """Texts without any of these match no rule: every keyword, without regard to case; a bare name is looked at before its lead."""
-    names, leads = "|".join(BARE), "|".join(LEADS)
-    return "(?i)" + "|".join(sorted({word for _, word in keywords() if word[0] != " "}) + [rf" (?:{names})(?= |$)(?<=\b(?:{leads}) (?:{names}))"])
+    """Texts without any of these between blanks match no rule: every keyword, without regard to case."""
+    return "(?i)" + any_of({word for _, word in keywords()})
 
 
 def blanks(text: Column) -> Column:
@@ -134,10 +154,13 @@ def find_rules(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     table_of = spark.createDataFrame(rules(), "rule int, family string, label string, priority int, pattern string, base boolean")
+    named = spark.createDataFrame(names(), "family string, name string")
     listed = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(k).alias("keyword")) for f, k in keywords()))
-    low = rows.where(F.col("words").rlike(gate())).select("id", "tag", F.concat(F.lit(" "), ascii_lower(F.col("words")), F.lit(" ")).alias("low")).distinct()
+    between = lambda words: F.concat(F.lit(" "), words, F.lit(" "))
+    low = rows.where(between(F.col("words")).rlike(gate())).select("id", "tag", between(ascii_lower(F.col("words"))).alias("low")).distinct()
     families = F.array_distinct(F.transform(F.filter(listed, lambda k: F.contains(F.col("low"), k["keyword"])), lambda k: k["family"]))
-    tried = low.select("id", "tag", "low", F.explode(families).alias("family")).join(F.broadcast(table_of), "family")
+    passed = low.select("id", "tag", "low", F.explode(families).alias("family")).join(F.broadcast(named), "family")
+    tried = passed.where(F.rlike("low", F.col("name"))).join(F.broadcast(table_of), "family")
     found = tried.select(
         "id", "tag", "rule", "label", "priority", "base",
         F.split("low", F.col("pattern")).alias("between"), F.regexp_extract_all("low", F.col("pattern"), F.lit(0)).alias("hits"),
@@ -156,6 +179,7 @@ def find_rules(rows: DataFrame) -> DataFrame:
 
 def resolve(places: DataFrame) -> DataFrame:
     """`places` with `kept`: false for a place inside another one of a higher priority, or of the same and longer or earlier in the rules.
+    Base places are kept and silence none: their priority is below all others.
 
     Sorted by start, longer first, every place that can contain another comes before it, so one running
     maximum of the ends for each priority decides; no two places are compared.
@@ -182,16 +206,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SEPARATORS, " ")).alias("words"),
     )
     places = find_rules(rows)
-    base = places.where("base").select("id", "tag", "start", "label", F.lit(BASE_WEIGHT).alias("weight"), F.lit(True).alias("base"))
-    weight = F.coalesce(*(F.when(F.col("priority") == k, w) for k, w in WEIGHTS.items()), F.lit(0.0))
-    more = resolve(places.where("not base")).where("kept and label <> ''").select(
-        "id", "tag", "start", "label", weight.alias("weight"), F.lit(False).alias("base")
-    )
+    weight = F.coalesce(F.when(F.col("base"), BASE_WEIGHT), *(F.when(F.col("priority") == k, w) for k, w in WEIGHTS.items()), F.lit(0.0))
     of_base = lambda c: F.when(F.col("base"), F.col(c))
-    found = base.unionByName(more).groupBy("id", "tag").agg(
+    found = resolve(places).where("kept and label <> ''").groupBy("id", "tag").agg(
         F.count(of_base("start")).alias("n_base"), F.min(of_base("start")).alias("first_word"), F.max(of_base("start")).alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(of_base("label"))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("weight").alias("score"),
+        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max(weight).alias("score"),
     )
     n_words = F.when(F.col("words") == "", 0).otherwise(blanks(F.col("words")) + 1).cast("long")
     return rows.select("doc_id", "id", "tag", n_words.alias("n_words")).join(found, ["id", "tag"], "left").select(

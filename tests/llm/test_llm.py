@@ -308,6 +308,17 @@ def test_license_names_without_common_keywords(spark):
     assert [r[6] != "" for r in sorted(found)] == [True] * 9 + [False]
 
 
+def test_license_work_is_done_once_and_on_few_texts(spark):
+    inside = ["summit license", "kapache", "rubyx scubacc by", "unproprietary", "permitted by mitigation"]
+    assert [t for t in inside if re.search(license_scan.gate(), f" {t} ")] == ["rubyx scubacc by"]
+    families = {f for f, _ in license_scan.keywords()}
+    assert families == {f for f, _ in license_scan.names()} == {r[1] for r in license_scan.rules()}
+    named = {f for f, name in license_scan.names() if re.search(name, " apache php ruby python bsd eclipse under the mit license ")}
+    assert named == {"base mit", "mit"}
+    plan = license_scan.scan_licenses(docs_of(spark, [(1, "x")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
+
+
 # ---- 4 toxicity ------------------------------------------------------------
 
 def test_toxicity_learns_sentences_from_documents(spark):
