@@ -31,7 +31,8 @@ def _meeting_grams(names: DataFrame, reference: DataFrame, name: str, other: str
     tagged = spellings(names, name).withColumn("side", F.lit("n")).unionByName(spellings(reference, other).withColumn("side", F.lit("r")))
     grams = tagged.withColumn("gram", F.explode(_grams(F.col("name"))))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("held_by"))
-    ordered = grams.join(counts, "gram").groupBy("side", "name").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("_all"))
+    # The size of exploded rows is estimated without the explode, so Spark would broadcast far more than its threshold.
+    ordered = grams.join(counts.hint("merge"), "gram").groupBy("side", "name").agg(F.sort_array(F.collect_list(F.struct("held_by", "gram"))).alias("_all"))
     return ordered.select(
         "side", "name", F.slice("_all.gram", 1, most * Q + SHARED).alias("grams"), (F.size("_all") < most * Q + SHARED).alias("few")
     )
@@ -52,7 +53,7 @@ def meeting_names(names: DataFrame, reference: DataFrame, name: str, other: str,
     left = signed.filter("side = 'n'").select("name", "signature")
     right = signed.filter("side = 'r'").select(F.col("name").alias("candidate"), "signature")
     gap = F.abs(F.char_length("name") - F.char_length("candidate"))
-    return left.join(right, "signature").filter((gap <= most) & (F.col("name") != F.col("candidate"))).select("name", "candidate").distinct()
+    return left.join(right.hint("merge"), "signature").filter((gap <= most) & (F.col("name") != F.col("candidate"))).select("name", "candidate").distinct()
 
 
 def near_names(names: DataFrame, reference: DataFrame, name: str, other: str, most: int = 2) -> DataFrame:
