@@ -34,14 +34,16 @@ def _unpivot(df: DataFrame, pattern: str, period: str, value: str, to_period: Ca
 def unpivot_dates(df: DataFrame, period: str = "period", value: str = "amount") -> DataFrame:
     """``dd/MM/yyyy`` columns to rows; empty cells are dropped (the layout is sparse).
 
-    Only given cells become rows: a row is not expanded to all of its months first.
+    Only given cells become rows: a row is not expanded to all of its months first. Cells are exploded, not inlined:
+    of an explode Spark knows that it makes no rows of none, so a source that a filter leaves out goes from the plan.
     """
     months = columns_like(df, DATE_HEADER)
     if not months:
         raise ValueError(f"no column matches {DATE_HEADER!r}")
     ids = [F.col(f"`{c}`") for c in df.columns if c not in months]
     cells = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(date_header_period(c)).alias(period), F.col(f"`{c}`").alias(value))) for c in months]
-    return df.select(*ids, F.inline(F.array_compact(F.array(*cells))))
+    given = df.select(*ids, F.explode(F.array_compact(F.array(*cells))).alias("_cell"))
+    return given.select(*ids, *[F.col("_cell").getField(c).alias(c) for c in (period, value)])
 
 
 def unpivot_month_names(df: DataFrame, period: str = "PERIOD", value: str = "actual_value") -> DataFrame:

@@ -79,3 +79,16 @@ def test_landed_pages_and_written_tables_are_compressed(spark, sf_dir):
     new = set(shared.glob("tallyloom-order-*")) - seen
     files = [f.name for folder in new for f in folder.rglob("part-*")]
     assert files and all(f.endswith((".gz", ".zstd.parquet")) for f in files)
+
+
+@pytest.mark.parametrize("name, others", [("reconcile_costs", ())])
+def test_both_layouts_meet_where_the_order_join_left_them(spark, sf_dir, name, others):
+    """Above the union of the layouts no cleaned row is shuffled again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2k")  # the customer mapping alone is below
+    try:
+        plan = all_queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    shuffles = [line.split("hashpartitioning(")[1] for line in plan[: plan.index("Union")].splitlines() if "Exchange hashpartitioning" in line]
+    assert all(s.startswith(others) for s in shuffles)
