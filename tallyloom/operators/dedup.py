@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyloom.operators.spread import keep_first, mark_copies, mark_not_first
 
@@ -78,17 +79,30 @@ def first_source_summary(
 ) -> DataFrame:
     """``dedup_summary`` of ``flag_repeats`` without flagging: for every set of equal rows, the rows of each
     source and which source holds the first. Both aggregates combine before the shuffle.
+
+    Sets are told apart by the first column as it is, if it is text, so that rows which lie together by it are not
+    moved. Only NULL and empty text, which are equal, may then be two sets; those meet in a second step, where all
+    other sets are one row per source and task.
     """
     keys = [k.alias(f"_k{i}") for i, k in enumerate(_equal_rows(columns))]
     order = F.struct(*[c for s in sequence for c in (F.col(s).isNull().alias(f"_no_{s}"), F.col(s))])
     names = [f"_k{i}" for i in range(len(keys))]
+    blank = F.lit(False)
+    if df.schema[columns[0]].dataType == StringType():
+        keys[0], blank = F.col(columns[0]).alias("_k0"), F.coalesce(F.col("_k0"), F.lit("")) == ""
     per_source = df.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))
     sets = per_source.groupBy(*names).agg(
         F.min(F.struct("_first", source)).alias("_kept"), F.collect_list(F.struct(source, "_n")).alias("_sources")
     )
-    rows = sets.select(F.col(f"_kept.{source}").alias("_keeper"), F.inline("_sources"))
-    kept = F.count_if(F.col(source) == F.col("_keeper"))
-    return rows.groupBy(source).agg((F.sum("_n") - kept).alias("DROPPED_COUNT"), kept.alias("KEPT_COUNT")).withColumn(
+    whole = F.when(blank, F.struct(F.lit(True).alias("_blank"), *names[1:]))
+    rows = sets.select(whole.alias("_set"), F.when(blank, F.col("_kept")).alias("_open"), F.col(f"_kept.{source}").alias("_keeper"), F.inline("_sources"))
+    counted = rows.groupBy("_set", source).agg(
+        F.sum("_n").alias("_n"), F.count_if(F.col(source) == F.col("_keeper")).alias("_kept"), F.collect_list("_open").alias("_open")
+    )
+    met = counted.groupBy("_set").agg(F.min(F.array_min("_open")).alias("_open"), F.collect_list(F.struct(source, "_n", "_kept")).alias("_sources"))
+    settled = met.select(F.col("_set").isNull().alias("_settled"), F.col(f"_open.{source}").alias("_keeper"), F.inline("_sources"))
+    kept = F.sum(F.when(F.col("_settled"), F.col("_kept")).when(F.col(source) == F.col("_keeper"), 1).otherwise(0))
+    return settled.groupBy(source).agg((F.sum("_n") - kept).alias("DROPPED_COUNT"), kept.alias("KEPT_COUNT")).withColumn(
         "LOG_TYPE", F.lit("DUPLICATE_SUMMARY")
     )
 

@@ -7,6 +7,7 @@ import pathlib
 
 import pytest
 
+from tallyloom.operators.dedup import dedup_summary, first_source_summary, flag_repeats
 from tallyloom.operators.orphans import settle_arrival, settled_facts
 from tallyloom.operators.reshape import unpivot_dates
 from tallyloom.session import SQL_SETTINGS
@@ -81,7 +82,7 @@ def test_landed_pages_and_written_tables_are_compressed(spark, sf_dir):
     assert files and all(f.endswith((".gz", ".zstd.parquet")) for f in files)
 
 
-@pytest.mark.parametrize("name, others", [("reconcile_costs", ())])
+@pytest.mark.parametrize("name, others", [("reconcile_costs", ()), ("dedup_summary", ("_set#", "SOURCE_FILE#"))])
 def test_both_layouts_meet_where_the_order_join_left_them(spark, sf_dir, name, others):
     """Above the union of the layouts no cleaned row is shuffled again."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -92,3 +93,13 @@ def test_both_layouts_meet_where_the_order_join_left_them(spark, sf_dir, name, o
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     shuffles = [line.split("hashpartitioning(")[1] for line in plan[: plan.index("Union")].splitlines() if "Exchange hashpartitioning" in line]
     assert all(s.startswith(others) for s in shuffles)
+
+
+def test_the_summary_by_first_source_takes_null_and_empty_keys_as_equal(spark):
+    keys = [None, "", "a", "b"]
+    rows = [(keys[i % 4], keys[i // 4 % 4], ["x", "y", "z"][i % 3], i if i % 5 else None, f"s{i:02d}") for i in range(48)]
+    df = spark.createDataFrame(rows, "k string, other string, SOURCE_FILE string, at int, name string")
+    for columns in (["k"], ["k", "other"], ["at", "k"]):
+        fast, flagged = first_source_summary(df, columns, ["name"]), dedup_summary(flag_repeats(df, columns, ["name"]))
+        names = ["SOURCE_FILE", "DROPPED_COUNT", "KEPT_COUNT", "LOG_TYPE"]
+        assert sorted(map(tuple, fast.select(names).collect())) == sorted(map(tuple, flagged.select(names).collect()))
