@@ -1,7 +1,9 @@
 """Tables kept up to date from changes equal those built from all, whatever the order, and after runs that stop half way."""
 
 import os
+import pathlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.incremental import apply_deltas, recompute_groups, signed_deltas
 from tallyloom.operators.scd import apply_snapshot, build_history
+from tallyloom.session import FREE_SHUFFLES, staged, staging
 from tallyloom.sources import landing
 from tallyloom.sources.landing import Changes, finish_upsert, upsert_batch, upsert_changes, upsert_table
 from tallyloom.streaming.arrivals import upsert_new_files
@@ -152,3 +155,43 @@ def test_gold_reads_touched_partitions_only(spark, tmp_path):
     before = stamp()
     apply_deltas(spark, signed_deltas(Changes(nothing, first.filter("g = 'a' and month = 5")), key, {"n": F.col("n")}), mart, key, sums, rows="n")
     assert {d for d, _ in before ^ stamp()} == {f"{mart}/year=2024/month=5"}
+
+
+# ---- disk -------------------------------------------------------------------
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in files.split("\n") if "/shuffle_" in f}
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    held, setting = shuffle_files(spark), spark.conf.get(FREE_SHUFFLES)
+    counted = spark.range(1000).groupBy((F.col("id") % 12).alias("month")).count().withColumn("year", F.lit(2024))
+    table = staged(counted, "counted")
+    with staging(spark) as stage:
+        stage(counted, "counted")
+    landing.write_partitions(table, str(tmp_path / "t"))
+    left = None
+    for _ in range(50):  # files are removed a moment later
+        left = {f for f in shuffle_files(spark) - held if not f.endswith(".tmp")}
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(FREE_SHUFFLES) == setting
+    assert counted.count() == counted.count() == table.count() == 12
+
+
+def test_changes_go_with_their_owner(spark, tmp_path):
+    path = str(tmp_path / "t")
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    kept = set(shared.glob("tallyloom-upsert-*"))
+    loads = ([(1, "a", 1, 2024, 1), (None, "b", 1, 2024, 2), (3, "c", 1, None, None)], [(1, "A", 2, 2024, 3), (None, "B", 2, 2024, 2), (4, "d", 1, 2024, 3)])
+    seen = []
+    for load in loads:
+        with staging(spark) as stage:
+            changes = upsert_changes(spark, spark.createDataFrame(load, SCHEMA), path, ["k"], newest(), stage=stage)
+            seen.append([Counter(tuple(r) for r in side.select("k", "v", "year", "month").collect()) for side in (changes.before, changes.after)])
+    assert seen[0] == [Counter(), Counter([(1, "a", 2024, 1), (None, "b", 2024, 2), (3, "c", None, None)])]
+    assert seen[1] == [Counter([(1, "a", 2024, 1), (None, "b", 2024, 2)]), Counter([(1, "A", 2024, 3), (None, "B", 2024, 2), (4, "d", 2024, 3)])]
+    assert rows_of(spark, path, "k", "v") == Counter([(1, "A"), (None, "B"), (3, "c"), (4, "d")])
+    assert set(shared.glob("tallyloom-upsert-*")) == kept
